@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, topk
+from . import lattice, mixing, token_index, topk
 from .common import table
 
 
+def op1_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.lattice_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.pareto_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_index.token_index_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op10_histogram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.histogram_top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pareto_mix, op10_histogram_top_k)}
+QUERIES = {f.__name__: f for f in (op1_lattice_scores, op2_pareto_mix, op6_token_index, op10_histogram_top_k)}
 
 SQL = {
     "op2_pareto_mix": """
