@@ -1,8 +1,9 @@
 """Token ids of whole texts, from the tokenizer files of the tokenizers library, with a bounded memo of parts.
 
 Both pre-tokenizers never join across a boundary of white space and what follows, so a text's ids are its parts' ids
-in a row. A part that was met before is looked up; the memo is emptied when it holds `limit` parts. Texts with white
-space other than blank and line feed are encoded whole, as are parts of more than 64 characters each time they occur.
+in a row. A part that was met before is looked up; the memo takes parts of at most 64 characters until it holds `limit`
+of them, which by then are the frequent ones. New parts are encoded many at once, with a separator between them whose
+id stands for nothing else. Texts with white space other than blank and line feed are encoded whole.
 """
 
 from __future__ import annotations
@@ -17,42 +18,49 @@ import numpy as np
 ODD = re.compile(r"[^\S \n]")
 #: A word with the blank before it, or white space without the blank that belongs to the next word.
 PARTS = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
-SLICE = 256
+SLICE, TOGETHER = 256, 500
 
 
 class Encoder:
     """Texts to ids as bytes of `dtype`. keeps_space: whether a word's ids depend on the blank before it."""
 
-    def __init__(self, path: str, dtype: str, keeps_space: bool, limit: int = 300_000):
+    def __init__(self, path: str, dtype: str, keeps_space: bool, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype, self.limit, self.memo = dtype, limit, {}
-        self.split = PARTS.findall if keeps_space else str.split
+        self.dtype, self.limit, self.memo, self.width = dtype, limit, {}, np.dtype(dtype).itemsize
+        self.split, self.mark, self.between = (PARTS.findall, "\n", "\n") if keeps_space else (str.split, "|", " | ")
+        (self.between_id,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [x.tobytes() for x in self._ids(texts)]
+
+    def _apart(self, parts: list[str]) -> dict[str, bytes]:
+        """Each part by itself; those without the separator's mark go together, TOGETHER at once."""
+        alone = [p for p in parts if self.mark in p]
+        found = dict(zip(alone, self._whole(alone)))
+        rest = [p for p in parts if self.mark not in p]
+        groups = [rest[at : at + TOGETHER] for at in range(0, len(rest), TOGETHER)]
+        for group, ids in zip(groups, self._ids([self.between.join(g) for g in groups])):
+            cut = np.flatnonzero(ids == self.between_id)
+            if len(cut) != len(group) - 1:
+                found.update(zip(group, self._whole(group)))
+                continue
+            raw, first, last = ids.tobytes(), [0, *(cut + 1) * self.width], [*cut * self.width, len(ids) * self.width]
+            found.update((p, raw[a:b]) for p, a, b in zip(group, first, last))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         memo, parts = self.memo, [None if ODD.search(t) else self.split(t) for t in texts]
-        new = list({p for one in parts if one for p in one if p not in memo})
-        if len(memo) + len(new) > self.limit:
-            memo.clear()
-            new = list({p for one in parts if one for p in one})
-        found = dict(zip(new, self._whole(new)))
-        memo.update(x for x in found.items() if len(x[0]) <= 64)
-        out = []
-        for text, one in zip(texts, parts):
-            if one is None:
-                out += self._whole([text])
-                continue
-            try:
-                out.append(b"".join(map(memo.__getitem__, one)))
-            except KeyError:
-                out.append(b"".join(memo[p] if p in memo else found[p] for p in one))
-        return out
+        found = self._apart(list({p for one in parts if one for p in one if p not in memo}))
+        if len(memo) < self.limit:
+            memo.update(x for x in found.items() if len(x[0]) <= 64)
+        return [self._whole([t])[0] if one is None else b"".join([memo.get(p) or found.get(p, b"") for p in one]) for t, one in zip(texts, parts)]
 
 
 _made: dict[tuple, Encoder] = {}

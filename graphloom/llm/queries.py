@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice, mixing, token_index, topk
+from . import lattice, mixing, packing, risk_rules, token_index, topk
 from .common import table
 
 
@@ -19,15 +19,24 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.token_index_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = risk_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *risk_rules.MEASURES, "base_failed", "kept")
+
+
 def op10_histogram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.histogram_top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_scores, op2_pareto_mix, op6_token_index, op10_histogram_top_k)}
+QUERIES = {f.__name__: f for f in (op1_lattice_scores, op2_pareto_mix, op5_pattern_packing, op6_token_index, op7_risk_controlled_rules, op10_histogram_top_k)}
 
 SQL = {
     "op2_pareto_mix": """
@@ -50,6 +59,33 @@ c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank) AS upto, sum(
 k AS (SELECT source, max(rank) AS cut FROM c WHERE upto - tied / 2 <= need GROUP BY source)
 SELECT z.doc_id, z.size, z.source_size, z.target, CAST(z.size * (z.whole + CASE WHEN z.rank <= k.cut THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM z LEFT JOIN k ON z.source IS NOT DISTINCT FROM k.source
+""",
+    "op7_risk_controlled_rules": """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w,
+  list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+v AS (SELECT rid, unnest(range(1, greatest(len(w) - 6, 1))) AS i, w FROM w WHERE len(w) >= 8),
+g AS (SELECT rid, i, array_to_string(w[i:i + 7], chr(10)) AS g FROM v),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range(8)) AS k) GROUP BY rid),
+m AS (SELECT w.doc_id, w.lang, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(w.text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(w.l) - len(list_distinct(w.l)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c USING (rid)),
+b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, greatest(
+  n_symbols::DOUBLE / greatest(1, n_words) / 0.5::DOUBLE, n_repeat_words::DOUBLE / greatest(1, n_words) / 0.3::DOUBLE, n_dup_lines::DOUBLE / greatest(1, n_words) / 0.1::DOUBLE) AS badness FROM m),
+y AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+h AS (SELECT b.lang, b.badness, y.good FROM b JOIN y USING (doc_id) WHERE NOT base_failed),
+n AS (SELECT lang, count(*) FILTER (WHERE good) AS n FROM h GROUP BY lang),
+t AS (SELECT n.lang, n.n, k.i, pow(2::DOUBLE, 6 - k.i) AS cutoff FROM n, (SELECT unnest(range(10)) AS i) k),
+q AS (SELECT t.lang, t.n, t.i, t.cutoff, count(*) FILTER (WHERE h.good AND h.badness > t.cutoff) AS hit, count(*) FILTER (WHERE NOT h.good AND h.badness > t.cutoff) AS bad
+  FROM t JOIN h ON h.lang IS NOT DISTINCT FROM t.lang GROUP BY ALL),
+p AS (SELECT *, CASE WHEN hit > n * 0.03 THEN 1 ELSE list_sum(list_transform(range(0, hit + 1),
+  lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.03) + (n - j) * ln(0.97)))) END <= 0.05 / (SELECT count(*) FROM n) AS ok FROM q),
+s AS (SELECT *, bool_and(ok) OVER (PARTITION BY lang ORDER BY i) AS certified FROM p),
+z AS (SELECT lang, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY bad - 5 * hit DESC, i) AS r FROM s WHERE certified) WHERE r = 1)
+SELECT b.doc_id, b.n_words, b.word_chars, b.n_symbols, b.n_dup_lines, b.n_repeat_words, b.base_failed,
+  NOT b.base_failed AND coalesce(b.badness <= z.cutoff, true) AS kept
+FROM b LEFT JOIN z ON b.lang IS NOT DISTINCT FROM z.lang
 """,
     "op10_histogram_top_k": """
 WITH v AS (
