@@ -64,8 +64,9 @@ FROM z LEFT JOIN k ON z.source IS NOT DISTINCT FROM k.source
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w,
   list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
-v AS (SELECT rid, unnest(range(1, greatest(len(w) - 6, 1))) AS i, w FROM w WHERE len(w) >= 8),
-g AS (SELECT rid, i, array_to_string(w[i:i + 7], chr(10)) AS g FROM v),
+v AS (SELECT rid, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM w WHERE len(w) >= 8),
+g AS (SELECT rid, i, g FROM (SELECT rid, i, string_agg(x, chr(10)) OVER k AS g, count(*) OVER k AS n FROM v
+  WINDOW k AS (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) WHERE n = 8),
 r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1),
 c AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range(8)) AS k) GROUP BY rid),
 m AS (SELECT w.doc_id, w.lang, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars,

@@ -44,7 +44,9 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.aggregate(F.sequence(F.lit(1), F.size("__p") - 1), F.lit(WINDOW), lambda a, k: a + F.least(F.lit(WINDOW), F.get("__p", k) - F.get("__p", k - 1)))
     d = d.withColumn("n_repeat_words", F.when(F.size("__p") > 1, covered).otherwise(F.lit(0)).cast("long")).drop("__p")
     each = F.greatest(F.lit(1), "n_words").cast("double")
-    return d.withColumn("badness", F.greatest(F.col("n_symbols") / each / 0.5, F.col("n_repeat_words") / each / 0.3, F.col("n_dup_lines") / each / 0.1))
+    badness = F.greatest(F.col("n_symbols") / each / 0.5, F.col("n_repeat_words") / each / 0.3, F.col("n_dup_lines") / each / 0.1)
+    # a generator, so that filters on measures stay above and don't repeat their expressions below
+    return d.select(*docs.columns, F.inline(F.array(F.struct(*MEASURES, badness.alias("badness")))))
 
 
 def base_failed() -> Column:
