@@ -12,6 +12,7 @@ forward and backward and sum expected counts by piece, and the driver gets one n
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from functools import lru_cache
 
@@ -177,7 +178,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 @lru_cache(maxsize=2)
 def _lattice(shared) -> Lattice:
-    return Lattice(*shared.value)
+    return Lattice(*shared.value[:2])
 
 
 def _expect(shared):
@@ -219,26 +220,33 @@ def _head(counts: DataFrame, size: int) -> list:
     return [] if least is None else few.filter(F.col("band") >= least).select("word", "n").collect()
 
 
+_memo: dict[int, dict[bytes, float]] = {}
+
+
 def _score(shared, head, end: float, with_tail: bool, limit: int = 300_000):
     def run(batches):
-        lattice, known, memo, row = _lattice(shared), head.value, {}, TaskContext.get().partitionId() << 33
+        lattice, known, row = _lattice(shared), head.value, TaskContext.get().partitionId() << 33
+        if shared.value[2] not in _memo:  # kept from task to task, for one model; full once the frequent words are in
+            _memo.clear()
+        memo = _memo.setdefault(shared.value[2], {})
         log10 = {w: float(np.log10(n + 1.0)) for w, n in known.items()}
-        for b in slices(batches):
+        for b in slices(batches, 1024):
             docs = [Counter(_words(x)) for x in b.column(2).to_pylist()]
-            new = {w for c in docs for w in c if w not in memo}
-            if len(memo) + len(new) > limit:
-                memo.clear()
-                new = {w for c in docs for w in c}
-            new = list(new)
-            memo.update(zip(new, lattice.log_probability([b" " + w for w in new]).tolist()))
+            new = list({w for c in docs for w in c if w not in memo})
+            found = dict(zip(new, lattice.log_probability([b" " + w for w in new]).tolist()))
+            if len(memo) < limit:
+                memo.update(x for x in found.items() if len(x[0]) <= 64)
+            value = lambda w: memo[w] if w in memo else found[w]
             n = [sum(c.values()) for c in docs]
-            score = [(sum(k * memo[w] for w, k in c.items()) + end) / LN10 for c in docs]
-            hit = [sum(k for w, k in c.items() if w in known) for c in docs]
+            score = [(sum(k * value(w) for w, k in c.items()) + end) / LN10 for c in docs]
             base = [sum(k * log10[w] for w, k in c.items() if w in log10) for c in docs]
-            tail = [[{"w": w, "k": k} for w, k in c.items() if w not in known] if with_tail else [] for c in docs]
-            kind = pa.list_(pa.struct([("w", pa.binary()), ("k", pa.int64())]))
+            rare = [[x for x in c.items() if x[0] not in known] for c in docs]
+            hit = [total - sum(k for _, k in x) for total, x in zip(n, rare)]
+            flat = [x for one in rare for x in one] if with_tail else []
+            ends = np.cumsum([0] + [len(x) if with_tail else 0 for x in rare])
+            pairs = pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()), pa.array([k for _, k in flat], pa.int64())], ["w", "k"])
             row += len(n)
-            yield pa.RecordBatch.from_arrays([pa.array(range(row - len(n), row), pa.int64()), b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(tail, kind)], ["row", "doc_id", "held_out", "words", "hit", "base", "score", "tail"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(row - len(n), row), pa.int64()), b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], ["row", "doc_id", "held_out", "words", "hit", "base", "score", "tail"])
 
     return run
 
@@ -264,8 +272,7 @@ def lattice_scores(docs: DataFrame, vocabulary: str, folds: int = 7, held: int =
     logp, end = fit(counts, n_docs, pieces, first, rounds)
     frequent = _head(counts, head)
     tail = len(frequent) < distinct
-    sent, known = spark.sparkContext.broadcast((pieces, logp)), spark.sparkContext.broadcast({bytes(r.word): r.n for r in frequent})
-    least = min((r.n for r in frequent), default=1 << 62)
+    sent, known = spark.sparkContext.broadcast((pieces, logp, uuid.uuid4().int)), spark.sparkContext.broadcast({bytes(r.word): r.n for r in frequent})
     schema = "row long, doc_id long, held_out boolean, words long, hit long, base double, score double, tail array<struct<w: binary, k: bigint>>"
     scored = written(rows.mapInArrow(_score(sent, known, end, tail), schema), "scores")
     if tail:
