@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: ASCII white space; a word is a longest run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +37,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, group: str, salt: Column, into: str, salts: int = 64) -> DataFrame:
+    """rows with numbers 0.. without gaps in each group, in no set order; a large group is numbered by many tasks."""
+    rows = rows.withColumn("__salt", F.pmod(salt, F.lit(salts)))
+    sizes = rows.groupBy(group, "__salt").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(group).orderBy("__salt")) - F.col("__n")  # over at most `salts` rows
+    sizes = sizes.select(F.col(group).alias("__g"), F.col("__salt").alias("__s"), before.alias("__before"))
+    rows = rows.withColumn("__own", F.row_number().over(Window.partitionBy(group, "__salt").orderBy(F.lit(0))) - 1)
+    rows = rows.join(sizes, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__salt") == F.col("__s")))
+    return rows.withColumn(into, F.col("__before") + F.col("__own")).drop("__salt", "__before", "__own", "__g", "__s")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

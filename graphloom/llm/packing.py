@@ -15,14 +15,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import numbered, written
 from .encoding import encoder, slices
 
-SALTS = 64
-
 
 # ---- the plan, from a histogram ------------------------------------------------------------------------------------
 def patterns(present: np.ndarray, size: int, triples: int) -> np.ndarray:
@@ -143,16 +141,6 @@ def _pieces(tokenizer: str, size: int, end_id: int, keeps_space: bool):
     return run
 
 
-def numbered(rows: DataFrame, group: str, salt, into: str, salts: int = SALTS) -> DataFrame:
-    """rows with numbers 0.. without gaps in each group, in no set order; a large group is numbered by many tasks."""
-    rows = rows.withColumn("__salt", F.pmod(salt, F.lit(salts)))
-    sizes = rows.groupBy(group, "__salt").agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(group).orderBy("__salt")
-    before = sizes.select(group, "__salt", (F.sum("__n").over(w) - F.col("__n")).alias("__before"))
-    own = Window.partitionBy(group, "__salt").orderBy(F.lit(0))
-    return rows.withColumn("__own", F.row_number().over(own) - 1).join(before, [group, "__salt"]).withColumn(into, F.col("__before") + F.col("__own")).drop("__salt", "__before", "__own")
-
-
 def _place(plan):
     def run(batches):
         p = plan.value
