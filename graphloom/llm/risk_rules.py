@@ -67,14 +67,20 @@ def binomial_p(n: Column, k: Column, alpha: float) -> Column:
     return F.when(k > n * alpha, F.lit(1.0)).otherwise(F.exp(F.aggregate(steps, start, add)["sum"]))
 
 
-def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
-    """stratum, cutoff of the strata that have a certified cutoff.
+def measured(docs: DataFrame, stratum: str = "lang") -> DataFrame:
+    """doc_id, stratum, MEASURES, badness of every row, written: no text moves from here on."""
+    rows = with_measures(docs.select("doc_id", F.col(stratum).alias("stratum"), "text"))
+    return written(rows.drop("text"), "measures")
+
+
+def cutoffs(measures: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
+    """stratum, cutoff of the strata that have a certified cutoff; measures as from measured().
 
     Labels of a document that contradict one another count as bad; null labels, and labels without a document, don't
     count. Documents that the base rules reject take no part. A null stratum is a stratum of its own.
     """
     given = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).alias("__good"))
-    held = with_measures(docs.select("doc_id", F.col(stratum).alias("stratum"), "text").join(given, "doc_id").select("stratum", "text", "__good")).filter(~base_failed())
+    held = measures.filter(~base_failed()).select("doc_id", "stratum", "badness").join(given, "doc_id")
     count = lambda good: F.array(*[F.count_if((F.col("__good") == good) & (F.col("badness") > c)) for c in CUTOFFS])
     per = held.groupBy("stratum").agg(F.count_if("__good").alias("n"), count(True).alias("hit"), count(False).alias("bad"))
     per = per.withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(1))))  # one row for each stratum
@@ -85,14 +91,25 @@ def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: fl
     return rows.withColumn("ok", F.min("ok").over(so_far)).filter("ok = 1").withColumn("__r", best).filter("__r = 1").select("stratum", "cutoff")
 
 
+def _verdict(measures: DataFrame, labels: DataFrame, rows: DataFrame, stratum: str, **kw) -> DataFrame:
+    limit = written(cutoffs(measures, labels, **kw), "cutoffs").withColumnRenamed("stratum", "__stratum")
+    failed = base_failed()
+    kept = ~failed & F.coalesce(F.col("badness") <= F.col("cutoff"), F.lit(True))
+    return rows.join(limit, F.col(stratum).eqNullSafe(F.col("__stratum")), "left").withColumns({"base_failed": failed, "kept": kept})
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **kw) -> DataFrame:
+    """doc_id, MEASURES, base_failed and kept of every row; each text is read once. Cases as in judged()."""
+    measures = measured(docs, stratum)
+    return _verdict(measures, labels, measures, "stratum", **kw).select("doc_id", *MEASURES, "base_failed", "kept")
+
+
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **kw) -> DataFrame:
     """docs with MEASURES, base_failed and kept; columns of docs by these names are replaced.
 
-    A null or empty text has no words and fails the base rules. Repeated rows are judged each; no rows give no rows.
+    Texts are measured twice, for the cutoffs and for the rows, so that they never move. A null or empty text has no
+    words and fails the base rules. Repeated rows are judged each; no rows give no rows.
     """
-    limit = written(cutoffs(docs, labels, stratum, **kw), "cutoffs").withColumnRenamed("stratum", "__stratum")
     own = docs.drop(*MEASURES, "badness", "base_failed", "kept", "cutoff")
-    out = with_measures(own).join(limit, F.col(stratum).eqNullSafe(F.col("__stratum")), "left")
-    failed = base_failed()
-    kept = ~failed & F.coalesce(F.col("badness") <= F.col("cutoff"), F.lit(True))
-    return out.withColumns({"base_failed": failed, "kept": kept}).select(*own.columns, *MEASURES, "base_failed", "kept")
+    out = _verdict(measured(docs, stratum), labels, with_measures(own), stratum, **kw)
+    return out.select(*own.columns, *MEASURES, "base_failed", "kept")
