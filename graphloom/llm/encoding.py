@@ -56,11 +56,16 @@ class Encoder:
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo, parts = self.memo, [None if ODD.search(t) else self.split(t) for t in texts]
-        found = self._apart(list({p for one in parts if one for p in one if p not in memo}))
-        if len(memo) < self.limit:
-            memo.update(x for x in found.items() if len(x[0]) <= 64)
-        return [self._whole([t])[0] if one is None else b"".join([memo.get(p) or found.get(p, b"") for p in one]) for t, one in zip(texts, parts)]
+        get, parts = self.memo.get, [None if ODD.search(t) else self.split(t) for t in texts]
+        ids = [one and list(map(get, one)) for one in parts]
+        gaps = [[i for i, x in enumerate(x) if x is None] if x and None in x else () for x in ids]
+        found = self._apart(list({one[i] for one, gap in zip(parts, gaps) for i in gap}))
+        for one, x, gap in zip(parts, ids, gaps):
+            for i in gap:
+                x[i] = found[one[i]]
+        if len(self.memo) < self.limit:
+            self.memo.update(x for x in found.items() if len(x[0]) <= 64)
+        return [self._whole([t])[0] if x is None else b"".join(x) for t, x in zip(texts, ids)]
 
 
 _made: dict[tuple, Encoder] = {}
