@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, lattice, mixing, packing, risk_rules, sharding, token_index, topk
+from . import cotraining, fixity, lattice, mixing, packing, risk_rules, sharding, token_index, topk
 from .common import table
 
 
@@ -40,11 +40,15 @@ def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "p_low_quality", "p_toxic", "quality", "kept")
 
 
+def op9_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.audit(table(spark, sf_dir, "pages"), fault_every=200)
+
+
 def op10_histogram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.histogram_top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_scores, op2_pareto_mix, op4_label_propagation_shards, op5_pattern_packing, op6_token_index, op7_risk_controlled_rules, op8_cotraining, op10_histogram_top_k)}
+QUERIES = {f.__name__: f for f in (op1_lattice_scores, op2_pareto_mix, op4_label_propagation_shards, op5_pattern_packing, op6_token_index, op7_risk_controlled_rules, op8_cotraining, op9_merkle_fixity, op10_histogram_top_k)}
 
 SQL = {
     "op2_pareto_mix": """
