@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, fixity, lattice, mixing, packing, risk_rules, sharding, token_index, topk
+from . import cotraining, fixity, jaccard_join, lattice, mixing, packing, risk_rules, sharding, token_index, topk
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_histogram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.histogram_top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_scores, op2_pareto_mix, op4_label_propagation_shards, op5_pattern_packing, op6_token_index, op7_risk_controlled_rules, op8_cotraining, op9_merkle_fixity, op10_histogram_top_k)}
+QUERIES = {f.__name__: f for f in (op1_lattice_scores, op2_pareto_mix, op3_jaccard_join, op4_label_propagation_shards, op5_pattern_packing, op6_token_index, op7_risk_controlled_rules, op8_cotraining, op9_merkle_fixity, op10_histogram_top_k)}
 
 SQL = {
     "op2_pareto_mix": """
