@@ -53,8 +53,8 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     before = Window.partitionBy(F.lit(1)).orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("left", share * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
     s = s.withColumn("level", F.col("left") / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    level = F.min(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(every)
-    s = s.withColumn("target", F.least("cap", F.coalesce(level * F.col("w"), F.col("cap"))))
+    # with the sources full up to here set aside, the level rises until the first that isn't full, then falls
+    s = s.withColumn("target", F.least(F.col("cap"), F.max("level").over(every) * F.col("w")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     s = s.withColumn("whole", F.floor(rate).cast("long")).withColumn("p", rate - F.col("whole"))
     return s.select("source", "source_size", "target", "whole", "p", (F.col("target") - F.col("whole") * F.col("source_size")).alias("need"))

@@ -64,7 +64,7 @@ w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WH
 r AS (SELECT *, cap / w AS ratio FROM w),
 l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
   FROM r WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(cap, coalesce(min(CASE WHEN ratio > level THEN level END) OVER () * w, cap)) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, max(level) OVER () * w) AS target FROM l),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
 q AS (SELECT *, floor(rate) AS whole, rate - floor(rate) AS p, target - floor(rate) * source_size AS need FROM p),
 u AS (SELECT d.doc_id, d.size, q.*, (('0x' || substr(md5('17|' || coalesce(d.source, '') || '|' || coalesce(d.doc_id::VARCHAR, '') || '|' || d.size::VARCHAR), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
