@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -36,6 +36,7 @@ from .encoding import slices
 
 WIDTH, PERCENT = 5, 80
 SKETCH_BITS, CHUNK = 20, 4096
+#: Bits of the least bitmap; larger sets have as many as the next power of two.
 BITMAP = 1024
 LEAF, PIVOTS = 128, 8
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -65,8 +66,8 @@ def _count_buckets(width: int):
     def run(batches):
         total = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for b in slices(batches):
-            for x in b.column(0).to_pylist():
-                np.add.at(total, _bucket(shingles(x, width)), 1)
+            sets = [shingles(x, width) for x in b.column(0).to_pylist()]
+            total += np.bincount(_bucket(np.concatenate(sets)), minlength=len(total)).astype(np.uint32)
         parts = total.reshape(-1, CHUNK)
         at = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in at], pa.binary())], ["chunk", "counts"])
@@ -91,6 +92,12 @@ def frequent_levels(texts: DataFrame, width: int) -> np.ndarray:
     return np.maximum(0, np.floor(np.log2(np.maximum(1, total) / (4 * total.mean() + 8)) + 1)).astype(np.uint8)
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """The parity of the number of hashes at each of 2^k places."""
+    size = max(BITMAP, 1 << max(0, len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -105,13 +112,11 @@ def _features(levels, width: int, percent: int):
                 k = prefix_length(len(s), percent) if len(s) else 0
                 order = (level[_bucket(s)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
                 first.append(s[np.argsort(order, kind="stable")[:k]].view(np.int64))
-                parity = np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
-                bits.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
+                bits.append(bitmap(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             ends = np.cumsum([0] + [len(x) for x in first])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64()))
-            maps = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * (BITMAP // 64), pa.int32()), pa.array(np.concatenate(bits) if bits else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(sets)), pa.int64()), b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), lists, maps], ["row", "doc_id", "key", "n", "class", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(sets)), pa.int64()), b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(bits, pa.binary())], ["row", "doc_id", "key", "n", "class", "prefix", "bits"])
             row += len(sets)
 
     return run
@@ -123,41 +128,62 @@ def _most_apart(n1, n2, percent: int):
     return (n1 + n2) * (100 - percent)
 
 
-def _may_link(n1: Column, b1: Column, n2: Column, b2: Column, percent: int) -> Column:
-    apart = F.aggregate(F.zip_with(b1, b2, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("long"), lambda a, x: a + x)
-    sizes = (n1 * 100 >= n2 * percent) & (n2 * 100 >= n1 * percent)
-    return sizes & (apart * (100 + percent) <= _most_apart(n1, n2, percent))
+_ONES = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
+
 
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap at `size` bytes: places that fall together add their parities."""
+    a = np.frombuffer(bits, dtype=np.uint16)
+    while a.nbytes > size:
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return a
 
-_ONES = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
+
+def _may_link(n1: np.ndarray, b1: list[bytes], n2: np.ndarray, b2: list[bytes], percent: int) -> np.ndarray:
+    """Whether sizes and bitmaps of two sets allow a link."""
+    ok = (n1 * 100 >= n2 * percent) & (n2 * 100 >= n1 * percent)
+    for i in np.flatnonzero(ok):
+        size = min(len(b1[i]), len(b2[i]))
+        apart = int(_ONES[_folded(b1[i], size) ^ _folded(b2[i], size)].sum(dtype=np.int64))
+        ok[i] = apart * (100 + percent) <= _most_apart(n1[i], n2[i], percent)
+    return ok
+
+
+def _plausible(percent: int):
+    def run(batches):
+        for b in slices(batches, 4096):
+            u, v, n1, b1, n2, b2 = b.columns
+            ok = pa.array(_may_link(n1.to_numpy(), b1.to_pylist(), n2.to_numpy(), b2.to_pylist(), percent))
+            yield pa.RecordBatch.from_arrays([u.filter(ok), v.filter(ok)], ["u", "v"])
+
+    return run
 
 
 def _leaf_pairs(percent: int):
-    """Rows sorted by region -> candidate pairs within each region."""
+    """Rows (s, x, n, bits) sorted by region -> candidate pairs within each region."""
 
-    def pairs(x: np.ndarray, n: np.ndarray, bits: np.ndarray):
-        order = np.argsort(x, kind="stable")
-        x, n, bits = x[order], n[order], bits[order]
+    def pairs(rows: list[tuple]):
+        rows.sort()
+        x, n, bits = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows]
         for i in range(1, len(x)):
-            apart = _ONES[(bits[:i] ^ bits[i]).view(np.uint16)].sum(axis=1, dtype=np.int64)
-            ok = (apart * (100 + percent) <= _most_apart(n[:i], n[i], percent)) & (n[:i] * 100 >= n[i] * percent) & (n[i] * 100 >= n[:i] * percent)
-            yield np.full(int(ok.sum()), x[i]), x[:i][ok]
+            near = np.flatnonzero((n[:i] * 100 >= n[i] * percent) & (n[i] * 100 >= n[:i] * percent))
+            ok = near[_may_link(n[near], [bits[j] for j in near], np.full(len(near), n[i]), [bits[i]] * len(near), percent)]
+            yield from ((x[i], x[j]) for j in ok)
 
     def run(batches):
-        held = None
-        for b in batches:
-            cols = [b.column(i).to_numpy() for i in range(3)] + [b.column(3).flatten().to_numpy().reshape(b.num_rows, -1)]
-            held = cols if held is None else [np.concatenate(z) for z in zip(held, cols)]
-            starts = np.append(0, np.flatnonzero(np.diff(held[0])) + 1)
-            yield _batch(held, starts[:-1], starts[1:])
-            held = [c[starts[-1] :] for c in held]
-        if held is not None and len(held[0]):
-            yield _batch(held, np.array([0]), np.array([len(held[0])]))
-
-    def _batch(held, first, last):
-        got = [p for a, z in zip(first, last) for p in pairs(held[1][a:z], held[2][a:z], held[3][a:z])]
-        u, v = (np.concatenate([p[i] for p in got]) if got else np.zeros(0, dtype=np.int64) for i in range(2))
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        region, rows, got = None, [], []
+        for b in slices(batches, 4096):
+            for s, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if s != region:
+                    got += pairs(rows)
+                    region, rows = s, []
+                rows.append(tuple(row))
+            yield _batch(got)
+            got = []
+        yield _batch(list(pairs(rows)))
+
+    def _batch(got):
+        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in got], pa.int64()), pa.array([v for _, v in got], pa.int64())], ["u", "v"])
 
     return run
 
@@ -189,7 +215,7 @@ class _Corpus:
         self.width, self.percent = width, percent
         self.docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"))
         levels = docs.sparkSession.sparkContext.broadcast(frequent_levels(self.docs.select("text"), width))
-        schema = "row long, doc_id long, key long, n long, class binary, prefix array<long>, bits array<long>"
+        schema = "row long, doc_id long, key long, n long, class binary, prefix array<long>, bits binary"
         self.rows = written(self.docs.mapInArrow(_features(levels, width, percent), schema), "features")
         # copies of one class agree in everything but row and key
         kinds = self.rows.filter("n > 0").groupBy("class").agg(F.min(F.struct("row", "key")).alias("r"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
@@ -200,7 +226,7 @@ class _Corpus:
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
         both = pairs.join(self.about("u"), "u").join(self.about("v"), "v")
-        return both.filter(_may_link(F.col("n_u"), F.col("b_u"), F.col("n_v"), F.col("b_v"), self.percent)).select("u", "v")
+        return both.select("u", "v", "n_u", "b_u", "n_v", "b_v").mapInArrow(_plausible(self.percent), "u long, v long")
 
     def measured(self, pairs: DataFrame) -> DataFrame:
         """u, v, both, either of each pair, from the whole texts of those that are in one."""
@@ -248,11 +274,10 @@ def _parts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """row, doc_id, key, n, part of every row: rows of one part are linked, and only those."""
     corpus = _Corpus(docs, width, percent)
     posts = corpus.classes.select(F.explode("prefix").alias("s"), "x")
-    groups = written(posts.groupBy("s").agg(F.count("*").alias("k"), F.min("x").alias("v"), F.max("x").alias("u")).filter("k > 1"), "groups")
-    members = written(posts.join(groups.filter("k > 2").select("s", "k"), "s"), "members")
-    small = members.filter(F.col("k") <= LEAF).select("s", "x").join(corpus.classes.select("x", "n", "bits"), "x")
+    members = written(posts.withColumn("k", F.count("*").over(Window.partitionBy("s"))).filter("k > 1"), "members")
+    small = members.filter((F.col("k") > 2) & (F.col("k") <= LEAF)).select("s", "x").join(corpus.classes.select("x", "n", "bits"), "x")
     leaves = small.select("s", "x", "n", "bits").repartition("s").sortWithinPartitions("s").mapInArrow(_leaf_pairs(percent), "u long, v long")
-    twos = corpus.plausible(groups.filter("k = 2").select("u", "v").distinct())
+    twos = corpus.plausible(members.filter("k = 2").groupBy("s").agg(F.max("x").alias("u"), F.min("x").alias("v")).select("u", "v").distinct())
     edges = written(corpus.linked(corpus.measured(twos.unionByName(leaves))), "edges")
     edges = _large_regions(corpus, members.filter(F.col("k") > LEAF).select("s", "x"), edges)
     nodes = corpus.classes.select("class", "x").join(components(edges).withColumnsRenamed({"u": "x", "v": "part"}), "x", "left").select("class", F.coalesce("part", "x").alias("part"))
