@@ -1,4 +1,4 @@
 """Queries by name: importing the modules registers them."""
 
-from . import graph_queries  # noqa: F401
+from . import function_queries, graph_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
