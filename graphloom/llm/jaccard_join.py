@@ -6,13 +6,16 @@ sets within the distance share one of the first n - ceil(sim * n) + 1 shingles o
 order here puts shingles last whose hash bucket is frequent in the corpus (a sketch of fixed size, counted over all
 documents). The documents that hold a shingle in that prefix are a region, and every region is joined exactly:
 
-- a small region directly, in one task, by a bound from parity bitmaps: the set bits in the difference of two bitmaps
-  are at most the size of the symmetric difference, so no pair within the distance is lost;
-- a large one by pivots: the distance of all members to some pivots is bounded by the bitmaps, and measured where that
-  leaves a doubt; a pivot with its pairs settled leaves the region. Two members whose distances to the first pivot
-  differ by more than the threshold are no pair (triangle inequality), so only members within that window of a pivot
-  are replicated to it. Members that are connected by now need no comparison, so a region is done when all that is
-  left of it is connected; otherwise it goes on with more pivots from outside its largest part.
+- the least member of each region is a pivot; all members' distances to it are bounded by parity bitmaps (the set bits in
+  the difference of two bitmaps are at most the size of the symmetric difference) and measured where that leaves a
+  doubt. A pivot that links to no lesser one is a hub, and the members linked to it, each at its nearest hub, are its
+  cell. A region whose members are connected by now is done: however many near copies it holds, that took one distance
+  for each of them;
+- of the other regions only the hubs are compared. By the triangle inequality two cells have a link between them only
+  if their hubs are at most the threshold and both radii apart, which bitmaps decide for most pairs of hubs; the rest are
+  measured;
+- for two near hubs that are still not connected, the members in the window that the distances to their own hubs leave
+  are replicated to a region of the two cells, and joined there in the same way.
 
 The candidates' distances are computed from whole shingle sets; links are those within the threshold, and components
 follow from them.
@@ -38,7 +41,8 @@ WIDTH, PERCENT = 5, 80
 SKETCH_BITS, CHUNK = 20, 4096
 #: Bits of the least bitmap; larger sets have as many as the next power of two.
 BITMAP = 1024
-LEAF, PIVOTS = 128, 8
+#: Rows of a region that meet in one task; a larger one is joined block by block.
+LEAF = 128
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -122,61 +126,65 @@ def _features(levels, width: int, percent: int):
     return run
 
 
-# ---- candidates ----------------------------------------------------------------------------------------------------
-def _most_apart(n1, n2, percent: int):
-    """The largest symmetric difference of linked sets, times 100 + percent."""
-    return (n1 + n2) * (100 - percent)
+# ---- bounds and pairs within regions ---------------------------------------------------------------------------------
+_ONES = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
 
 
-_ONES = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
+def _folded(m: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (rows of 16-bit words) at `size` words: places that fall together add their parities."""
+    while m.shape[-1] > size:
+        half = m.shape[-1] // 2
+        m = m[..., :half] ^ m[..., half:]
+    return m
 
 
-def _folded(bits: bytes, size: int) -> np.ndarray:
-    """A bitmap at `size` bytes: places that fall together add their parities."""
-    a = np.frombuffer(bits, dtype=np.uint16)
-    while a.nbytes > size:
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    return a
+def least_distance(n1, n2, apart):
+    """What the sizes of two sets, and some of the elements that only one has, say of their distance."""
+    total = n1 + n2
+    return np.maximum(1 - np.minimum(n1, n2) / np.maximum(n1, n2), 2 * apart / (total + apart))
 
 
-def _may_link(n1: np.ndarray, b1: list[bytes], n2: np.ndarray, b2: list[bytes], percent: int) -> np.ndarray:
-    """Whether sizes and bitmaps of two sets allow a link."""
-    ok = (n1 * 100 >= n2 * percent) & (n2 * 100 >= n1 * percent)
-    for i in np.flatnonzero(ok):
-        size = min(len(b1[i]), len(b2[i]))
-        apart = int(_ONES[_folded(b1[i], size) ^ _folded(b2[i], size)].sum(dtype=np.int64))
-        ok[i] = apart * (100 + percent) <= _most_apart(n1[i], n2[i], percent)
-    return ok
+class _Rows:
+    """Rows of one region by size of bitmap, to bound the distances of one row to all of them at once."""
 
+    def __init__(self, rows: list[tuple]):
+        self.n = np.array([r[1] for r in rows], dtype=np.int64)
+        sizes = np.array([len(r[2]) for r in rows])
+        self.by = {int(z): np.flatnonzero(sizes == z) for z in np.unique(sizes)}
+        self.m = {z: np.stack([np.frombuffer(rows[i][2], np.uint16) for i in at]) for z, at in self.by.items()}
 
-def _plausible(percent: int):
-    def run(batches):
-        for b in slices(batches, 4096):
-            u, v, n1, b1, n2, b2 = b.columns
-            ok = pa.array(_may_link(n1.to_numpy(), b1.to_pylist(), n2.to_numpy(), b2.to_pylist(), percent))
-            yield pa.RecordBatch.from_arrays([u.filter(ok), v.filter(ok)], ["u", "v"])
+    def distances(self, n: int, bits: bytes) -> np.ndarray:
+        own, apart = np.frombuffer(bits, np.uint16), np.zeros(len(self.n), dtype=np.int64)
+        for z, at in self.by.items():
+            size = min(z // 2, len(own))
+            apart[at] = _ONES[_folded(self.m[z], size) ^ _folded(own, size)].sum(axis=1, dtype=np.int64)
+        return least_distance(self.n, n, apart)
 
-    return run
 
+def _region_pairs(threshold: float):
+    """Rows (s, x, n, bits, part, r, block, turn) sorted by region -> pairs u > v of different parts that bounds don't exclude.
 
-def _leaf_pairs(percent: int):
-    """Rows (s, x, n, bits) sorted by region -> candidate pairs within each region."""
+    Two rows may be as far apart as the threshold and both their radii. Only rows of block `turn` meet all others.
+    """
 
     def pairs(rows: list[tuple]):
-        rows.sort()
-        x, n, bits = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows]
-        for i in range(1, len(x)):
-            near = np.flatnonzero((n[:i] * 100 >= n[i] * percent) & (n[i] * 100 >= n[:i] * percent))
-            ok = near[_may_link(n[near], [bits[j] for j in near], np.full(len(near), n[i]), [bits[i]] * len(near), percent)]
-            yield from ((x[i], x[j]) for j in ok)
+        if len({r[3] for r in rows}) < 2:
+            return
+        all_rows = _Rows(rows)
+        x, part, radius, block = (np.array([r[i] for r in rows]) for i in (0, 3, 4, 5))
+        for i, (own, n, bits, p, r, b, turn) in enumerate(rows):
+            if b == turn:
+                ok = (all_rows.distances(n, bits) <= threshold + radius + r + 1e-9) & (part != p) & ((block > b) | ((block == b) & (x < own)))
+                yield from ((max(own, y), min(own, y)) for y in x[ok].tolist())
 
     def run(batches):
         region, rows, got = None, [], []
         for b in slices(batches, 4096):
             for s, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if s != region:
+                at = s, row[-1]
+                if at != region:
                     got += pairs(rows)
-                    region, rows = s, []
+                    region, rows = at, []
                 rows.append(tuple(row))
             yield _batch(got)
             got = []
@@ -188,6 +196,31 @@ def _leaf_pairs(percent: int):
     return run
 
 
+def _plausible(threshold: float):
+    def run(batches):
+        for b in slices(batches, 4096):
+            u, v, n1, b1, n2, b2 = b.columns
+            apart = []
+            for x, y in zip(b1.to_pylist(), b2.to_pylist()):
+                x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+                size = min(len(x), len(y))
+                apart.append(int(_ONES[_folded(x, size) ^ _folded(y, size)].sum(dtype=np.int64)))
+            ok = pa.array(least_distance(n1.to_numpy(), n2.to_numpy(), np.array(apart)) <= threshold + 1e-9)
+            yield pa.RecordBatch.from_arrays([u.filter(ok), v.filter(ok)], ["u", "v"])
+
+    return run
+
+
+def _cross(rows: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs of different parts within regions; rows: s, x, n, bits, part, r. A region of k rows is dealt out in k / LEAF blocks, each of which meets it whole."""
+    w = Window.partitionBy("s")
+    blocks = F.ceil(F.count("*").over(w) / LEAF).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("block >= turn")
+    dealt = dealt.select("s", "x", "n", "bits", "part", "r", "block", "turn").repartition("s", "turn").sortWithinPartitions("s", "turn")
+    return dealt.mapInArrow(_region_pairs(threshold), "u long, v long").distinct()
+
+
 # ---- exact distances -----------------------------------------------------------------------------------------------
 def _sets(width: int):
     def run(batches):
@@ -226,7 +259,7 @@ class _Corpus:
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
         both = pairs.join(self.about("u"), "u").join(self.about("v"), "v")
-        return both.select("u", "v", "n_u", "b_u", "n_v", "b_v").mapInArrow(_plausible(self.percent), "u long, v long")
+        return both.select("u", "v", "n_u", "b_u", "n_v", "b_v").mapInArrow(_plausible(1 - self.percent / 100), "u long, v long")
 
     def measured(self, pairs: DataFrame) -> DataFrame:
         """u, v, both, either of each pair, from the whole texts of those that are in one."""
@@ -242,44 +275,41 @@ class _Corpus:
         return measured.filter(F.col("both") * 100 >= F.col("either") * self.percent).select("u", "v")
 
 
-def _large_regions(corpus: _Corpus, members: DataFrame, edges: DataFrame) -> DataFrame:
-    """edges with the links within large regions (s, x), as far as connectivity needs them."""
-    percent, turn, radius = corpus.percent, 0, 1 - corpus.percent / 100
-    left = written(members.withColumn("d", F.lit(None).cast("double")), "regions")
-    while not left.isEmpty():
-        parts = components(edges)
-        at = left.join(parts.select(F.col("u").alias("x"), F.col("v").alias("part")), "x", "left").withColumn("part", F.coalesce("part", "x"))
-        # regions that are one part are done; of the others, pivots come from outside the largest part
-        sizes = at.groupBy("s", "part").agg(F.count("*").alias("k"), F.min("x").alias("low"))
-        rank = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("k"), "part"))
-        sizes = sizes.withColumn("place", rank).withColumn("parts", F.count("*").over(Window.partitionBy("s")))
-        at = written(at.join(sizes.filter("parts > 1").select("s", "part", "place"), ["s", "part"]), "parts")
-        lot = F.pmod(F.xxhash64("x", F.lit(turn)), F.lit(PIVOTS << turn))
-        pivots = at.filter("place > 1").groupBy("s", lot.alias("lot")).agg(F.min("x").alias("p")).select("s", "p")
-        pivots = written(pivots.join(at.select("s", F.col("x").alias("p"), F.col("part").alias("p_part"), F.col("d").alias("p_d")), ["s", "p"]), "pivots")
-        window = F.coalesce(F.abs(F.col("d") - F.col("p_d")) <= radius, F.lit(True))
-        pairs = at.join(pivots, "s").filter((F.col("part") != F.col("p_part")) & window).select(F.greatest("x", "p").alias("u"), F.least("x", "p").alias("v")).distinct()
-        measured = corpus.measured(corpus.plausible(pairs))
-        edges = written(edges.unionByName(corpus.linked(measured)).distinct(), "edges")
-        if not turn:  # distances to the region's first pivot, where they were measured, bound all others
-            one = pivots.groupBy("s").agg(F.min("p").alias("p"))
-            far = measured.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("p")), F.struct(F.col("v").alias("x"), F.col("u").alias("p")))).alias("e"), (1 - F.col("both") / F.col("either")).alias("m")).select("e.*", "m")
-            at = at.drop("d").join(one, "s").join(far, ["x", "p"], "left").select("s", "x", F.col("m").alias("d"))
-        left = written(at.select("s", "x", "d").join(pivots.select("s", F.col("p").alias("x")), ["s", "x"], "left_anti"), "regions")
-        turn += 1
-    return edges
-
-
 def _parts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """row, doc_id, key, n, part of every row: rows of one part are linked, and only those."""
     corpus = _Corpus(docs, width, percent)
+    threshold, region = 1 - percent / 100, Window.partitionBy("s")
     posts = corpus.classes.select(F.explode("prefix").alias("s"), "x")
-    members = written(posts.withColumn("k", F.count("*").over(Window.partitionBy("s"))).filter("k > 1"), "members")
-    small = members.filter((F.col("k") > 2) & (F.col("k") <= LEAF)).select("s", "x").join(corpus.classes.select("x", "n", "bits"), "x")
-    leaves = small.select("s", "x", "n", "bits").repartition("s").sortWithinPartitions("s").mapInArrow(_leaf_pairs(percent), "u long, v long")
-    twos = corpus.plausible(members.filter("k = 2").groupBy("s").agg(F.max("x").alias("u"), F.min("x").alias("v")).select("u", "v").distinct())
-    edges = written(corpus.linked(corpus.measured(twos.unionByName(leaves))), "edges")
-    edges = _large_regions(corpus, members.filter(F.col("k") > LEAF).select("s", "x"), edges)
+    members = posts.withColumns({"k": F.count("*").over(region), "p": F.min("x").over(region)}).filter("k > 1")
+    members = written(members.drop("k"), "members")
+    # cells around hubs
+    near = corpus.measured(corpus.plausible(members.filter("x <> p").select(F.col("x").alias("u"), F.col("p").alias("v")).distinct()))
+    edges = written(corpus.linked(near), "edges")
+    distance = 1 - F.col("both") / F.col("either")
+    to_hub = near.select("u", "v", distance.alias("d")).join(edges, ["u", "v"], "left_semi").join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_anti")
+    cells = written(to_hub.groupBy(F.col("u").alias("x")).agg(F.min(F.struct("d", "v")).alias("m")).select("x", F.col("m.v").alias("hub"), F.col("m.d").alias("d")), "cells")
+    radius = cells.groupBy(F.col("hub").alias("x")).agg(F.max("d").alias("r"))
+    # regions that are not connected, by their hubs
+    some = members.select("s", "x").join(cells, "x", "left").select("s", F.coalesce("hub", "x").alias("x")).distinct().join(components(edges).withColumnsRenamed({"u": "x", "v": "part"}), "x", "left").withColumn("part", F.coalesce("part", "x"))
+    some = written(some, "hubs")
+    open_regions = some.groupBy("s").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("s")
+    hubs = some.join(open_regions, "s", "left_semi").join(corpus.classes.select("x", "n", "bits"), "x").join(radius, "x", "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
+    apart = corpus.measured(_cross(hubs, threshold))
+    edges = written(edges.unionByName(corpus.linked(apart)), "edges")
+    # pairs of cells that may still be linked, by the members in their windows
+    parts = components(edges).withColumnsRenamed({"u": "x", "v": "part"})
+    ends = apart.select("u", "v", distance.alias("d"))
+    for end in ("u", "v"):
+        ends = ends.join(parts.withColumnsRenamed({"x": end, "part": f"part_{end}"}), end, "left").join(radius.withColumnsRenamed({"x": end, "r": f"r_{end}"}), end, "left")
+        ends = ends.withColumns({f"part_{end}": F.coalesce(f"part_{end}", end), f"r_{end}": F.coalesce(f"r_{end}", F.lit(0.0))})
+    ends = written(ends.filter((F.col("part_u") != F.col("part_v")) & (F.col("d") <= threshold + F.col("r_u") + F.col("r_v") + 1e-9)), "ends")
+    sides = []
+    for end, other in (("u", "v"), ("v", "u")):
+        own = cells.select(F.col("hub").alias(end), "x", F.col("d").alias("own")).unionByName(ends.select(end, F.col(end).alias("x"), F.lit(0.0).alias("own")).distinct())
+        side = ends.join(own, end).filter(F.col("own") >= F.col("d") - threshold - F.col(f"r_{other}") - 1e-9)
+        sides.append(side.select(F.xxhash64("u", "v").alias("s"), "x", F.col(f"part_{end}").alias("part")))
+    windows = sides[0].unionByName(sides[1]).distinct().join(corpus.classes.select("x", "n", "bits"), "x").withColumn("r", F.lit(0.0))
+    edges = written(edges.unionByName(corpus.linked(corpus.measured(_cross(windows, threshold)))), "edges")
     nodes = corpus.classes.select("class", "x").join(components(edges).withColumnsRenamed({"u": "x", "v": "part"}), "x", "left").select("class", F.coalesce("part", "x").alias("part"))
     rows = corpus.rows.select("row", "doc_id", "key", "n", "class").join(nodes, "class", "left")
     return written(rows.withColumn("part", F.coalesce("part", -F.col("row") - 1)).drop("class"), "parts")
