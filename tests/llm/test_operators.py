@@ -1,0 +1,241 @@
+"""Each operator on odd rows, and against brute force where it has one."""
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from graphloom.llm import cotraining, fixity, lattice, packing, risk_rules, sharding, token_index, topk
+
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string"
+LONG = "long words repeat " * 8000
+ROWS = [
+    (1, None, "en", "a", 3, "x", "y"), (2, "", None, None, None, None, None), (3, "Some text here.\nSome text here.", "en", "a", 3, "x", "y"), (3, "Some text here.\nSome text here.", "en", "a", 3, "x", "y"),
+    (None, "tabs\tand blanks \n\n  é ß 中文", "de", "b", 9, "x", "y"), (5, LONG, "en", "a", len(LONG), "x", "y"), (6, "<|endoftext|> it's 12,5% | a|b", "fr", "c", 1, "x", "y"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def encoded(path: str, text: str | None) -> list[int]:
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return t.encode(text or "", add_special_tokens=False).ids
+
+
+# ---- 1
+def spelled(lattice_, word: bytes) -> float:
+    """Sum over all spellings, by recursion without tables."""
+    p = dict(zip(lattice_.pieces, np.exp(lattice_.logp)))
+    if not word:
+        return 1.0
+    return sum(p[word[:k]] * spelled(lattice_, word[k:]) for k in range(1, len(word) + 1) if word[:k] in p)
+
+
+def test_lattice_sums_all_spellings():
+    pieces, logp = lattice.read_pieces(PIECES)
+    model = lattice.Lattice(pieces, logp)
+    words = [b" the", b" nation", "ré".encode(), b" ", b" xq9", b" " + b"e" * 9]
+    assert np.allclose(model.log_probability(words), [math.log(spelled(model, w)) for w in words])
+    assert np.exp(logp).sum() == pytest.approx(1.0)
+    counts = model.expected([b" the", b" nation"], np.array([3, 2]))
+    assert sum(n * len(p) for n, p in zip(counts, pieces)) == pytest.approx(3 * 4 + 2 * 7)
+
+
+def test_lattice_scores(spark, docs, none):
+    got = lattice.lattice_scores(docs, PIECES, head=2).collect()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    words = [((t or "").encode().lower().split() + ["end"], held(i)) for i, t, *_ in ROWS]
+    c = Counter(w for x, h in words if not h for w in x)
+    n, v = sum(c.values()), len(c)
+    want = sorted((len(x), sum(c[w] > 0 for w in x), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), 6)) for x, _ in words)
+    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
+    assert all(r.train_tokens == n and r.score < 0 and math.isfinite(r.score) for r in got)
+    assert lattice.lattice_scores(none, PIECES).collect() == []
+
+
+# ---- 4
+def test_shards_are_even_and_copies_together(spark, docs, none):
+    rows = [(i, f"text {i % 40 if i < 120 else i}", "en", "a", 1, "x", "y") for i in range(400)] + ROWS
+    got = sharding.sharded(spark.createDataFrame(rows, SCHEMA), shards=7).collect()
+    assert len(got) == len(rows)
+    by = {s: sorted(r.slot for r in got if r.shard == s) for s in range(7)}
+    assert all(v == list(range(len(v))) for v in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    groups = {}
+    for r in got:
+        groups.setdefault(r.text_crc32, set()).add(r.shard)
+    copies = [zlib.crc32(f"text {k}".encode()) for k in range(40)]
+    assert sum(len(groups[c]) == 1 for c in copies) >= 36
+    sizes = {r.doc_id: r.size for r in got}
+    assert sizes[1] == 16 and sizes[5] == len(LONG) + 16
+    assert sharding.sharded(none).collect() == []
+
+
+# ---- 5
+def test_packing_covers_every_token(docs, none):
+    got = packing.pack(docs, WORDS, size=64).collect()
+    want = sorted(zlib.crc32(np.array(ids[at : at + 64], dtype="<u4").tobytes()) for _, t, *_ in ROWS for ids in [encoded(WORDS, t) + [0]] for at in range(0, len(ids), 64))
+    assert sorted(r.ids_crc32 for r in got) == want
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in places.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert packing.pack(none, WORDS).collect() == []
+
+
+def test_plan_uses_every_piece_and_few_sequences():
+    r = np.random.default_rng(3)
+    for lengths in (r.integers(1, 257, 5000), r.integers(1, 40, 900), np.full(77, 129), np.array([256, 255, 1])):
+        h = np.bincount(lengths, minlength=257)
+        runs = packing.plan_runs(h)
+        used = np.zeros(257, dtype=int)
+        for n, content in runs:
+            assert sum(content) <= 256
+            for x in content:
+                used[x] += n
+        assert (used == h).all()
+        assert sum(n for n, _ in runs) <= max(-(-int((h * np.arange(257)).sum()) // 256) * 1.02 + 1, (lengths > 128).sum())
+
+
+# ---- 6
+def test_token_index_round_trip(spark, docs, none):
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in token_index.token_index_round_trip(docs, BYTES, 2).collect()))
+    want = sorted((i is not None, i or 0, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())) for i, t, *_ in ROWS for ids in [encoded(BYTES, t) + [2]])
+    assert got == want
+    assert token_index.token_index_round_trip(none, BYTES, 2).collect() == []
+    folder, shards, slots = token_index.write_index(docs, BYTES, 2)
+    strange = spark.createDataFrame([(12345,), (5,)], "doc_id long")
+    assert [r.doc_id for r in token_index.read_keys(strange, folder, shards, slots).collect()] == [5]
+
+
+def test_perfect_hash_is_minimal():
+    r = np.random.default_rng(0)
+    h1, h2 = (r.integers(0, 1 << 63, 5000, dtype=np.uint64) for _ in range(2))
+    levels, number = token_index.build_mph(h1, h2)
+    assert sorted(number) == list(range(5000))
+    assert (token_index.probe_mph(levels, h1, h2) == number).all()
+
+
+# ---- 7
+def repeats(words: list[str], width: int = 8) -> int:
+    windows = [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
+    n = Counter(windows)
+    return len({i + k for i, w in enumerate(windows) if n[w] > 1 for k in range(width)})
+
+
+def test_measures(spark, docs):
+    texts = [t for _, t, *_ in ROWS] + ["a b c d e f g h i " * 3, "x " * 30, "a\na\n\n \nb | % $"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in risk_rules.with_measures(rows).collect():
+        b = (r.text or "").encode().split()
+        words = [w.decode() for w in b]
+        assert (r.n_words, r.word_chars) == (len(words), sum(map(len, words)))
+        assert r.n_symbols == sum((r.text or "").count(c) for c in "#*$%&|<>")
+        lines = [x for x in (r.text or "").split("\n") if x.encode().split()]
+        assert r.n_dup_lines == len(lines) - len(set(lines))
+        assert r.n_repeat_words == repeats(words)
+
+
+def test_risk_is_controlled(spark, none):
+    clean = " ".join(f"w{k}" for k in range(30))
+    noise = "".join(f" %%%{k}" for k in range(25))
+    rows = [(i, clean + (noise if i % 5 == 0 else ""), "en", "a", 1, "x", "y") for i in range(1000)]
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(800)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    got = risk_rules.judged(spark.createDataFrame(rows, SCHEMA), labels).collect()
+    assert all(r.kept == (r.doc_id % 5 > 0) for r in got) and got[0].size == "x"
+    few = labels.filter("doc_id < 50")
+    assert all(r.kept for r in risk_rules.judged(spark.createDataFrame(rows, SCHEMA), few).collect())
+    assert risk_rules.judged(none, labels).collect() == []
+    import pyspark.sql.functions as F
+
+    p = spark.range(1).select(risk_rules.binomial_p(F.lit(40).cast("long"), F.lit(1).cast("long"), 0.1)).first()[0]
+    assert p == pytest.approx(0.9**40 + 40 * 0.1 * 0.9**39)
+
+
+# ---- 8
+def test_cotraining_finds_toxic_and_keeps_clean(spark, docs, none):
+    r = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(1600):
+        words = [f"w{x}" for x in r.integers(0, 400, 40)]
+        toxic = i % 8 == 0
+        if toxic:
+            words[3:5] = ["vile", "nasty"]
+        rows.append((i, " ".join(words), "en", f"s{i % 4}", 200, "x", "y"))
+        if i % 2 == 0:
+            labels.append((i, 1, int(toxic)))
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = cotraining.classified(spark.createDataFrame(rows, SCHEMA), labels).collect()
+    assert np.mean([not g.kept for g in got if g.doc_id % 8 == 0]) > 0.9
+    assert np.mean([g.kept for g in got if g.doc_id % 8]) > 0.98
+    assert len(cotraining.classified(docs, labels).collect()) == len(ROWS)
+    assert all(g.kept for g in cotraining.classified(docs, labels.limit(0)).collect())
+    assert cotraining.classified(none, labels).collect() == []
+
+
+# ---- 9
+def test_audit_finds_every_fault(spark):
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>" * (i % 9)) for i in range(3000)] + [(None, None, None), (7, "http://h/7", "again"), (8, "u", "<b>" * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = fixity.audit(pages, fault_every=40).collect()
+    assert len(got) == len(rows)
+    wrong = {(r.file, r.offset) for r in got if not r.intact}
+    assert wrong == {(r.file, r.offset) for r in got if zlib.crc32(f"{r.file}|{r.offset}".encode()) % 40 == 0} and wrong
+    assert all(r.intact for r in fixity.audit(pages).collect())
+    assert fixity.audit(pages.limit(0)).collect() == []
+
+
+def test_audit_of_missing_and_short_files(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>") for i in range(300)], "page_id long, url string, html string").repartition(3)
+    one, two = f"file://{tmp_path}/one", f"file://{tmp_path}/two"
+    manifest = fixity.write_warc(pages, one)
+    copies = fixity.replicate(manifest, one, two)
+    files = sorted((tmp_path / "two").iterdir())
+    files[0].unlink()
+    files[1].write_bytes(files[1].read_bytes()[:-10])
+    bad = fixity.differing(manifest, fixity.hash_replica(manifest, copies, two)).collect()
+    n = {r.file: r["count"] for r in manifest.groupBy("file").count().collect()}
+    names = {r.copy: r.file for r in copies.collect()}
+    assert len([r for r in bad if r.file == names[files[0].name]]) == n[names[files[0].name]]
+    assert [r.seq for r in bad if r.file == names[files[1].name]] == [n[names[files[1].name]] - 1]
+
+
+# ---- 10
+def test_top_k_against_all_scores(spark):
+    r = np.random.default_rng(2)
+    vectors = [(i, [float(x) for x in np.round(r.normal(size=4), 1 if i % 3 else 3)]) for i in range(300)]
+    vectors += [(300 + i, [0.5] * 4) for i in range(60)] + [(400, None), (450, [1.0, None, 1.0, 1.0]), (500, [float("nan")] * 4), (550, [1.0, 2.0]), (600, [1.5, 0.5]), (None, [0.5] * 4), (650, [float("inf")] * 4)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    good = [(i, np.floor(256 * np.array(v))) for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for q, x in good:
+        if q is not None and q % 50 == 0:
+            s = sorted(((-int(x @ y), i is None, i or 0) for i, y in good if len(y) == len(x) and i != q))[:5]
+            want += [(q, k + 1, None if none else i, -score) for k, (score, none, i) in enumerate(s)]
+    key = lambda t: (t[0], t[1])
+    for few in (64, 1):
+        got = [tuple(x) for x in topk.histogram_top_k(df, few=few).collect()]
+        assert sorted(got, key=key) == sorted(want, key=key)
+    assert topk.histogram_top_k(df.limit(0)).collect() == []
