@@ -91,7 +91,7 @@ def rtf_text(x: Column) -> Column:
 def extracted(files: DataFrame) -> DataFrame:
     """path, kind, text of files (path, content as bytes, mime)."""
     kind = extractor(F.col("path"), F.col("mime"))
-    f = files.withColumn("kind", kind).withColumn("t", F.decode("content", F.lit("utf-8")))
+    f = files.withColumn("kind", kind).withColumn("t", F.decode("content", "utf-8"))
     text = F.when(F.col("kind") == "markup", html_text(F.col("t"))).when(F.col("kind") == "markdown", markdown_text(F.col("t"))).when(F.col("kind").isin("plain", "csv"), F.col("t")).when(F.col("kind") == "rtf", rtf_text(F.col("t"))).when(F.col("kind") == "json", json_strings("t")).when(F.col("kind") == "mail", mail_text("content"))
     return f.select("path", "kind", text.alias("text"))
 
