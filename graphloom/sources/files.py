@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import ast
-import email
-import email.policy
 import json
 from collections.abc import Iterator
+from email import message_from_bytes
+from email.policy import default
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,9 +76,9 @@ def mail_text(x: pd.Series) -> pd.Series:
     def one(raw):
         if raw is None:
             return None
-        m = email.message_from_bytes(raw, policy=email.policy.default)
+        m = message_from_bytes(bytes(raw), policy=default)
         body = m.get_body(preferencelist=("plain", "html"))
-        head = [f"{k}: {m[k]}" for k in ("Subject", "From", "To", "Date") if m[k]]
+        head = [f"{k}: {str(m[k])}" for k in ("Subject", "From", "To", "Date") if m[k]]
         return "\n".join([*head, "", body.get_content() if body else ""]).strip()
 
     return x.map(one)
