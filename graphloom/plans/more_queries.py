@@ -244,7 +244,7 @@ def readonly_query_guard(spark, d):
 
 @query(f"{GRAPH}, u AS (SELECT DISTINCT src_uri AS a, dst_uri AS m FROM edges WHERE rel_type = 'SUPPLIED_BY' AND min_rank = 0), g AS (SELECT m, count(*) AS k FROM u GROUP BY 1 HAVING count(*) BETWEEN 2 AND 200) SELECT x.a AS a, y.a AS b, round(sum(1 / ln(k + 1)), 6) AS score FROM u x JOIN u y ON x.m = y.m AND x.a < y.a JOIN g ON g.m = x.m GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 50")
 def link_prediction(spark, d):
-    """Unlinked pairs by weighted common neighbours, rare ones counting more; hubs of more than 200 are told in the score's terms by no one."""
+    """Pairs by weighted common neighbours, rare ones counting more. By definition of the score, a neighbour that more than 200 share says nothing."""
     u = edges(spark, d).filter("rel_type = 'SUPPLIED_BY' AND min_rank = 0").select(F.col("src_uri").alias("a"), F.col("dst_uri").alias("m")).distinct()
     g = u.groupBy("m").agg(F.count("*").alias("k")).filter("k BETWEEN 2 AND 200")
     pairs = u.join(g, "m").join(u.withColumnRenamed("a", "b"), "m").filter("a < b")
