@@ -37,6 +37,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table in the shared folder that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def numbered(rows: DataFrame, group: str, salt: Column, into: str, salts: int = 64) -> DataFrame:
     """rows with numbers 0.. without gaps in each group, in no set order; a large group is numbered by many tasks."""
     rows = rows.withColumn("__salt", F.pmod(salt, F.lit(salts)))

@@ -12,10 +12,10 @@ documents). The documents that hold a shingle in that prefix are a region, and e
   cell. A region whose members are connected by now is done: however many near copies it holds, that took one distance
   for each of them;
 - of the other regions only the hubs are compared. By the triangle inequality two cells have a link between them only
-  if their hubs are at most the threshold and both radii apart, which bitmaps decide for most pairs of hubs; the rest are
-  measured;
-- for two near hubs that are still not connected, the members in the window that the distances to their own hubs leave
-  are replicated to a region of the two cells, and joined there in the same way.
+  if their hubs are at most the threshold and both radii apart; what bitmaps say of that distance gives every cell a
+  window, the least distance from its hub that a member with a link to another cell can have;
+- the members in the windows are replicated to their regions and joined there in the same way, between parts that are
+  still not connected.
 
 The candidates' distances are computed from whole shingle sets; links are those within the threshold, and components
 follow from them.
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, scratch, written
 from .components import components
 from .encoding import slices
 
@@ -41,8 +41,8 @@ WIDTH, PERCENT = 5, 80
 SKETCH_BITS, CHUNK = 20, 4096
 #: Bits of the least bitmap; larger sets have as many as the next power of two.
 BITMAP = 1024
-#: Rows of a region that meet in one task; a larger one is joined block by block.
-LEAF = 128
+#: Rows of a region (of a few hundred bytes each) that meet in one task; a larger one is joined block by block.
+LEAF = 4096
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -111,16 +111,17 @@ def _features(levels, width: int, percent: int):
         level, row = levels.value, TaskContext.get().partitionId() << 33
         for b in slices(batches):
             sets = [shingles(x, width) for x in b.column(2).to_pylist()]
-            first, bits, digest = [], [], []
+            first, bits, small, digest = [], [], [], []
             for s in sets:
                 k = prefix_length(len(s), percent) if len(s) else 0
                 order = (level[_bucket(s)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
                 first.append(s[np.argsort(order, kind="stable")[:k]].view(np.int64))
                 bits.append(bitmap(s))
+                small.append(_folded(np.frombuffer(bits[-1], np.uint16), BITMAP // 16).tobytes())
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             ends = np.cumsum([0] + [len(x) for x in first])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(sets)), pa.int64()), b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(bits, pa.binary())], ["row", "doc_id", "key", "n", "class", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(sets)), pa.int64()), b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(bits, pa.binary()), pa.array(small, pa.binary())], ["row", "doc_id", "key", "n", "class", "prefix", "bits", "small"])
             row += len(sets)
 
     return run
@@ -144,38 +145,48 @@ def least_distance(n1, n2, apart):
     return np.maximum(1 - np.minimum(n1, n2) / np.maximum(n1, n2), 2 * apart / (total + apart))
 
 
-class _Rows:
-    """Rows of one region by size of bitmap, to bound the distances of one row to all of them at once."""
-
-    def __init__(self, rows: list[tuple]):
-        self.n = np.array([r[1] for r in rows], dtype=np.int64)
-        sizes = np.array([len(r[2]) for r in rows])
-        self.by = {int(z): np.flatnonzero(sizes == z) for z in np.unique(sizes)}
-        self.m = {z: np.stack([np.frombuffer(rows[i][2], np.uint16) for i in at]) for z, at in self.by.items()}
-
-    def distances(self, n: int, bits: bytes) -> np.ndarray:
-        own, apart = np.frombuffer(bits, np.uint16), np.zeros(len(self.n), dtype=np.int64)
-        for z, at in self.by.items():
-            size = min(z // 2, len(own))
-            apart[at] = _ONES[_folded(self.m[z], size) ^ _folded(own, size)].sum(axis=1, dtype=np.int64)
-        return least_distance(self.n, n, apart)
+def _bounds(n: np.ndarray, m: np.ndarray, i: int) -> np.ndarray:
+    """What sizes and bitmaps (rows of 16-bit words) of a region say of the distances of one row to all of them."""
+    return least_distance(n, n[i], _ONES[m ^ m[i]].sum(axis=1, dtype=np.int64))
 
 
 def _region_pairs(threshold: float):
-    """Rows (s, x, n, bits, part, r, block, turn) sorted by region -> pairs u > v of different parts that bounds don't exclude.
+    """Rows (s, x, n, small, part, r, block, turn) sorted by region -> (u, v, null) and (x, null, window).
 
-    Two rows may be as far apart as the threshold and both their radii. Only rows of block `turn` meet all others.
+    u > v: pairs of different parts that bounds allow to be linked. window: the least distance from x that a member of
+    its cell with a link to a cell of another part can have, where the cell has a member at that distance or beyond.
+    Only rows of block `turn` meet all others.
     """
 
+    def two(a, b):
+        total, radii = a[1] + b[1], a[4] + b[4]
+        apart = (int.from_bytes(a[2], "little") ^ int.from_bytes(b[2], "little")).bit_count()
+        d = max(1 - min(a[1], b[1]) / max(a[1], b[1]), 2 * apart / (total + apart))
+        if a[3] == b[3] or d > threshold + radii + 1e-9:
+            return
+        if d <= threshold + 1e-9:
+            yield max(a[0], b[0]), min(a[0], b[0]), None
+        for own, other in ((a, b), (b, a)):
+            if own[4] + 1e-9 >= d - threshold - other[4]:
+                yield own[0], None, d - threshold - other[4]
+
     def pairs(rows: list[tuple]):
+        if len(rows) < 3:
+            if len(rows) == 2:
+                yield from two(*rows)
+            return
         if len({r[3] for r in rows}) < 2:
             return
-        all_rows = _Rows(rows)
-        x, part, radius, block = (np.array([r[i] for r in rows]) for i in (0, 3, 4, 5))
-        for i, (own, n, bits, p, r, b, turn) in enumerate(rows):
-            if b == turn:
-                ok = (all_rows.distances(n, bits) <= threshold + radius + r + 1e-9) & (part != p) & ((block > b) | ((block == b) & (x < own)))
-                yield from ((max(own, y), min(own, y)) for y in x[ok].tolist())
+        x, n, part, radius, block = (np.array([r[i] for r in rows]) for i in (0, 1, 3, 4, 5))
+        m = np.stack([np.frombuffer(r[2], np.uint16) for r in rows])
+        window = np.full(len(rows), np.inf)
+        for i in np.flatnonzero(block == rows[0][6]):
+            d = _bounds(n, m, i)
+            ok = (part != part[i]) & ((block > block[i]) | ((block == block[i]) & (x < x[i]))) & (d <= threshold + radius + radius[i] + 1e-9)
+            yield from ((max(x[i], y), min(x[i], y), None) for y in x[ok & (d <= threshold + 1e-9)].tolist())
+            window[i] = min(window[i], (d - threshold - radius)[ok].min(initial=np.inf))
+            window[ok] = np.minimum(window[ok], (d - threshold - radius[i])[ok])
+        yield from ((int(x[i]), None, float(window[i])) for i in np.flatnonzero(window <= radius + 1e-9))
 
     def run(batches):
         region, rows, got = None, [], []
@@ -191,7 +202,7 @@ def _region_pairs(threshold: float):
         yield _batch(list(pairs(rows)))
 
     def _batch(got):
-        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in got], pa.int64()), pa.array([v for _, v in got], pa.int64())], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["u", "v", "window"])
 
     return run
 
@@ -211,14 +222,15 @@ def _plausible(threshold: float):
     return run
 
 
-def _cross(rows: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs of different parts within regions; rows: s, x, n, bits, part, r. A region of k rows is dealt out in k / LEAF blocks, each of which meets it whole."""
+def _cross(rows: DataFrame, about: DataFrame, threshold: float) -> DataFrame:
+    """Of rows s, x, part, r, with n and small of x from `about`, what _region_pairs says, each once. A region of k rows is dealt out in k / LEAF blocks, each of which meets it whole."""
     w = Window.partitionBy("s")
     blocks = F.ceil(F.count("*").over(w) / LEAF).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("block >= turn")
-    dealt = dealt.select("s", "x", "n", "bits", "part", "r", "block", "turn").repartition("s", "turn").sortWithinPartitions("s", "turn")
-    return dealt.mapInArrow(_region_pairs(threshold), "u long, v long").distinct()
+    dealt = dealt.join(about, "x").select("s", "x", "n", "small", "part", "r", "block", "turn").repartition("s", "turn").sortWithinPartitions("s", "turn")
+    said = dealt.mapInArrow(_region_pairs(threshold), "u long, v long, window double")
+    return written(said.groupBy("u", "v").agg(F.min("window").alias("window")), "cross")
 
 
 # ---- exact distances -----------------------------------------------------------------------------------------------
@@ -249,10 +261,14 @@ class _Corpus:
         self.docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"))
         levels = docs.sparkSession.sparkContext.broadcast(frequent_levels(self.docs.select("text"), width))
         schema = "row long, doc_id long, key long, n long, class binary, prefix array<long>, bits binary"
-        self.rows = written(self.docs.mapInArrow(_features(levels, width, percent), schema), "features")
+        spark, path = docs.sparkSession, scratch(docs.sparkSession, "features")
+        self.docs.mapInArrow(_features(levels, width, percent), schema + ", small binary").write.option("compression", "zstd").parquet(path)
+        features = spark.read.schema(schema + ", small binary").parquet(path)
+        self.rows = written(features.select("row", "doc_id", "key", "n", "class"), "rows")
         # copies of one class agree in everything but row and key
-        kinds = self.rows.filter("n > 0").groupBy("class").agg(F.min(F.struct("row", "key")).alias("r"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-        self.classes = written(kinds.select("class", F.col("r.row").alias("x"), F.col("r.key").alias("key"), "n", "prefix", "bits"), "classes")
+        kinds = features.filter("n > 0").groupBy("class").agg(F.min(F.struct("row", "key")).alias("r"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("small").alias("small"))
+        self.classes = written(kinds.select("class", F.col("r.row").alias("x"), F.col("r.key").alias("key"), "n", "prefix", "bits", "small"), "classes")
+        discard(spark, path)
 
     def about(self, name: str) -> DataFrame:
         return self.classes.select(F.col("x").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"b_{name}"))
@@ -293,23 +309,21 @@ def _parts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     some = members.select("s", "x").join(cells, "x", "left").select("s", F.coalesce("hub", "x").alias("x")).distinct().join(components(edges).withColumnsRenamed({"u": "x", "v": "part"}), "x", "left").withColumn("part", F.coalesce("part", "x"))
     some = written(some, "hubs")
     open_regions = some.groupBy("s").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("s")
-    hubs = some.join(open_regions, "s", "left_semi").join(corpus.classes.select("x", "n", "bits"), "x").join(radius, "x", "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
-    apart = corpus.measured(_cross(hubs, threshold))
-    edges = written(edges.unionByName(corpus.linked(apart)), "edges")
-    # pairs of cells that may still be linked, by the members in their windows
+    about = corpus.classes.select("x", "n", "small")
+    hubs = some.join(open_regions, "s", "left_semi").join(radius, "x", "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
+    said = _cross(hubs, about, threshold)
+    link = lambda pairs: corpus.linked(corpus.measured(corpus.plausible(pairs.filter("v IS NOT NULL").select("u", "v"))))
+    edges = written(edges.unionByName(link(said)), "edges")
+    # members in the windows of cells that may still have links to others
+    window = said.filter("v IS NULL").select(F.col("u").alias("hub"), "window")
+    own = cells.unionByName(window.select(F.col("hub").alias("x"), "hub", F.lit(0.0).alias("d")))
+    border = own.join(window, "hub").filter(F.col("d") >= F.col("window") - 1e-9).select("x").distinct()
     parts = components(edges).withColumnsRenamed({"u": "x", "v": "part"})
-    ends = apart.select("u", "v", distance.alias("d"))
-    for end in ("u", "v"):
-        ends = ends.join(parts.withColumnsRenamed({"x": end, "part": f"part_{end}"}), end, "left").join(radius.withColumnsRenamed({"x": end, "r": f"r_{end}"}), end, "left")
-        ends = ends.withColumns({f"part_{end}": F.coalesce(f"part_{end}", end), f"r_{end}": F.coalesce(f"r_{end}", F.lit(0.0))})
-    ends = written(ends.filter((F.col("part_u") != F.col("part_v")) & (F.col("d") <= threshold + F.col("r_u") + F.col("r_v") + 1e-9)), "ends")
-    sides = []
-    for end, other in (("u", "v"), ("v", "u")):
-        own = cells.select(F.col("hub").alias(end), "x", F.col("d").alias("own")).unionByName(ends.select(end, F.col(end).alias("x"), F.lit(0.0).alias("own")).distinct())
-        side = ends.join(own, end).filter(F.col("own") >= F.col("d") - threshold - F.col(f"r_{other}") - 1e-9)
-        sides.append(side.select(F.xxhash64("u", "v").alias("s"), "x", F.col(f"part_{end}").alias("part")))
-    windows = sides[0].unionByName(sides[1]).distinct().join(corpus.classes.select("x", "n", "bits"), "x").withColumn("r", F.lit(0.0))
-    edges = written(edges.unionByName(corpus.linked(corpus.measured(_cross(windows, threshold)))), "edges")
+    border = written(border.join(parts, "x", "left").withColumn("part", F.coalesce("part", "x")), "border")
+    rows = members.select("s", "x").join(border, "x")
+    open_regions = rows.groupBy("s").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("s")
+    rows = rows.join(open_regions, "s", "left_semi").withColumn("r", F.lit(0.0))
+    edges = written(edges.unionByName(link(_cross(rows, about, threshold))), "edges")
     nodes = corpus.classes.select("class", "x").join(components(edges).withColumnsRenamed({"u": "x", "v": "part"}), "x", "left").select("class", F.coalesce("part", "x").alias("part"))
     rows = corpus.rows.select("row", "doc_id", "key", "n", "class").join(nodes, "class", "left")
     return written(rows.withColumn("part", F.coalesce("part", -F.col("row") - 1)).drop("class"), "parts")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from graphloom.llm import jaccard_join as J
@@ -53,7 +54,7 @@ def got(spark, rows):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr)
 
 
-@pytest.mark.parametrize("leaf", [128, 4])
+@pytest.mark.parametrize("leaf", [4096, 4])
 def test_against_all_pairs(spark, monkeypatch, leaf):
     monkeypatch.setattr(J, "LEAF", leaf)
     rows = families(leaf, 12, 25)
@@ -73,12 +74,13 @@ def test_empty_table_and_one_of_each(spark):
 
 
 def test_bounds_never_exceed_the_distance():
-    import numpy as np
-
     r = np.random.default_rng(1)
     for size in (3, 80, 1500, 5000):
         a = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64))
         b = np.unique(np.concatenate([a[: int(size * 0.9)], r.integers(0, 1 << 63, size // 8 + 1, dtype=np.uint64)]))
-        rows = J._Rows([(0, len(a), J.bitmap(a)), (1, len(b), J.bitmap(b))])
         both = len(np.intersect1d(a, b))
-        assert rows.distances(len(b), J.bitmap(b))[0] <= 1 - both / (len(a) + len(b) - both) + 1e-12
+        for words in (64, 4096):
+            x, y = (J._folded(np.frombuffer(J.bitmap(s), np.uint16), words) for s in (a, b))
+            width = min(len(x), len(y))
+            m = np.stack([J._folded(x, width), J._folded(y, width)])
+            assert J._bounds(np.array([len(a), len(b)]), m, 0)[1] <= 1 - both / (len(a) + len(b) - both) + 1e-12
