@@ -256,3 +256,58 @@ def src_drive(spark, d):
     """An incremental listing: the first file of a name is fetched, later ones are known."""
     place = F.row_number().over(Window.partitionBy("p_name").orderBy("p_partkey"))
     return table(spark, d, "part").select("p_partkey", F.when(place == 1, "fresh").otherwise("kept").alias("state"))
+
+
+@query()
+def src_sdk(spark, d):
+    """The connector interface on the folder of the tables: what lies there."""
+    from ..sources import connector
+
+    connector.register(spark)
+    return spark.read.format("file_listing").load(d).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), (F.col("size") > 0).alias("filled"))
+
+
+@query("SELECT o_orderkey, '[issue] order ' || o_orderkey || chr(10) || 'by ' || o_custkey || chr(10) || o_orderpriority AS text FROM orders")
+def src_saas(spark, d):
+    from ..sources import connector
+
+    text = connector.record_text("issue", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")), F.col("o_orderpriority"), F.col("o_custkey").cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+
+
+@query("SELECT event_id, '{\"event\":\"' || event_type || '\",\"user\":' || user_id || '}' AS payload FROM events WHERE event_type = 'purchase'")
+def sink_webhook(spark, d):
+    """What is posted when a job completes; a stream hands it out in foreachBatch."""
+    return table(spark, d, "events").filter("event_type = 'purchase'").select("event_id", F.to_json(F.struct(F.col("event_type").alias("event"), F.col("user_id").alias("user"))).alias("payload"))
+
+
+@query("SELECT doc_id, coalesce(CASE WHEN quality = 1 AND toxic = 0 THEN 'PUBLIC' WHEN toxic = 1 THEN 'RESTRICTED' END, 'INTERNAL') AS level FROM documents LEFT JOIN labels USING (doc_id)")
+def auto_classify(spark, d):
+    """A label where there is one from a model or a person, otherwise INTERNAL."""
+    level = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "PUBLIC").when(F.col("toxic") == 1, "RESTRICTED")
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce(level, F.lit("INTERNAL")).alias("level"))
+
+
+@query(f"WITH {NODES} SELECT uri FROM nodes WHERE contains(lower(name), 'asia') OR contains(lower(name), 'africa')")
+def nl_to_graph_query(spark, d):
+    """The fallback without a model: entities whose names hold a long word of the question."""
+    words = [w for w in "what links asia to africa".split() if len(w) > 3 and w not in ("what", "links")]
+    name = F.lower("name")
+    return nodes(spark, d).filter(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(name, w))).select("uri")
+
+
+@query("SELECT doc_id, count(*) AS tokens FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) FROM documents) GROUP BY 1")
+def tokenize(spark, d):
+    """The table function for SQL users."""
+    from ..functions import udtf
+
+    udtf.register(spark)
+    table(spark, d, "documents").createOrReplaceTempView("graphloom_documents")
+    return spark.sql("SELECT doc_id, count(*) AS tokens FROM graphloom_documents, LATERAL text_tokens(text) GROUP BY doc_id")
+
+
+@query("SELECT p_partkey, 'name = ' || p_name AS text FROM part")
+def src_toml(spark, d):
+    from ..sources import files
+
+    return table(spark, d, "part").select("p_partkey", files.toml_text(F.concat(F.lit('[a]\nname = "'), "p_name", F.lit('"'))).alias("text"))

@@ -175,3 +175,25 @@ def crawl(links: DataFrame, start: DataFrame, depth: int, most: int) -> DataFram
         seen = seen.unionByName(front)
     place = F.row_number().over(Window.partitionBy("start").orderBy("depth", "url"))
     return seen.withColumn("place", place).filter(F.col("place") <= most).drop("place")
+
+
+@F.pandas_udf(StringType())
+def toml_text(x: pd.Series) -> pd.Series:
+    """`key = value` lines of the leaves of a TOML document; null if it isn't one."""
+
+    def leaves(v, key=""):
+        if isinstance(v, dict):
+            for k, w in v.items():
+                yield from leaves(w, k)
+        else:
+            yield f"{key} = {v}"
+
+    def one(t):
+        import tomllib
+
+        try:
+            return "\n".join(leaves(tomllib.loads(t)))
+        except (TypeError, ValueError):
+            return None
+
+    return x.map(one)
