@@ -75,6 +75,20 @@ c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank) AS upto, sum(
 k AS (SELECT source, max(rank) AS cut FROM c WHERE upto - tied / 2 <= need GROUP BY source)
 SELECT z.doc_id, z.size, z.source_size, z.target, CAST(z.size * (z.whole + CASE WHEN z.rank <= k.cut THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM z LEFT JOIN k ON z.source IS NOT DISTINCT FROM k.source
+""",
+    "op3_jaccard_join": """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+e AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM w WHERE len(w) >= 5),
+g AS (SELECT doc_id, string_agg(x, ' ') OVER k AS g, count(*) OVER k AS n FROM e WINDOW k AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+s AS (SELECT DISTINCT doc_id, g FROM g WHERE n = 5 UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS other FROM u UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """,
     "op7_risk_controlled_rules": """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
