@@ -154,8 +154,8 @@ def _region_pairs(threshold: float):
     """Rows (s, x, n, small, part, r, block, turn) sorted by region -> (u, v, null) and (x, null, window).
 
     u > v: pairs of different parts that bounds allow to be linked. window: the least distance from x that a member of
-    its cell with a link to a cell of another part can have, where the cell has a member at that distance or beyond.
-    Only rows of block `turn` meet all others.
+    its cell with a link to a cell of another part can have, where the cell has a member at that distance or beyond
+    (none for two cells without members, whose only pair is the first kind). Only rows of block `turn` meet all others.
     """
 
     def two(a, b):
@@ -167,7 +167,7 @@ def _region_pairs(threshold: float):
         if d <= threshold + 1e-9:
             yield max(a[0], b[0]), min(a[0], b[0]), None
         for own, other in ((a, b), (b, a)):
-            if own[4] + 1e-9 >= d - threshold - other[4]:
+            if radii and own[4] + 1e-9 >= d - threshold - other[4]:
                 yield own[0], None, d - threshold - other[4]
 
     def pairs(rows: list[tuple]):
@@ -184,6 +184,7 @@ def _region_pairs(threshold: float):
             d = _bounds(n, m, i)
             ok = (part != part[i]) & ((block > block[i]) | ((block == block[i]) & (x < x[i]))) & (d <= threshold + radius + radius[i] + 1e-9)
             yield from ((max(x[i], y), min(x[i], y), None) for y in x[ok & (d <= threshold + 1e-9)].tolist())
+            ok &= radius + radius[i] > 0
             window[i] = min(window[i], (d - threshold - radius)[ok].min(initial=np.inf))
             window[ok] = np.minimum(window[ok], (d - threshold - radius[i])[ok])
         yield from ((int(x[i]), None, float(window[i])) for i in np.flatnonzero(window <= radius + 1e-9))
