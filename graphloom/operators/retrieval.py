@@ -44,7 +44,9 @@ def fused(channels: list[DataFrame], k: int, base: int = 60) -> DataFrame:
 
 def nearest_pairs(vectors: DataFrame, block: str, k: int, least: float) -> DataFrame:
     """a, b, score: of each vector its k nearest others of the same block, with a score above `least`."""
-    a = vectors.select(block, F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    b = vectors.select(block, F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    s = a.join(b, block).filter("a <> b").select("a", "b", F.round(V.cosine(F.col("x"), F.col("y")), 6).alias("score"))
+    # each vector's norm once, not once for each pair; the filter keeps them as columns of the shuffled rows
+    v = vectors.select(block, "vec_id", "embedding", V.norm(F.col("embedding")).alias("norm")).filter("norm > 0")
+    a = v.select(block, F.col("vec_id").alias("a"), F.col("embedding").alias("x"), F.col("norm").alias("p"))
+    b = v.select(block, F.col("vec_id").alias("b"), F.col("embedding").alias("y"), F.col("norm").alias("q"))
+    s = a.join(b, block).filter("a <> b AND size(x) = size(y)").select("a", "b", F.round(V.dot(F.col("x"), F.col("y")) / (F.col("p") * F.col("q")), 6).alias("score"))
     return s.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).filter((F.col("place") <= k) & (F.col("score") > least)).drop("place")
