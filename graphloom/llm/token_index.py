@@ -143,8 +143,9 @@ def _indexer(folder: str):
 def write_index(docs: DataFrame, tokenizer: str, end_id: int, keeps_space: bool = True, dtype: str = "<u2", folder: str | None = None) -> tuple[str, DataFrame, DataFrame]:
     """Write shards and index; returns (folder, shards, slots).
 
-    shards: shard, file, base (ids of all shards before it), ids. slots: slot, index_file, keys. Null texts are empty,
-    null ids come first, equal ids lie side by side in the order of their texts' hashes. No row, no file.
+    shards: shard, file, base (ids of all shards before it), ids. slots: slot, of (how many there are, with those
+    that no key falls into and that have no file), index_file, keys. Null texts are empty, null ids come first, equal
+    ids lie side by side in the order of their texts' hashes. No row, no file.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "ids")
@@ -155,9 +156,9 @@ def write_index(docs: DataFrame, tokenizer: str, end_id: int, keeps_space: bool
     shards = manifest.groupBy("shard").agg(F.first("file").alias("file"), F.sum("length").alias("ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each shard
     shards = written(shards.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)).cast("long")), "shards")
-    slots = max(1, -(-manifest.count() // KEYS_A_SLOT))
+    slots = max(1, -(-manifest.select("doc_id").distinct().count() // KEYS_A_SLOT))
     index = _hashed(manifest, slots, "shard", "offset", "length").groupBy("slot").applyInPandas(_indexer(folder), "slot int, index_file string, keys long")
-    return folder, shards, written(index, "slots")
+    return folder, shards, written(index.withColumn("of", F.lit(slots)), "slots")
 
 
 # ---- reading -------------------------------------------------------------------------------------------------------
@@ -211,7 +212,7 @@ def read_keys(keys: DataFrame, folder: str, shards: DataFrame, slots: DataFrame)
     Keys that are not there give no row (a strange key passes for another with a chance of 2^-32); repeated keys are
     asked once.
     """
-    n = max(1, slots.count())
+    n = getattr(slots.select("of").first(), "of", 1)
     asked = _hashed(keys.select("doc_id").distinct(), n).join(slots.select("slot", "index_file"), "slot")
     found = asked.groupBy("slot").applyInPandas(_finder(folder), "key string, shard int, offset long, length long")
     found = found.join(shards.select("shard", "file", "base"), "shard")

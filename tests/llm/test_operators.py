@@ -130,6 +130,15 @@ def test_token_index_round_trip(spark, docs, none):
     assert [r.doc_id for r in token_index.read_keys(strange, folder, shards, slots).collect()] == [5]
 
 
+def test_token_index_with_empty_slots(spark, monkeypatch):
+    monkeypatch.setattr(token_index, "KEYS_A_SLOT", 1)
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(12)] + [(None, "none"), (3, "again")], "doc_id long, text string")
+    folder, shards, slots = token_index.write_index(rows, BYTES, 2)
+    assert slots.count() < 13 == slots.first().of
+    got = [r.doc_id for r in token_index.read_keys(rows, folder, shards, slots).collect()]
+    assert sorted(got, key=str) == sorted([*range(12), None, 3], key=str)
+
+
 def test_perfect_hash_is_minimal():
     r = np.random.default_rng(0)
     h1, h2 = (r.integers(0, 1 << 63, 5000, dtype=np.uint64) for _ in range(2))
