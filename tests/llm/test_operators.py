@@ -204,6 +204,42 @@ def test_cotraining_finds_toxic_and_keeps_clean(spark, docs, none):
     assert cotraining.classified(none, labels).collect() == []
 
 
+def test_cotraining_exchanges_labels_over_all_documents(spark):
+    """Words of 20 unlabelled documents alone, which only the source tells to be toxic, with a labelled sample of 800."""
+    r = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(9000):
+        words = [f"w{x}" for x in r.integers(0, 400, 40)]
+        toxic = i % 10 == 0
+        if toxic:
+            words[3:5] = ["foul", "gross"] if i >= 3000 and i % 300 == 0 else ["vile", "nasty"]
+        rows.append((i, " ".join(words), "en", "bad" if toxic else f"s{i % 4}", 200, "x", "y"))
+        if i < 3000:
+            labels.append((i, 1, int(toxic)))
+    rows += [(None, "null ids are unlabelled", "en", "s1", 200, "x", "y")] * 3
+    documents = spark.createDataFrame(rows, SCHEMA)
+    model = cotraining.train(documents, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), most=800)[1]
+    at = lambda word: zlib.crc32(word) & ((1 << cotraining.TEXT_BITS) - 1)
+    assert min(model["text"][0][at(b"foul")], model["text"][0][at(b"gross")]) > 0.3
+    assert model["text"][0][at(b"foul")] > 5 * abs(np.mean([model["text"][0][at(f"w{k}".encode())] for k in range(400)]))
+
+
+def test_cotraining_sums_confident_rows(spark):
+    """Against a count by hand, over more rows than a labelled sample has and in many partitions."""
+    import pyspark.sql.functions as F
+
+    rows = spark.range(0, 20_000, 1, 16).select(F.col("id").alias("doc_id"), F.lit(0).alias("order"), F.when(F.col("id") % 10 == 0, "only bad").otherwise("only fine").cast("binary").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") % 10 == 0, "x").otherwise("y").alias("source"), F.lit(9).alias("n_chars"))
+    pool = rows.mapInArrow(cotraining._views, "doc_id long, order int, text binary, rates array<double>, meta binary")
+    w = np.zeros(1 << cotraining.META_BITS)
+    w[cotraining.meta_view("en", "x", 9)[1]], w[cotraining.meta_view("en", "y", 9)[1]] = 9, -9
+    mute = np.zeros(1 << cotraining.TEXT_BITS), np.zeros(cotraining.DENSE + 1)
+    ((text, meta),) = cotraining._exchange(pool)([[mute, (w, np.zeros(1))]])
+    at = lambda word: zlib.crc32(word) & ((1 << cotraining.TEXT_BITS) - 1)
+    assert text[at(b"bad")] == pytest.approx(math.log(2001 / 2002) - math.log(1 / 18002))
+    assert text[at(b"fine")] == pytest.approx(math.log(1 / 2002) - math.log(18001 / 18002))
+    assert abs(text[at(b"only")]) < 0.001 and not meta.any()
+
+
 # ---- 9
 def test_audit_finds_every_fault(spark):
     rows = [(i, f"http://h/{i}", f"<p>{i}</p>" * (i % 9)) for i in range(3000)] + [(None, None, None), (7, "http://h/7", "again"), (8, "u", "<b>" * 100_000)]
