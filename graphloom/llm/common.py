@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,15 +44,49 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def numbered(rows: DataFrame, group: str, salt: Column, into: str, salts: int = 64) -> DataFrame:
-    """rows with numbers 0.. without gaps in each group, in no set order; a large group is numbered by many tasks."""
+class Tables:
+    """Tables that one operator writes, by name, under a folder of its own in the shared one; each is deleted once nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, scratch(spark, name)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def discard(self, *names: str) -> None:
+        for name in names:
+            discard(self.spark, f"{self.folder}/{name}")
+
+    def close(self) -> None:
+        discard(self.spark, self.folder)
+
+
+def salts_for(rows: int) -> int:
+    """Salts for numbered(): one for each 200,000 rows, 64 at least."""
+    return max(64, rows // 200_000)
+
+
+def numbered(rows: DataFrame, group: str, salt: Column, into: str, salts: int) -> DataFrame:
+    """rows with numbers 0.. without gaps in each group (not null); a large group is numbered by many tasks.
+
+    The order within a salt is that of all columns, so a task that is run again gives the same numbers: only rows that
+    agree in every column may change places. Columns must be of types that can be ordered; `salt` must come from them.
+    """
+    order = rows.columns
     rows = rows.withColumn("__salt", F.pmod(salt, F.lit(salts)))
     sizes = rows.groupBy(group, "__salt").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(group).orderBy("__salt")) - F.col("__n")  # over at most `salts` rows
-    sizes = sizes.select(F.col(group).alias("__g"), F.col("__salt").alias("__s"), before.alias("__before"))
-    rows = rows.withColumn("__own", F.row_number().over(Window.partitionBy(group, "__salt").orderBy(F.lit(0))) - 1)
-    rows = rows.join(sizes, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__salt") == F.col("__s")))
-    return rows.withColumn(into, F.col("__before") + F.col("__own")).drop("__salt", "__before", "__own", "__g", "__s")
+    sizes = sizes.select(group, "__salt", before.alias("__before"))
+    rows = rows.withColumn("__own", F.row_number().over(Window.partitionBy(group, "__salt").orderBy(*order)) - 1)
+    return rows.join(sizes, [group, "__salt"]).withColumn(into, F.col("__before") + F.col("__own")).select(*order, into)
+
+
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns of these names (in any case) renamed, and what gives a frame made of them docs' columns under their own names."""
+    other = {c: f"__own_{c}" for c in docs.columns if c.lower() in names}
+    columns = [F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns]
+    return docs.withColumnsRenamed(other), lambda out: out.select(*columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

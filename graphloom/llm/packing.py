@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, written
+from .common import numbered, salts_for, written
 from .encoding import encoder, slices
 
 
@@ -159,8 +159,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, kee
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: each document's pieces and their places.
 
     A null or empty text is its end alone, one token. Repeated rows and null ids are documents of their own. An empty
-    table gives no rows. Which of several pieces of one length goes where is not set and may differ between runs; the
-    number of sequences doesn't.
+    table gives no rows. Pieces of one length are placed in an order of their own columns, so reruns and tasks that are
+    run again agree.
     """
     spark = docs.sparkSession
     pieces = docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, size, end_id, keeps_space), "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -169,5 +169,5 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, kee
     for r in pieces.groupBy("length").count().collect():  # at most `size` rows
         histogram[r["length"]] = r["count"]
     plan = spark.sparkContext.broadcast(slots(plan_runs(histogram, triples)))
-    rows = numbered(pieces, "length", F.xxhash64("doc_id", "piece", "ids_crc32"), "number")
+    rows = numbered(pieces, "length", F.xxhash64("doc_id", "piece", "ids_crc32"), "number", salts_for(int(histogram.max())))
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInArrow(_place(plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

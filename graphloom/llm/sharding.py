@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, written
+from .common import numbered, salts_for, written
 
 SHARDS, ROUNDS, HEADER_BYTES = 40, 6, 16
 #: A group that wants more than this share of a shard's room may move in part.
@@ -86,7 +86,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     rows = docs.select("doc_id", (F.length(text) + HEADER_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(F.col("text").cast("binary")).alias("g"))
     rows = written(rows.withColumn("h", F.xxhash64("doc_id", "text_crc32")), "rows")
     n = rows.count()
-    quotas, salts = [n // shards + (s < n % shards) for s in range(shards)], max(64, n // 200_000)
+    quotas, salts = [n // shards + (s < n % shards) for s in range(shards)], salts_for(n)
     cells = rows.filter("g IS NOT NULL").groupBy("g", F.pmod("h", F.lit(shards)).cast("int").alias("s")).agg(F.count("*").alias("n"))
     state = cells.groupBy("g").agg(F.sum("n").alias("total"), F.collect_list(F.struct("s", "n")).cast(CELL).alias("cells")).filter("total > 1")
     state, loads = propagate(written(state, "cells"), quotas, rounds)
@@ -96,7 +96,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     sizes = salted.filter("g IS NOT NULL").groupBy("g", "salt").agg(F.count("*").alias("k")).join(state.select("g", ends.alias("ends")), "g")
     before = F.expr("sum(k) OVER (PARTITION BY g ORDER BY salt) - k")  # over at most `salts` rows
     sizes = sizes.select("g", "salt", "ends", before.alias("before"))
-    own = F.expr("row_number() OVER (PARTITION BY g, salt ORDER BY h) - 1")
+    own = F.expr("row_number() OVER (PARTITION BY g, salt ORDER BY h, doc_id, size, text_crc32) - 1")
     placed = salted.filter("g IS NOT NULL").withColumn("own", own).join(sizes, ["g", "salt"], "left")
     to = F.filter("ends", lambda e: e["end"] > F.col("before") + F.col("own"))
     columns = ("doc_id", "size", "text_crc32", "h")
