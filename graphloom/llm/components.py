@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Tables
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,16 +20,18 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """u, v: every node with an edge that is not the least of its component, and that least node.
+def components(edges: DataFrame, work: Tables, name: str) -> DataFrame:
+    """u, v: every node with an edge that is not the least of its component, and that least node; a table of `work`.
 
-    edges: u, v (long) with u > v. Each turn makes stars around greater, then around smaller nodes; it ends when a turn
-    changes nothing, after a number of turns that grows with the logarithm of the longest path.
+    edges: u, v (long). Each turn makes stars around greater, then around smaller nodes; it ends when a turn changes
+    nothing, after a number of turns that grows with the logarithm of the longest path.
     """
-    edges, before = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"), None
+    turn, before = 0, None
+    edges = work.write(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
     while True:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             return edges
-        before = mark
-        edges = written(_stars(_stars(edges, True), False), "edges")
+        before, turn = mark, turn + 1
+        edges = work.write(_stars(_stars(edges, True), False), f"{name}-{turn}")
+        work.discard(f"{name}-{turn - 1}")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Tables
 from .encoding import slices
 
 TEXT_BITS, META_BITS, DENSE = 20, 12, 7
@@ -226,8 +226,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8000, rounds: int = 3)
         zero = (np.zeros(1 << TEXT_BITS), np.zeros(DENSE + 1), 1.0, 0.0), (np.zeros(1 << META_BITS), np.zeros(1), 1.0, 0.0)
         return [{"prior": -10.0, "text": (zero[0][0], zero[0][1] - 10.0 * (np.arange(DENSE + 1) == 0), 1.0, 0.0), "meta": (zero[1][0], zero[1][1] - 10.0, 1.0, 0.0)} for _ in FAULTS]
     text, meta = [np.frombuffer(r.text, np.int32) for r in got], [np.frombuffer(r.meta, np.int32) for r in got]
-    pool = written(rows.join(chosen, same, "left_anti").mapInArrow(_views, kind).drop("doc_id", "order"), "pool")
-    return cotrain(text, np.array([r.rates for r in got]).reshape(len(got), DENSE), meta, np.array([r.y for r in got]), _exchange(pool), rounds)
+    work = Tables(docs.sparkSession, "cotraining")
+    pool = work.write(rows.join(chosen, same, "left_anti").mapInArrow(_views, kind).drop("doc_id", "order"), "pool")
+    models = cotrain(text, np.array([r.rates for r in got]).reshape(len(got), DENSE), meta, np.array([r.y for r in got]), _exchange(pool), rounds)
+    work.close()
+    return models
 
 
 def _scorer(shared, columns: int):

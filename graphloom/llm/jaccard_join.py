@@ -4,7 +4,8 @@ Copies are folded into classes of equal shingle sets first. Unrelated texts all
 pivots drawn from the documents alone would part nothing. The first partition is therefore by single shingles: two
 sets within the distance share one of the first n - ceil(sim * n) + 1 shingles of each in any common order, and the
 order here puts shingles last whose hash bucket is frequent in the corpus (a sketch of fixed size, counted over all
-documents). The documents that hold a shingle in that prefix are a region, and every region is joined exactly:
+documents). The documents that hold a shingle in that prefix are a region, cut wherever the next larger member is too large
+to be similar to any before it, and every region is joined exactly:
 
 - the least member of each region is a pivot; all members' distances to it are bounded by parity bitmaps (the set bits in
   the difference of two bitmaps are at most the size of the symmetric difference) and measured where that leaves a
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, scratch, written
+from .common import Tables, written
 from .components import components
 from .encoding import slices
 
@@ -87,13 +88,13 @@ def _add_chunks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def frequent_levels(texts: DataFrame, width: int) -> np.ndarray:
-    """For each of 2^SKETCH_BITS buckets of shingle hashes 0, or how many doublings its count lies above four times the mean."""
+    """For each of 2^SKETCH_BITS buckets of shingle hashes 0, or how many doublings its count lies above one and a half times the mean."""
     got = texts.mapInArrow(_count_buckets(width), "chunk int, counts binary").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, counts binary").collect()
     total = np.zeros((1 << SKETCH_BITS) // CHUNK * CHUNK, dtype=np.int64).reshape(-1, CHUNK)
     for r in got:
         total[r.chunk] = np.frombuffer(r.counts, dtype=np.int64)
     total = total.ravel()
-    return np.maximum(0, np.floor(np.log2(np.maximum(1, total) / (4 * total.mean() + 8)) + 1)).astype(np.uint8)
+    return np.maximum(0, np.floor(np.log2(np.maximum(1, total) / (1.5 * total.mean() + 2)) + 1)).astype(np.uint8)
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -110,18 +111,17 @@ def _features(levels, width: int, percent: int):
     def run(batches):
         level, row = levels.value, TaskContext.get().partitionId() << 33
         for b in slices(batches):
-            sets = [shingles(x, width) for x in b.column(2).to_pylist()]
-            first, bits, small, digest = [], [], [], []
+            sets = [shingles(x, width) for x in b.column(3).to_pylist()]
+            first, bits, digest = [], [], []
             for s in sets:
                 k = prefix_length(len(s), percent) if len(s) else 0
                 order = (level[_bucket(s)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
                 first.append(s[np.argsort(order, kind="stable")[:k]].view(np.int64))
                 bits.append(bitmap(s))
-                small.append(_folded(np.frombuffer(bits[-1], np.uint16), BITMAP // 16).tobytes())
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             ends = np.cumsum([0] + [len(x) for x in first])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(sets)), pa.int64()), b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(bits, pa.binary()), pa.array(small, pa.binary())], ["row", "doc_id", "key", "n", "class", "prefix", "bits", "small"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(sets)), pa.int64()), *b.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(bits, pa.binary())], ["row", "doc_id", "key", "key2", "n", "class", "prefix", "bits"])
             row += len(sets)
 
     return run
@@ -151,18 +151,20 @@ def _bounds(n: np.ndarray, m: np.ndarray, i: int) -> np.ndarray:
 
 
 def _region_pairs(threshold: float):
-    """Rows (s, x, n, small, part, r, block, turn) sorted by region -> (u, v, null) and (x, null, window).
+    """Rows (s, x, n, small, part, r, block, i, j) sorted by s, i, j -> (u, v, null) and (x, null, window).
 
     u > v: pairs of different parts that bounds allow to be linked. window: the least distance from x that a member of
     its cell with a link to a cell of another part can have, where the cell has a member at that distance or beyond
-    (none for two cells without members, whose only pair is the first kind). Only rows of block `turn` meet all others.
+    (none for two cells without members, whose only pair is the first kind). Rows of block i meet those of block j.
     """
 
     def two(a, b):
         total, radii = a[1] + b[1], a[4] + b[4]
+        if a[3] == b[3] or (a[5] == b[5]) != (a[6] == a[7]):
+            return
         apart = (int.from_bytes(a[2], "little") ^ int.from_bytes(b[2], "little")).bit_count()
         d = max(1 - min(a[1], b[1]) / max(a[1], b[1]), 2 * apart / (total + apart))
-        if a[3] == b[3] or d > threshold + radii + 1e-9:
+        if d > threshold + radii + 1e-9:
             return
         if d <= threshold + 1e-9:
             yield max(a[0], b[0]), min(a[0], b[0]), None
@@ -179,10 +181,11 @@ def _region_pairs(threshold: float):
             return
         x, n, part, radius, block = (np.array([r[i] for r in rows]) for i in (0, 1, 3, 4, 5))
         m = np.stack([np.frombuffer(r[2], np.uint16) for r in rows])
+        first, second = rows[0][6], rows[0][7]
         window = np.full(len(rows), np.inf)
-        for i in np.flatnonzero(block == rows[0][6]):
+        for i in np.flatnonzero(block == first):
             d = _bounds(n, m, i)
-            ok = (part != part[i]) & ((block > block[i]) | ((block == block[i]) & (x < x[i]))) & (d <= threshold + radius + radius[i] + 1e-9)
+            ok = (part != part[i]) & (x < x[i] if first == second else block == second) & (d <= threshold + radius + radius[i] + 1e-9)
             yield from ((max(x[i], y), min(x[i], y), None) for y in x[ok & (d <= threshold + 1e-9)].tolist())
             ok &= radius + radius[i] > 0
             window[i] = min(window[i], (d - threshold - radius)[ok].min(initial=np.inf))
@@ -193,7 +196,7 @@ def _region_pairs(threshold: float):
         region, rows, got = None, [], []
         for b in slices(batches, 4096):
             for s, *row in zip(*(c.to_pylist() for c in b.columns)):
-                at = s, row[-1]
+                at = s, row[-2], row[-1]
                 if at != region:
                     got += pairs(rows)
                     region, rows = at, []
@@ -223,15 +226,26 @@ def _plausible(threshold: float):
     return run
 
 
+def _small(batches):
+    """x, n, bits -> x, n and the bitmap at its least width."""
+    for b in slices(batches, 4096):
+        small = [_folded(np.frombuffer(m, np.uint16), BITMAP // 16).tobytes() for m in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(small, pa.binary())], ["x", "n", "small"])
+
+
 def _cross(rows: DataFrame, about: DataFrame, threshold: float) -> DataFrame:
-    """Of rows s, x, part, r, with n and small of x from `about`, what _region_pairs says, each once. A region of k rows is dealt out in k / LEAF blocks, each of which meets it whole."""
-    w = Window.partitionBy("s")
-    blocks = F.ceil(F.count("*").over(w) / LEAF).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
-    dealt = rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("block >= turn")
-    dealt = dealt.join(about, "x").select("s", "x", "n", "small", "part", "r", "block", "turn").repartition("s", "turn").sortWithinPartitions("s", "turn")
+    """Of rows s, x, part, r, with n and small of x from `about`, what _region_pairs says, each once.
+
+    A region of more than LEAF rows is dealt out in blocks, and every two blocks meet in a group of their own.
+    """
+    sizes = rows.groupBy("s").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("blocks"))
+    large = sizes.filter("blocks > 1").withColumnRenamed("s", "l")  # at most one in LEAF of the rows
+    rows = rows.join(large, F.col("s") == F.col("l"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    dealt = rows.select("s", "x", "part", "r", "block", F.inline(meets))
+    dealt = dealt.join(about, "x").select("s", "x", "n", "small", "part", "r", "block", "i", "j").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
     said = dealt.mapInArrow(_region_pairs(threshold), "u long, v long, window double")
-    return written(said.groupBy("u", "v").agg(F.min("window").alias("window")), "cross")
+    return said.groupBy("u", "v").agg(F.min("window").alias("window"))
 
 
 # ---- exact distances -----------------------------------------------------------------------------------------------
@@ -255,21 +269,23 @@ def _measured(batches):
 
 
 class _Corpus:
-    """Classes with their prefixes and bitmaps, and the texts to measure distances by."""
+    """Classes with their prefixes and bitmaps, and the texts to measure distances by.
+
+    key and key2 are two 64-bit hashes of a row's id and text: what they tell apart is 128 bits wide.
+    """
 
-    def __init__(self, docs: DataFrame, width: int, percent: int):
-        self.width, self.percent = width, percent
-        self.docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"))
+    def __init__(self, docs: DataFrame, width: int, percent: int, work: Tables):
+        self.width, self.percent, self.work = width, percent, work
+        self.docs = docs.select("doc_id", *keys(), F.col("text").cast("binary").alias("text"))
         levels = docs.sparkSession.sparkContext.broadcast(frequent_levels(self.docs.select("text"), width))
-        schema = "row long, doc_id long, key long, n long, class binary, prefix array<long>, bits binary"
-        spark, path = docs.sparkSession, scratch(docs.sparkSession, "features")
-        self.docs.mapInArrow(_features(levels, width, percent), schema + ", small binary").write.option("compression", "zstd").parquet(path)
-        features = spark.read.schema(schema + ", small binary").parquet(path)
-        self.rows = written(features.select("row", "doc_id", "key", "n", "class"), "rows")
-        # copies of one class agree in everything but row and key
-        kinds = features.filter("n > 0").groupBy("class").agg(F.min(F.struct("row", "key")).alias("r"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("small").alias("small"))
-        self.classes = written(kinds.select("class", F.col("r.row").alias("x"), F.col("r.key").alias("key"), "n", "prefix", "bits", "small"), "classes")
-        discard(spark, path)
+        schema = "row long, doc_id long, key long, key2 long, n long, class binary, prefix array<long>, bits binary"
+        features = work.write(self.docs.mapInArrow(_features(levels, width, percent), schema), "features")
+        first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "key2").alias("first")
+        self.rows = work.write(features.select("doc_id", "n", "class", first), "rows")
+        # copies of one class agree in everything but row, id and key
+        kinds = features.filter("n > 0").groupBy("class").agg(F.min(F.struct("row", "key", "key2")).alias("r"), F.min(first).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+        self.classes = work.write(kinds.select("class", F.col("r.row").alias("x"), "r.key", "r.key2", "first", "n", "prefix", "bits"), "classes")
+        work.discard("features")
 
     def about(self, name: str) -> DataFrame:
         return self.classes.select(F.col("x").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"b_{name}"))
@@ -278,56 +294,96 @@ class _Corpus:
         both = pairs.join(self.about("u"), "u").join(self.about("v"), "v")
         return both.select("u", "v", "n_u", "b_u", "n_v", "b_v").mapInArrow(_plausible(1 - self.percent / 100), "u long, v long")
 
-    def measured(self, pairs: DataFrame) -> DataFrame:
+    def measured(self, pairs: DataFrame, name: str) -> DataFrame:
         """u, v, both, either of each pair, from the whole texts of those that are in one."""
-        pairs = written(pairs.distinct(), "pairs")
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("x")).distinct().join(self.classes.select("x", "key"), "x")
-        asked = written(asked, "asked")
-        texts = self.docs.join(asked.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("x", "text")
-        sets = written(texts.mapInArrow(_sets(self.width), "x long, set binary").dropDuplicates(["x"]), "sets")
+        work, steps = self.work, [f"{name}-{x}" for x in ("pairs", "asked", "sets")]
+        pairs = work.write(pairs.distinct(), steps[0])
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("x")).distinct().join(self.classes.select("x", "key", "key2"), "x")
+        asked = work.write(asked, steps[1])
+        sets = self.docs.join(asked, ["key", "key2"]).select("x", "text").mapInArrow(_sets(self.width), "x long, set binary")
+        sets = work.write(sets.dropDuplicates(["x"]), steps[2])  # a row may be there more than once
         both = pairs.join(sets.withColumnsRenamed({"x": "u", "set": "s"}), "u").join(sets.withColumnsRenamed({"x": "v", "set": "t"}), "v")
-        return written(both.select("u", "v", "s", "t").mapInArrow(_measured, "u long, v long, both long, either long"), "measured")
+        out = work.write(both.select("u", "v", "s", "t").mapInArrow(_measured, "u long, v long, both long, either long"), name)
+        work.discard(*steps)
+        return out
 
     def linked(self, measured: DataFrame) -> DataFrame:
         return measured.filter(F.col("both") * 100 >= F.col("either") * self.percent).select("u", "v")
 
+    def links(self, said: DataFrame, name: str) -> DataFrame:
+        """The links among what _cross says."""
+        return self.linked(self.measured(self.plausible(said.filter("v IS NOT NULL").select("u", "v")), name))
 
-def _parts(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """row, doc_id, key, n, part of every row: rows of one part are linked, and only those."""
-    corpus = _Corpus(docs, width, percent)
-    threshold, region = 1 - percent / 100, Window.partitionBy("s")
-    posts = corpus.classes.select(F.explode("prefix").alias("s"), "x")
-    members = posts.withColumns({"k": F.count("*").over(region), "p": F.min("x").over(region)}).filter("k > 1")
-    members = written(members.drop("k"), "members")
+
+def keys() -> list:
+    """Two 64-bit hashes of a row's id and text."""
+    return [F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(1), "doc_id", "text").alias("key2")]
+
+
+def _regions(classes: DataFrame, percent: int) -> DataFrame:
+    """s, x and p, the least member, with sizes n and n_p, of every region of two members or more.
+
+    Where a shingle is the first that two sets share, what they share lies from its place on in both, so its place bounds
+    the size of a similar set (`most`). A shingle's members in order of size part where the next is beyond what all
+    before it bound; a member stays where a larger one is within its bound or the least one is.
+    """
+    posts = classes.select(F.posexplode("prefix").alias("i", "s"), "x", "n")
+    most = F.floor((100 + percent) * (F.col("n") - F.col("i")) / percent) - F.col("n")
+    # 48 bits of a shingle are enough: shingles that agree in them make one region
+    posts = posts.select(F.col("s").bitwiseAND(F.lit((1 << 48) - 1)).alias("s"), "x", F.col("n").cast("int").alias("n"), F.least(most, F.floor(100 * F.col("n") / percent)).cast("int").alias("most"))
+    by_size = Window.partitionBy("s").orderBy("n", "x")
+    cut = F.coalesce(F.max("most").over(by_size.rowsBetween(Window.unboundedPreceding, -1)) < F.col("n"), F.lit(True))
+    posts = posts.withColumns({"cut": cut, "up": F.coalesce(F.lead("n").over(by_size) <= F.col("most"), F.lit(False))})
+    posts = posts.filter("NOT cut OR up").withColumn("part", F.sum(F.col("cut").cast("int")).over(by_size))
+    inside = Window.partitionBy("s", "part").orderBy("n", "x")
+    posts = posts.withColumns({"first": F.first("n").over(inside), "other": F.row_number().over(inside) > 1}).filter("up OR (other AND first <= most)")
+    posts = posts.withColumn("alone", F.lag("x").over(inside).isNull() & F.lead("x").over(inside).isNull()).filter("NOT alone")
+    by_id = Window.partitionBy("s", "part").orderBy("x")
+    return posts.select(F.xxhash64("s", "part").alias("s"), "x", F.first("x").over(by_id).alias("p"), "n", F.first("n").over(by_id).alias("n_p"))
+
+
+def _classes(docs: DataFrame, width: int, percent: int, work: Tables) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, class, first of every row; class, first, best of every class): best is the least `first` that links reach."""
+    corpus = _Corpus(docs, width, percent, work)
+    threshold = 1 - percent / 100
+    members = work.write(_regions(corpus.classes, percent), "members")
     # cells around hubs
-    near = corpus.measured(corpus.plausible(members.filter("x <> p").select(F.col("x").alias("u"), F.col("p").alias("v")).distinct()))
-    edges = written(corpus.linked(near), "edges")
+    alike = (F.col("x") != F.col("p")) & (100 * F.least("n", "n_p") >= percent * F.greatest("n", "n_p"))
+    near = corpus.measured(corpus.plausible(members.filter(alike).select(F.col("x").alias("u"), F.col("p").alias("v")).distinct()), "near")
+    members = members.select("s", "x")
+    edges = work.write(corpus.linked(near), "edges")
     distance = 1 - F.col("both") / F.col("either")
     to_hub = near.select("u", "v", distance.alias("d")).join(edges, ["u", "v"], "left_semi").join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_anti")
-    cells = written(to_hub.groupBy(F.col("u").alias("x")).agg(F.min(F.struct("d", "v")).alias("m")).select("x", F.col("m.v").alias("hub"), F.col("m.d").alias("d")), "cells")
+    cells = work.write(to_hub.groupBy(F.col("u").alias("x")).agg(F.min(F.struct("d", "v")).alias("m")).select("x", F.col("m.v").alias("hub"), F.col("m.d").alias("d")), "cells")
     radius = cells.groupBy(F.col("hub").alias("x")).agg(F.max("d").alias("r"))
     # regions that are not connected, by their hubs
-    some = members.select("s", "x").join(cells, "x", "left").select("s", F.coalesce("hub", "x").alias("x")).distinct().join(components(edges).withColumnsRenamed({"u": "x", "v": "part"}), "x", "left").withColumn("part", F.coalesce("part", "x"))
-    some = written(some, "hubs")
-    open_regions = some.groupBy("s").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("s")
-    about = corpus.classes.select("x", "n", "small")
-    hubs = some.join(open_regions, "s", "left_semi").join(radius, "x", "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
-    said = _cross(hubs, about, threshold)
-    link = lambda pairs: corpus.linked(corpus.measured(corpus.plausible(pairs.filter("v IS NOT NULL").select("u", "v"))))
-    edges = written(edges.unionByName(link(said)), "edges")
+    parts = components(edges, work, "parts").withColumnsRenamed({"u": "x", "v": "part"})
+    some = members.join(cells, "x", "left").select("s", F.coalesce("hub", "x").alias("x")).distinct().join(parts, "x", "left").withColumn("part", F.coalesce("part", "x"))
+    some = work.write(some, "hubs")
+    open_regions = lambda rows: rows.groupBy("s").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("s")
+    about = corpus.classes.select("x", "n", "bits").mapInArrow(_small, "x long, n long, small binary")
+    hubs = some.join(open_regions(some), "s", "left_semi").join(radius, "x", "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
+    said = work.write(_cross(hubs, about, threshold), "cross")
+    edges = work.write(edges.unionByName(corpus.links(said, "between")), "edges-2")
+    work.discard("hubs", "near", "edges")
     # members in the windows of cells that may still have links to others
     window = said.filter("v IS NULL").select(F.col("u").alias("hub"), "window")
     own = cells.unionByName(window.select(F.col("hub").alias("x"), "hub", F.lit(0.0).alias("d")))
     border = own.join(window, "hub").filter(F.col("d") >= F.col("window") - 1e-9).select("x").distinct()
-    parts = components(edges).withColumnsRenamed({"u": "x", "v": "part"})
-    border = written(border.join(parts, "x", "left").withColumn("part", F.coalesce("part", "x")), "border")
-    rows = members.select("s", "x").join(border, "x")
-    open_regions = rows.groupBy("s").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("s")
-    rows = rows.join(open_regions, "s", "left_semi").withColumn("r", F.lit(0.0))
-    edges = written(edges.unionByName(link(_cross(rows, about, threshold))), "edges")
-    nodes = corpus.classes.select("class", "x").join(components(edges).withColumnsRenamed({"u": "x", "v": "part"}), "x", "left").select("class", F.coalesce("part", "x").alias("part"))
-    rows = corpus.rows.select("row", "doc_id", "key", "n", "class").join(nodes, "class", "left")
-    return written(rows.withColumn("part", F.coalesce("part", -F.col("row") - 1)).drop("class"), "parts")
+    parts = components(edges, work, "parts-2").withColumnsRenamed({"u": "x", "v": "part"})
+    border = work.write(border.join(parts, "x", "left").withColumn("part", F.coalesce("part", "x")), "border")
+    rows = work.write(members.join(border, "x"), "border-members")
+    work.discard("members", "cross")
+    rows = rows.join(open_regions(rows), "s", "left_semi").withColumn("r", F.lit(0.0))
+    said = work.write(_cross(rows, about, threshold), "cross-2")
+    edges = work.write(edges.unionByName(corpus.links(said, "within")), "edges-3")
+    # a class without links is a component of its own
+    parts = components(edges, work, "parts-3")
+    parts = parts.unionByName(parts.select(F.col("v").alias("u"), "v").distinct()).withColumnsRenamed({"u": "x", "v": "part"})
+    firsts = work.write(corpus.classes.select("x", "first").join(parts, "x"), "firsts")
+    best = firsts.join(firsts.groupBy("part").agg(F.min("first").alias("best")), "part").select("x", "best")
+    kinds = corpus.classes.select("class", "x", "first").join(best, "x", "left").select("class", "first", F.coalesce("best", "first").alias("best"))
+    return corpus.rows, work.write(kinds, "kinds")
 
 
 def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -337,14 +393,24 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     links reach, a null only if there is no other. A text without words, or null, has an empty set and links with
     nothing; rows of equal sets are linked. Repeated ids are rows of their own. No rows give no rows.
     """
-    rows = _parts(docs, width, percent)
-    least = rows.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "part").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    work = Tables(docs.sparkSession, "jaccard")
+    rows, kinds = _classes(docs, width, percent, work)
+    out = rows.join(kinds.select("class", "best"), "class", "left")
+    out = written(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id")), "components")
+    work.close()
+    return out
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The row of docs with the least doc_id of every group of linked rows; of rows that agree in id and text one."""
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
-    stay = _parts(docs, width, percent).groupBy("part").agg(first.alias("r")).select(F.col("r.key").alias("__key"))
-    kept = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(stay, "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).drop("__key")
+    """The row of docs with the least doc_id of every group of linked rows; of rows that agree in id and text one.
+
+    Rows without words are groups of their own. Rows that agree in id and text but not in other columns: any one of them.
+    """
+    work = Tables(docs.sparkSession, "jaccard")
+    rows, kinds = _classes(docs, width, percent, work)
+    stay = kinds.filter(F.col("first").eqNullSafe(F.col("best"))).select("first.key", "first.key2").unionByName(rows.filter("n = 0").select("first.key", "first.key2").distinct())
+    stay = written(stay.select(F.col("key").alias("__key"), F.col("key2").alias("__key2")), "stay")
+    work.close()
+    key, key2 = keys()
+    kept = docs.withColumns({"__key": key, "__key2": key2}).join(stay, ["__key", "__key2"], "left_semi")
+    return kept.dropDuplicates(["__key", "__key2"]).drop("__key", "__key2")
