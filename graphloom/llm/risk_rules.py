@@ -25,7 +25,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns of MEASURES and badness, each made from the whole text, within the row.
+    """docs with the columns of MEASURES and __badness, each made from the whole text, within the row.
 
     An array that later steps index is a column of its own, so that it is made once a row, not once an element. Windows
     are compared by 64-bit hashes. A null text has no words and measures of 0.
@@ -46,7 +46,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     each = F.greatest(F.lit(1), "n_words").cast("double")
     badness = F.greatest(F.col("n_symbols") / each / 0.5, F.col("n_repeat_words") / each / 0.3, F.col("n_dup_lines") / each / 0.1)
     # a generator, so that filters on measures stay above and don't repeat their expressions below
-    return d.select(*docs.columns, F.inline(F.array(F.struct(*MEASURES, badness.alias("badness")))))
+    return d.select(*docs.columns, F.inline(F.array(F.struct(*MEASURES, badness.alias("__badness")))))
 
 
 def base_failed() -> Column:
@@ -68,7 +68,7 @@ def binomial_p(n: Column, k: Column, alpha: float) -> Column:
 
 
 def measured(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum, MEASURES, badness of every row, written: no text moves from here on."""
+    """doc_id, stratum, MEASURES, __badness of every row, written: no text moves from here on."""
     rows = with_measures(docs.select("doc_id", F.col(stratum).alias("stratum"), "text"))
     return written(rows.drop("text"), "measures")
 
@@ -80,8 +80,8 @@ def cutoffs(measures: DataFrame, labels: DataFrame, alpha: float = 0.03, delta:
     count. Documents that the base rules reject take no part. A null stratum is a stratum of its own.
     """
     given = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).alias("__good"))
-    held = measures.filter(~base_failed()).select("doc_id", "stratum", "badness").join(given, "doc_id")
-    count = lambda good: F.array(*[F.count_if((F.col("__good") == good) & (F.col("badness") > c)) for c in CUTOFFS])
+    held = measures.filter(~base_failed()).select("doc_id", "stratum", "__badness").join(given, "doc_id")
+    count = lambda good: F.array(*[F.count_if((F.col("__good") == good) & (F.col("__badness") > c)) for c in CUTOFFS])
     per = held.groupBy("stratum").agg(F.count_if("__good").alias("n"), count(True).alias("hit"), count(False).alias("bad"))
     per = per.withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(1))))  # one row for each stratum
     rows = per.select("stratum", "n", "strata", F.posexplode(F.arrays_zip(F.array(*map(F.lit, CUTOFFS)).alias("cutoff"), "hit", "bad")).alias("i", "at")).select("stratum", "n", "strata", "i", "at.*")
@@ -92,9 +92,9 @@ def cutoffs(measures: DataFrame, labels: DataFrame, alpha: float = 0.03, delta:
 
 
 def _verdict(measures: DataFrame, labels: DataFrame, rows: DataFrame, stratum: str, **kw) -> DataFrame:
-    limit = written(cutoffs(measures, labels, **kw), "cutoffs").withColumnRenamed("stratum", "__stratum")
+    limit = written(cutoffs(measures, labels, **kw), "cutoffs").withColumnsRenamed({"stratum": "__stratum", "cutoff": "__cutoff"})
     failed = base_failed()
-    kept = ~failed & F.coalesce(F.col("badness") <= F.col("cutoff"), F.lit(True))
+    kept = ~failed & F.coalesce(F.col("__badness") <= F.col("__cutoff"), F.lit(True))
     return rows.join(limit, F.col(stratum).eqNullSafe(F.col("__stratum")), "left").withColumns({"base_failed": failed, "kept": kept})
 
 
@@ -110,6 +110,6 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **kw) -> D
     Texts are measured twice, for the cutoffs and for the rows, so that they never move. A null or empty text has no
     words and fails the base rules. Repeated rows are judged each; no rows give no rows.
     """
-    own = docs.drop(*MEASURES, "badness", "base_failed", "kept", "cutoff")
+    own = docs.drop(*MEASURES, "base_failed", "kept")
     out = _verdict(measured(docs, stratum), labels, with_measures(own), stratum, **kw)
     return out.select(*own.columns, *MEASURES, "base_failed", "kept")
