@@ -65,13 +65,19 @@ r AS (SELECT *, cap / w AS ratio FROM w),
 l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
   FROM r WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(cap, max(level) OVER () * w) AS target FROM l),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
-q AS (SELECT *, floor(rate) AS whole, rate - floor(rate) AS p, target - floor(rate) * source_size AS need FROM p),
-u AS (SELECT d.doc_id, d.size, q.*, (('0x' || substr(md5('17|' || coalesce(d.source, '') || '|' || coalesce(d.doc_id::VARCHAR, '') || '|' || d.size::VARCHAR), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+m AS (SELECT source, CAST(floor(log2(size + 1.0::DOUBLE)) AS BIGINT) + 1 AS e, CAST(sum(size) AS BIGINT) AS words FROM sized WHERE size > 0 GROUP BY ALL),
+v AS (SELECT m.*, t.target, t.source_size, (t.target - 2 * coalesce(sum(words) OVER (PARTITION BY m.source ORDER BY e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+  / sum(e * words) OVER (PARTITION BY m.source ORDER BY e DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS part
+  FROM m JOIN t ON m.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT source, max(CASE WHEN target >= 2 * source_size THEN 2.0::DOUBLE ELSE part END) AS level FROM v GROUP BY source),
+n AS (SELECT m.source, sum(words * floor(least(2.0::DOUBLE, level * e))) AS given FROM m JOIN g ON m.source IS NOT DISTINCT FROM g.source GROUP BY m.source),
+q AS (SELECT t.*, coalesce(g.level, 0) AS level, t.target - coalesce(n.given, 0) AS need FROM t LEFT JOIN g ON t.source IS NOT DISTINCT FROM g.source LEFT JOIN n ON t.source IS NOT DISTINCT FROM n.source),
+u AS (SELECT d.doc_id, d.size, q.*, least(2.0::DOUBLE, q.level * (floor(log2(d.size + 1.0::DOUBLE)) + 1)) AS expected, (('0x' || substr(md5('17|' || coalesce(d.source, '') || '|' || coalesce(d.doc_id::VARCHAR, '') || '|' || d.size::VARCHAR), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
   FROM sized d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-x AS (SELECT *, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM u),
+p AS (SELECT *, floor(expected) AS whole, expected - floor(expected) AS p FROM u),
+x AS (SELECT *, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM p),
 z AS (SELECT *, odds / (1 + odds) AS rank FROM x),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank) AS upto, sum(size) OVER (PARTITION BY source, rank) AS tied FROM z WHERE p > 0 AND size > 0),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank) AS upto, sum(size) OVER (PARTITION BY source, rank) AS tied FROM z WHERE rank IS NOT NULL AND size > 0),
 k AS (SELECT source, max(rank) AS cut FROM c WHERE upto - tied / 2 <= need GROUP BY source)
 SELECT z.doc_id, z.size, z.source_size, z.target, CAST(z.size * (z.whole + CASE WHEN z.rank <= k.cut THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM z LEFT JOIN k ON z.source IS NOT DISTINCT FROM k.source
