@@ -1,5 +1,6 @@
 """Each operator on odd rows, and against brute force where it has one."""
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -9,6 +10,7 @@ import public_tokenizers
 import pytest
 
 from graphloom.llm import cotraining, fixity, lattice, packing, risk_rules, sharding, token_index, topk
+from graphloom.llm.common import Tables
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -252,19 +254,51 @@ def test_audit_finds_every_fault(spark):
     assert fixity.audit(pages.limit(0)).collect() == []
 
 
-def test_audit_of_missing_and_short_files(spark, tmp_path):
-    pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>") for i in range(300)], "page_id long, url string, html string").repartition(3)
+@pytest.mark.parametrize("records", [20, 4096])
+def test_audit_of_missing_short_longer_swapped_and_extra_files(spark, tmp_path, monkeypatch, records):
+    monkeypatch.setattr(fixity, "RECORDS", records)
+    pages = spark.createDataFrame([(i, "u", f"<p>{i:03d}</p>") for i in range(300)], "page_id long, url string, html string").repartition(6)
     one, two = f"file://{tmp_path}/one", f"file://{tmp_path}/two"
     manifest = fixity.write_warc(pages, one)
     copies = fixity.replicate(manifest, one, two)
-    files = sorted((tmp_path / "two").iterdir())
+    assert all(r.fault is None for r in fixity.audit_replica(manifest, copies, two).collect())
+    files = sorted(x for x in (tmp_path / "two").iterdir() if not x.name.startswith("."))
+    names = {r.copy: r.file for r in copies.collect()}
+    gone, short, longer, swapped = (names[x.name] for x in files[:4])
+    rows = {f: sorted((r for r in manifest.collect() if r.file == f and not r.end), key=lambda r: r.seq) for f in names.values()}
     files[0].unlink()
     files[1].write_bytes(files[1].read_bytes()[:-10])
-    bad = fixity.differing(manifest, fixity.hash_replica(manifest, copies, two)).collect()
-    n = {r.file: r["count"] for r in manifest.groupBy("file").count().collect()}
-    names = {r.copy: r.file for r in copies.collect()}
-    assert len([r for r in bad if r.file == names[files[0].name]]) == n[names[files[0].name]]
-    assert [r.seq for r in bad if r.file == names[files[1].name]] == [n[names[files[1].name]] - 1]
+    files[2].write_bytes(files[2].read_bytes() + b"x" * 400)
+    data = files[3].read_bytes()
+    a, b = next((x, y) for x in rows[swapped] for y in rows[swapped] if x.length == y.length and x.seq < y.seq)
+    cut = lambda r: data[r.offset : r.offset + r.length]
+    files[3].write_bytes(data[: a.offset] + cut(b) + data[a.offset + a.length : b.offset] + cut(a) + data[b.offset + b.length :])
+    (tmp_path / "two" / "stray.warc.gz").write_bytes(b"stray")
+    got = fixity.audit_replica(manifest, copies, two).collect()
+    bad = {(r.file, r.seq): r.fault for r in got if r.fault}
+    want = {(gone, r.seq): "missing file" for r in rows[gone]} | {(gone, len(rows[gone])): "missing file"}
+    want |= {(short, len(rows[short]) - 1): "short", (longer, len(rows[longer])): "trailing bytes", ("stray.warc.gz", None): "unlisted file"}
+    want |= {(swapped, a.seq): "changed", (swapped, b.seq): "changed"}
+    want.pop((gone, len(rows[gone])))
+    assert bad == want
+    assert sum(r.page_id is not None for r in got) == 300
+
+
+def test_tree_is_that_made_by_hand(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fixity, "FANOUT", 3)
+    monkeypatch.setattr(fixity, "RECORDS", 5)
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>") for i in range(40)], "page_id long, url string, html string").repartition(2)
+    manifest = fixity.write_warc(pages, f"file://{tmp_path}/one")
+    rows, by = manifest.collect(), {}
+    for r in sorted(rows, key=lambda r: (r.file, r.seq)):
+        by.setdefault(r.file, []).append(hashlib.sha256(f"{r.offset}|{r.length}|{r.sha256}".encode()).hexdigest())
+    assert len(by) >= 8 and all(len(v) <= 6 for v in by.values())
+    names, heights = sorted(by), (fixity._height(6), fixity._height(len(by)))
+    files = spark.createDataFrame([(f, i) for i, f in enumerate(names)], "file string, number long")
+    tree = fixity.Tree(manifest, files, heights, Tables(spark, "tree"), "t")
+    full = lambda leaves, levels: leaves if not levels else full([hashlib.sha256("".join(leaves[i : i + 3]).encode()).hexdigest() for i in range(0, len(leaves), 3)], levels - 1)
+    (root,) = full([full(by[f], heights[0])[0] for f in names], heights[1])
+    assert [r.sha256 for r in tree.levels[-1].collect()] == [root]
 
 
 # ---- 10
