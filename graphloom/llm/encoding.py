@@ -3,7 +3,8 @@
 Both pre-tokenizers never join across a boundary of white space and what follows, so a text's ids are its parts' ids
 in a row. A part that was met before is looked up; the memo takes parts of at most 64 characters until it holds `limit`
 of them, which by then are the frequent ones. New parts are encoded many at once, with a separator between them whose
-id stands for nothing else. Texts with white space other than blank and line feed are encoded whole.
+id stands for nothing else. Texts with white space other than blank and line feed, and those that hold the literal of
+an added token, are encoded whole.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([ODD.pattern, *added]), re.IGNORECASE)
         self.dtype, self.limit, self.memo, self.width = dtype, limit, {}, np.dtype(dtype).itemsize
         self.split, self.mark, self.between = (PARTS.findall, "\n", "\n") if keeps_space else (str.split, "|", " | ")
         (self.between_id,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
@@ -56,7 +58,7 @@ class Encoder:
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get, parts = self.memo.get, [None if ODD.search(t) else self.split(t) for t in texts]
+        get, parts = self.memo.get, [None if self.odd.search(t) else self.split(t) for t in texts]
         ids = [one and list(map(get, one)) for one in parts]
         gaps = [[i for i, x in enumerate(x) if x is None] if x and None in x else () for x in ids]
         found = self._apart(list({one[i] for one, gap in zip(parts, gaps) for i in gap}))

@@ -4,17 +4,19 @@ Files under a folder that driver and executors share:
 
 - ids-<shard>-<attempt>.bin: 16 bytes of header (`GLID`, version 1, bytes an id as unsigned 32-bit little-endian, 0),
   then the ids of the shard's documents in a row, 2 bytes each for vocabularies up to 65,536 ids, else 4.
-- mph-<slot>-<attempt>.npz: for the keys whose hash falls in the slot, the bit levels of the hash function, and at
-  each key's number its fingerprint, shard and run of documents. There is no list of keys.
-
-Documents lie in ascending order of doc_id over the shards. A lookup hashes the key to its slot, walks the levels to
-the first set bit, whose rank is the key's number, and compares fingerprints: a constant number of probes. A task that
-is run again writes files of its own; only those named in the manifest count.
+- ids-<shard>-<attempt>.dir: where each of its documents starts, in ids, and where the last ends, 8 bytes each.
+- mph-<slot>-<attempt>.bin: for the keys whose hash falls in the slot, a header, the bit levels of the hash function in
+  blocks of 64 bytes (the number of set bits before the block, then 448 bits), at each key's number its fingerprint and
+  runs, and the runs: shard, first document, documents. There is no list of keys.
+
+Documents lie in ascending order of doc_id over the shards, so all those of one key are one run in each shard they
+reach, however many they are. A lookup hashes the key to its slot and reads one block for each level up to the first
+set bit, whose rank is the key's number, one entry and its runs: a constant number of bytes at given places. A task
+that is run again writes files of its own; only those named in the manifest count.
 """
 
 from __future__ import annotations
 
-import io
 import uuid
 import zlib
 
@@ -32,6 +34,8 @@ from .encoding import encoder, slices
 HEADER = 16
 GAMMA, LEVELS = 2.0, 48
 KEYS_A_SLOT = 200_000
+#: Bytes of text in one shard of ids.
+SHARD_BYTES = 1 << 26
 
 
 # ---- minimal perfect hash ------------------------------------------------------------------------------------------
@@ -62,16 +66,84 @@ def build_mph(h1: np.ndarray, h2: np.ndarray) -> tuple[list[np.ndarray], np.ndar
     return levels, number
 
 
-def probe_mph(levels: list[np.ndarray], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    """The number of each key; -1 for some keys that were never put in, any number for the others of those."""
-    number, left, base = np.full(len(h1), -1, dtype=np.int64), np.arange(len(h1)), 0
-    for level, bits in enumerate(levels):
-        at = (_mix(h1[left], h2[left], level) % np.uint64(len(bits))).astype(np.int64)
-        hit = bits[at]
-        number[left[hit]] = base + (np.cumsum(bits) - 1)[at[hit]]
-        base += int(bits.sum())
-        left = left[~hit]
-    return number
+BLOCK, BITS = 64, 448
+ENTRY = np.dtype([("print", "<u4"), ("runs", "<u4"), ("run", "<u8")])
+RUN = np.dtype([("shard", "<u8"), ("first", "<u8"), ("docs", "<u8")])
+_ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
+
+
+def packed_level(bits: np.ndarray, rank: int) -> np.ndarray:
+    """Blocks of a level; rank: set bits of all levels before it."""
+    n = -(-len(bits) // BITS)
+    rows = np.zeros((n, BITS), dtype=np.uint8)
+    rows.ravel()[: len(bits)] = bits
+    each = rows.sum(axis=1, dtype=np.uint64)
+    before = (np.cumsum(each) - each + np.uint64(rank)).astype("<u8")
+    return np.concatenate([before.view(np.uint8).reshape(n, 8), np.packbits(rows, axis=1, bitorder="little")], axis=1)
+
+
+def pack_index(levels: list[np.ndarray], entries: np.ndarray, runs: np.ndarray) -> bytes:
+    """The bytes of an index file."""
+    parts, rank = [], 0
+    for bits in levels:
+        parts.append(packed_level(bits, rank).tobytes())
+        rank += int(bits.sum())
+    head = np.array([int.from_bytes(b"GLMPHASH", "little"), len(levels), len(entries), len(runs), *map(len, levels)], dtype="<u8")
+    return b"".join([head.tobytes(), *parts, entries.tobytes(), runs.tobytes()])
+
+
+class SlotIndex:
+    """An index file, read block by block where they are asked for; `whole` reads it at once, for many keys."""
+
+    def __init__(self, read_at, whole: bool = False):
+        """read_at: (number of bytes, offset) -> bytes."""
+        magic, n, self.keys, self.n_runs = (int(x) for x in np.frombuffer(read_at(32, 0), "<u8"))
+        if magic != int.from_bytes(b"GLMPHASH", "little"):
+            raise ValueError("not an index")
+        self.sizes = np.frombuffer(read_at(8 * n, 32), "<u8").astype(np.int64)
+        blocks = -(-self.sizes // BITS)
+        self.at = 32 + 8 * n + BLOCK * (np.cumsum(blocks) - blocks)
+        self.entries = int(32 + 8 * n + BLOCK * blocks.sum())
+        self.runs = self.entries + ENTRY.itemsize * self.keys
+        if whole:
+            data = read_at(self.runs + RUN.itemsize * self.n_runs, 0)
+            read_at = lambda size, at: data[at : at + size]
+        self.read_at, self.data = read_at, np.frombuffer(data, np.uint8) if whole else None
+
+    def _rows(self, at: int, size: int, which: np.ndarray) -> np.ndarray:
+        """Records number `which` of those of `size` bytes from `at` on."""
+        if self.data is not None and len(which):
+            end = at + size * (int(which.max()) + 1)
+            return self.data[at:end].reshape(-1, size)[which]
+        return np.frombuffer(b"".join(self.read_at(size, at + size * int(i)) for i in which), np.uint8).reshape(-1, size)
+
+    def number(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The number of each key; -1 for some keys that were never put in, any number for the others of those."""
+        number, left = np.full(len(h1), -1, dtype=np.int64), np.arange(len(h1))
+        for level, size in enumerate(self.sizes):
+            if not len(left):
+                break
+            at = (_mix(h1[left], h2[left], level) % np.uint64(size)).astype(np.int64)
+            rows, bit = self._rows(int(self.at[level]), BLOCK, at // BITS), at % BITS
+            bits = rows[:, 8:]
+            hit = (bits[np.arange(len(at)), bit // 8] >> (bit % 8).astype(np.uint8)) & 1 == 1
+            inside = np.arange(BITS // 8)[None, :] * 8
+            mask = np.where(inside + 8 <= bit[:, None], 255, np.where(inside <= bit[:, None], (1 << np.clip(bit[:, None] - inside, 0, 7)) - 1, 0)).astype(np.uint8)
+            rank = rows[:, :8].copy().view("<u8").ravel().astype(np.int64) + _ONES[bits & mask].sum(axis=1, dtype=np.int64)
+            number[left[hit]] = rank[hit]
+            left = left[~hit]
+        return number
+
+    def lookup(self, h1: np.ndarray, h2: np.ndarray, fingerprint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(for each run found the place of its key among those asked for, the runs)."""
+        number = self.number(h1, h2)
+        there = np.flatnonzero(number >= 0)
+        entries = self._rows(self.entries, ENTRY.itemsize, number[there]).copy().view(ENTRY).ravel()
+        same = entries["print"] == fingerprint[there].astype(np.uint32)
+        there, entries = there[same], entries[same]
+        n = entries["runs"].astype(np.int64)
+        which = np.repeat(entries["run"].astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(there, n), self._rows(self.runs, RUN.itemsize, which).copy().view(RUN).ravel()
 
 
 # ---- writing -------------------------------------------------------------------------------------------------------
@@ -83,20 +155,23 @@ def _writer(folder: str, tokenizer: str, keeps_space: bool, dtype: str, end_id:
     def run(batches):
         fs, root = _open(folder)
         enc, end, width = encoder(tokenizer, dtype, keeps_space), np.array([end_id], dtype=dtype).tobytes(), np.dtype(dtype).itemsize
-        shard, at, file, out = TaskContext.get().partitionId(), 0, "", None
+        shard, at, docs, file, out, starts = TaskContext.get().partitionId(), 0, 0, "", None, []
         for b in slices(batches):
             ids = [x + end for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
             if out is None:
-                file = f"ids-{shard:06d}-{uuid.uuid4().hex}.bin"
-                out = fs.open_output_stream(f"{root}/{file}")
+                file = f"ids-{shard:06d}-{uuid.uuid4().hex}"
+                out = fs.open_output_stream(f"{root}/{file}.bin", compression=None)
                 out.write(b"GLID" + np.array([1, width, 0], dtype="<u4").tobytes())
             n = np.array([len(x) // width for x in ids], dtype=np.int64)
-            start = at + np.cumsum(n) - n
+            starts.append(at + np.cumsum(n) - n)
             at += int(n.sum())
             out.write(b"".join(ids))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shard] * len(n), pa.int32()), pa.array([file] * len(n)), pa.array(start), pa.array(n)], ["doc_id", "shard", "file", "offset", "length"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shard] * len(n), pa.int32()), pa.array([file] * len(n)), pa.array(np.arange(docs, docs + len(n))), pa.array(n)], ["doc_id", "shard", "file", "doc", "length"])
+            docs += len(n)
         if out is not None:
             out.close()
+            with fs.open_output_stream(f"{root}/{file}.dir", compression=None) as f:
+                f.write(np.append(np.concatenate(starts), at).astype("<u8").tobytes())
 
     return run
 
@@ -120,21 +195,21 @@ def _u64(s: pd.Series) -> np.ndarray:
 
 
 def _indexer(folder: str):
-    def run(slot: tuple, docs: pd.DataFrame) -> pd.DataFrame:
+    def run(slot: tuple, runs: pd.DataFrame) -> pd.DataFrame:
         fs, root = _open(folder)
-        docs = docs.sort_values(["h1", "h2", "offset"], kind="stable")
-        first = ~docs.duplicated(["h1", "h2"]).to_numpy()
-        keys, run = docs[first], np.append(np.flatnonzero(first), len(docs))
+        runs = runs.sort_values(["h1", "h2", "shard"], kind="stable")
+        first = ~runs.duplicated(["h1", "h2"]).to_numpy()
+        keys, start = runs[first], np.flatnonzero(first)
         levels, number = build_mph(_u64(keys["h1"]), _u64(keys["h2"]))
-        order = np.argsort(number)
-        kept = {f"level{i}": np.packbits(x) for i, x in enumerate(levels)}
-        kept |= {"sizes": np.array([len(x) for x in levels]), "print": keys["print"].to_numpy(dtype=np.uint32)[order], "shard": keys["shard"].to_numpy(dtype=np.int32)[order]}
-        kept |= {"run": run[:-1][order], "docs": np.diff(run)[order], "offset": docs["offset"].to_numpy(), "length": docs["length"].to_numpy()}
-        file = f"mph-{slot[0]:06d}-{uuid.uuid4().hex}.npz"
-        sink = io.BytesIO()
-        np.savez(sink, **kept)
-        with fs.open_output_stream(f"{root}/{file}") as f:
-            f.write(sink.getbuffer())
+        entries, order = np.zeros(len(keys), dtype=ENTRY), np.argsort(number)
+        for name, column in (("print", keys["print"].to_numpy()), ("runs", np.diff(np.append(start, len(runs)))), ("run", start)):
+            entries[name] = column[order]
+        packed = np.zeros(len(runs), dtype=RUN)
+        for name in RUN.names:
+            packed[name] = runs[name].to_numpy()
+        file = f"mph-{slot[0]:06d}-{uuid.uuid4().hex}.bin"
+        with fs.open_output_stream(f"{root}/{file}", compression=None) as f:
+            f.write(pack_index(levels, entries, packed))
         return pd.DataFrame({"slot": [slot[0]], "index_file": [file], "keys": [len(keys)]})
 
     return run
@@ -145,48 +220,33 @@ def write_index(docs: DataFrame, tokenizer: str, end_id: int, keeps_space: bool
 
     shards: shard, file, base (ids of all shards before it), ids. slots: slot, of (how many there are, with those
     that no key falls into and that have no file), index_file, keys. Null texts are empty, null ids come first, equal
-    ids lie side by side in the order of their texts' hashes. No row, no file.
+    ids lie side by side in the order of their texts' hashes, over as many shards as they need. No row, no file.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "ids")
     fs, root = _open(folder)
     fs.create_dir(root)
-    rows = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    manifest = written(rows.mapInArrow(_writer(folder, tokenizer, keeps_space, dtype, end_id), "doc_id long, shard int, file string, offset long, length long"), "manifest")
+    size = docs.agg(F.sum(F.length(F.col("text").cast("binary")))).first()[0] or 0
+    by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    rows = docs.select("doc_id", "text").repartitionByRange(max(spark.sparkContext.defaultParallelism, size // SHARD_BYTES + 1), *by).sortWithinPartitions(*by)
+    manifest = written(rows.mapInArrow(_writer(folder, tokenizer, keeps_space, dtype, end_id), "doc_id long, shard int, file string, doc long, length long"), "manifest")
     shards = manifest.groupBy("shard").agg(F.first("file").alias("file"), F.sum("length").alias("ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each shard
     shards = written(shards.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)).cast("long")), "shards")
-    slots = max(1, -(-manifest.select("doc_id").distinct().count() // KEYS_A_SLOT))
-    index = _hashed(manifest, slots, "shard", "offset", "length").groupBy("slot").applyInPandas(_indexer(folder), "slot int, index_file string, keys long")
+    runs = written(manifest.groupBy("doc_id", "shard").agg(F.min("doc").alias("first"), F.count("*").alias("docs")), "runs")
+    slots = max(1, -(-runs.select("doc_id").distinct().count() // KEYS_A_SLOT))
+    index = _hashed(runs, slots, "shard", "first", "docs").groupBy("slot").applyInPandas(_indexer(folder), "slot int, index_file string, keys long")
     return folder, shards, written(index.withColumn("of", F.lit(slots)), "slots")
 
 
 # ---- reading -------------------------------------------------------------------------------------------------------
-class SlotIndex:
-    """The index file of one slot."""
-
-    def __init__(self, fs, path: str):
-        with fs.open_input_file(path) as f:
-            z = np.load(io.BytesIO(f.read()))
-            self.levels = [np.unpackbits(z[f"level{i}"], count=n).astype(bool) for i, n in enumerate(z["sizes"])]
-            self.print, self.shard, self.run, self.docs, self.offset, self.length = (z[k] for k in ("print", "shard", "run", "docs", "offset", "length"))
-
-    def lookup(self, h1: np.ndarray, h2: np.ndarray, fingerprint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places of the keys that are there among those asked for, their numbers)."""
-        number = probe_mph(self.levels, h1, h2)
-        there = np.flatnonzero(number >= 0)
-        there = there[self.print[number[there]] == fingerprint[there].astype(np.uint32)]
-        return there, number[there]
-
-
 def _finder(folder: str):
     def run(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
         fs, root = _open(folder)
-        index = SlotIndex(fs, f"{root}/{asked['index_file'].iloc[0]}")
-        there, number = index.lookup(_u64(asked["h1"]), _u64(asked["h2"]), asked["print"].to_numpy())
-        n = index.docs[number]
-        doc = np.repeat(index.run[number] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return pd.DataFrame({"key": np.repeat(asked["key"].to_numpy()[there], n), "shard": np.repeat(index.shard[number], n), "offset": index.offset[doc], "length": index.length[doc]})
+        with fs.open_input_file(f"{root}/{asked['index_file'].iloc[0]}") as f:
+            index = SlotIndex(f.read_at, whole=len(asked) > 1000)
+            at, runs = index.lookup(_u64(asked["h1"]), _u64(asked["h2"]), asked["print"].to_numpy())
+        return pd.DataFrame({"key": asked["key"].to_numpy()[at]} | {name: runs[name].astype(np.int64) for name in RUN.names})
 
     return run
 
@@ -194,14 +254,21 @@ def _finder(folder: str):
 def _payloads(folder: str):
     def run(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         fs, root = _open(folder)
-        found = found.sort_values("offset")
-        with fs.open_input_file(f"{root}/{found['file'].iloc[0]}") as f:
-            head = f.read(HEADER)
+        found, file = found.sort_values("first"), found["file"].iloc[0]
+        keys, start, n, crc = [], [], [], []
+        with fs.open_input_file(f"{root}/{file}.bin") as f, fs.open_input_file(f"{root}/{file}.dir") as g:
+            head = f.read_at(HEADER, 0)
             if head[:4] != b"GLID":
                 raise ValueError("not a shard of ids")
             width = int(np.frombuffer(head, "<u4", offset=8, count=1)[0])
-            crc = [zlib.crc32(np.frombuffer(f.read_at(int(n) * width, HEADER + int(at) * width), f"<u{width}").astype("<u4").tobytes()) for at, n in zip(found["offset"], found["length"])]
-        return pd.DataFrame({"key": found["key"], "start": found["base"] + found["offset"], "n_tokens": found["length"], "ids_crc32": np.array(crc, dtype=np.int64)})
+            for k, first, docs in zip(found["key"], found["first"], found["docs"]):
+                ends = np.frombuffer(g.read_at(8 * (int(docs) + 1), 8 * int(first)), "<u8").astype(np.int64)
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                    crc.append(zlib.crc32(np.frombuffer(f.read_at((b - a) * width, HEADER + a * width), f"<u{width}").astype("<u4").tobytes()))
+                keys += [k] * int(docs)
+                start.append(ends[:-1])
+                n.append(np.diff(ends))
+        return pd.DataFrame({"key": keys, "start": np.concatenate(start) + found["base"].iloc[0], "n_tokens": np.concatenate(n), "ids_crc32": np.array(crc, dtype=np.int64)})
 
     return run
 
@@ -210,11 +277,11 @@ def read_keys(keys: DataFrame, folder: str, shards: DataFrame, slots: DataFrame)
     """doc_id, start, n_tokens, ids_crc32 of every document under the given doc_ids, read from the files.
 
     Keys that are not there give no row (a strange key passes for another with a chance of 2^-32); repeated keys are
-    asked once.
+    asked once. A group is the keys asked of one slot, then the runs asked of one shard.
     """
     n = getattr(slots.select("of").first(), "of", 1)
     asked = _hashed(keys.select("doc_id").distinct(), n).join(slots.select("slot", "index_file"), "slot")
-    found = asked.groupBy("slot").applyInPandas(_finder(folder), "key string, shard int, offset long, length long")
+    found = asked.groupBy("slot").applyInPandas(_finder(folder), "key string, shard long, first long, docs long")
     found = found.join(shards.select("shard", "file", "base"), "shard")
     out = found.groupBy("shard").applyInPandas(_payloads(folder), "key string, start long, n_tokens long, ids_crc32 long")
     return out.select(F.expr("try_cast(key AS BIGINT)").alias("doc_id"), "start", "n_tokens", "ids_crc32")

@@ -36,9 +36,7 @@ def none(spark):
 def encoded(path: str, text: str | None) -> list[int]:
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
 
 
 # ---- 1
@@ -141,12 +139,40 @@ def test_token_index_with_empty_slots(spark, monkeypatch):
     assert sorted(got, key=str) == sorted([*range(12), None, 3], key=str)
 
 
-def test_perfect_hash_is_minimal():
+def test_token_index_with_a_repeated_key(spark):
+    """A third of the rows has one id and a third none: their documents lie in several shards."""
+    rows = [(i if i % 3 == 0 else 7 if i % 3 == 1 else None, f"text {i} " * (i % 5)) for i in range(600)]
+    got = token_index.token_index_round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), BYTES, 2).collect()
+    sizes = [(i, len(encoded(BYTES, t)) + 1) for i, t in rows]
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == sorted(sizes, key=str)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert order == sorted(order, key=lambda i: (i is not None, i or 0))
+
+
+def test_perfect_hash_is_minimal_and_reads_little():
     r = np.random.default_rng(0)
     h1, h2 = (r.integers(0, 1 << 63, 5000, dtype=np.uint64) for _ in range(2))
     levels, number = token_index.build_mph(h1, h2)
     assert sorted(number) == list(range(5000))
-    assert (token_index.probe_mph(levels, h1, h2) == number).all()
+    entries, runs = np.zeros(5000, dtype=token_index.ENTRY), np.zeros(5000, dtype=token_index.RUN)
+    entries["run"], entries["runs"], entries["print"], runs["first"] = np.arange(5000), 1, np.arange(5000), np.arange(5000) * 7
+    data, asked = token_index.pack_index(levels, entries, runs), []
+
+    def read_at(size, at):
+        asked.append(size)
+        return data[at : at + size]
+
+    assert (token_index.SlotIndex(read_at, whole=True).number(h1, h2) == number).all()
+    for k in (0, 17, 4999):
+        asked.clear()
+        at, found = token_index.SlotIndex(read_at).lookup(h1[k : k + 1], h2[k : k + 1], number[k : k + 1])
+        assert at.tolist() == [0] and found["first"].tolist() == [7 * number[k]]
+        assert sum(asked) <= 32 + (8 + token_index.BLOCK) * len(levels) + 64
+        assert not len(token_index.SlotIndex(read_at).lookup(h1[k : k + 1], h2[k : k + 1], number[k : k + 1] + 1)[0])
 
 
 # ---- 7
