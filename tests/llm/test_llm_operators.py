@@ -344,3 +344,17 @@ def test_top_k_against_all_scores(spark):
         got = [tuple(x) for x in topk.histogram_top_k(df, few=few).collect()]
         assert sorted(got, key=key) == sorted(want, key=key)
     assert topk.histogram_top_k(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("size", [2.0**30, 3e10, 1e30, 1e200])
+def test_top_k_of_large_components(spark, size):
+    r = np.random.default_rng(4)
+    vectors = [(i, [float(x) for x in r.normal(size=5) * size]) for i in range(120)] + [(i, [size, -size, 1.0, 0.5, 2.0]) for i in range(120, 130)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    q = {i: [math.floor(256 * v) if abs(256 * v) < 2**53 else int(256 * v) for v in x] for i, x in vectors}
+    want, most = [], 2**63 - 1
+    for a in (0, 50, 100):
+        s = sorted((-sum(x * y for x, y in zip(q[a], q[b])), b) for b in q if b != a)[:5]
+        want += [(a, k + 1, b, max(-most, min(most, -score))) for k, (score, b) in enumerate(s)]
+    for few in (64, 1):
+        assert sorted(tuple(x) for x in topk.histogram_top_k(df, few=few).collect()) == want
