@@ -15,6 +15,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from .encoding import slices
 LN10 = float(np.log(10.0))
 #: Words of one length that are worked on at once; fewer of more than 16 bytes.
 TOGETHER = 20_000
+#: A longer word (in bytes) is known by its digest in tables that go to all tasks.
+LONG = 64
 
 
 # ---- the lattice ---------------------------------------------------------------------------------------------------
@@ -212,14 +215,18 @@ def fit(counts: DataFrame, n_docs: int, pieces: list[bytes], logp: np.ndarray, r
 
 # ---- scoring -------------------------------------------------------------------------------------------------------
 def _head(counts: DataFrame, size: int) -> list:
-    """The most frequent words of at most 64 bytes, at most `size` of them: those from a count on that this many reach."""
-    band = F.floor(F.log2("n") * 8)
-    few = counts.filter(F.length("word") <= 64).withColumn("band", band)
+    """The most frequent words, at most `size` of them: those from a count on that this many reach. Of a long word its digest."""
+    few = counts.select(F.when(F.length("word") <= LONG, F.col("word")).otherwise(F.concat(F.lit(b" "), F.unhex(F.md5("word")))).alias("word"), "n").withColumn("band", F.floor(F.log2("n") * 8))
     bands = few.groupBy("band").agg(F.count("*").alias("words"))
     least = bands.withColumn("upto", F.sum("words").over(Window.orderBy(F.desc("band")))).filter(F.col("upto") <= size).agg(F.min("band")).first()[0]
     return [] if least is None else few.filter(F.col("band") >= least).select("word", "n").collect()
 
 
+def _short(word: bytes) -> bytes:
+    """What stands for a word in the head; no word has a blank."""
+    return word if len(word) <= LONG else b" " + md5(word).digest()
+
+
 _memo: dict[int, dict[bytes, float]] = {}
 
 
@@ -235,12 +242,12 @@ def _score(shared, head, end: float, with_tail: bool, limit: int = 300_000):
             new = list({w for c in docs for w in c if w not in memo})
             found = dict(zip(new, lattice.log_probability([b" " + w for w in new]).tolist()))
             if len(memo) < limit:
-                memo.update(x for x in found.items() if len(x[0]) <= 64)
+                memo.update(x for x in found.items() if len(x[0]) <= LONG)
             value = lambda w: memo[w] if w in memo else found[w]
             n = [sum(c.values()) for c in docs]
             score = [(sum(k * value(w) for w, k in c.items()) + end) / LN10 for c in docs]
-            base = [sum(k * log10[w] for w, k in c.items() if w in log10) for c in docs]
-            rare = [[x for x in c.items() if x[0] not in known] for c in docs]
+            base = [sum(k * log10[_short(w)] for w, k in c.items() if _short(w) in log10) for c in docs]
+            rare = [[x for x in c.items() if _short(x[0]) not in known] for c in docs]
             hit = [total - sum(k for _, k in x) for total, x in zip(n, rare)]
             flat = [x for one in rare for x in one] if with_tail else []
             ends = np.cumsum([0] + [len(x) if with_tail else 0 for x in rare])
@@ -259,8 +266,8 @@ def lattice_scores(docs: DataFrame, vocabulary: str, folds: int = 7, held: int =
     probability. With no training rows, counts are 0 and pieces keep their first scores. Repeated rows are rows of
     their own.
 
-    Counts of the `head` most frequent words go to all tasks (at most 2^17 words of at most 64 bytes); rarer words are
-    joined to their counts by Spark, and as they are rare none of them is hot.
+    Counts of the `head` most frequent words go to all tasks (at most 2^17 words or digests of at most 64 bytes); rarer
+    words, short or long, are joined to their counts by Spark, and as they are rare none of them is hot.
     """
     spark = docs.sparkSession
     out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held, F.lit(False))
