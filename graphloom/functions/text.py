@@ -63,6 +63,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+def set_jaccard(a: Column, b: Column) -> Column:
+    """jaccard() of arrays without repeated elements: what both hold is looked for once."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+
+
 def model_tokens(name: Column, least: int = 6) -> Column:
     """Alphanumeric tokens with a digit, of at least `least` characters, in lower case."""
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(name), F.lit(r"[a-z0-9]+(?:[#\-][a-z0-9]+)*"), F.lit(0)), lambda t: (F.length(t) >= least) & t.rlike("[0-9]")))

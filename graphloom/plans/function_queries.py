@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -18,27 +19,27 @@ def slug_uri(spark, d):
     return table(spark, d, "part").select("p_partkey", node_uri("part", F.col("p_name"), F.col("p_partkey")).alias("uri"))
 
 
-@query(f"SELECT doc_id, CASE WHEN s = '' THEN 'entity' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(translate(lower(substr(text, 1, 60)), {LETTERS}), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN s = '' THEN 'entity' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(translate(lower(text), {LETTERS}), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)")
 def wiki_slug(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.wiki_slug(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", T.wiki_slug(F.col("text")).alias("slug"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(substr(text, 1, 200), '\s+', ' ', 'g')) AS name FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS name FROM documents")
 def clean_name(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.clean_name(F.substring("text", 1, 200)).alias("name"))
+    return table(spark, d, "documents").select("doc_id", T.clean_name(F.col("text")).alias("name"))
 
 
-@query(f"SELECT doc_id, translate(lower(substr(text, 1, 200)), {LETTERS}) AS folded FROM documents")
+@query(f"SELECT doc_id, translate(lower(text), {LETTERS}) AS folded FROM documents")
 def strip_diacritics(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.fold(F.substring("text", 1, 200)).alias("folded"))
+    return table(spark, d, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"))
 
 
 STOP = "[" + ", ".join(f"'{w}'" for w in (*T.STOPWORDS, *T.LEGAL_FORMS)) + "]"
 
 
-@query(rf"SELECT doc_id, list_filter(regexp_split_to_array(translate(lower(substr(text, 1, 300)), {LETTERS}), '[\s/\-]+'), lambda w: w <> '' AND NOT list_contains({STOP}, w)) AS words FROM documents")
+@query(rf"SELECT doc_id, list_filter(regexp_split_to_array(translate(lower(text), {LETTERS}), '[\s/\-]+'), lambda w: w <> '' AND NOT list_contains({STOP}, w)) AS words FROM documents")
 def significant_words(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.significant_words(F.substring("text", 1, 300)).alias("words"))
+    return table(spark, d, "documents").select("doc_id", T.significant_words(F.col("text")).alias("words"))
 
 
 PART_GRAMS = "x AS (SELECT p_partkey, p_name, ' ' || lower(p_name) || ' ' AS p FROM part), grams AS (SELECT p_partkey, p_name, list_sort(list_distinct(list_transform(range(1, len(p) - 1), lambda i: substr(p, i, 3)))) AS g FROM x)"
@@ -49,28 +50,34 @@ def char_trigrams(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_sort(T.trigrams(F.col("p_name"))).alias("grams"))
 
 
-def _name_pairs(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_brand")
-    return p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("name_a"), "p_size", "p_brand").join(p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("name_b"), "p_size", "p_brand"), ["p_size", "p_brand"]).filter("a < b")
+def _name_pairs(spark, d, *made):
+    """Every part and the three that follow it by name among those of its size and brand; made: columns made once of each part."""
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_brand", *made)
+    own = F.struct("p_partkey", "p_name", *[c for c in p.columns[4:]])
+    by_name = Window.partitionBy("p_size", "p_brand").orderBy("p_name", "p_partkey")
+    p = p.select(own.alias("x"), F.array(*[F.lead(own, k).over(by_name) for k in (1, 2, 3)]).alias("y"))
+    p = p.select("x", F.explode("y").alias("y")).filter("y IS NOT NULL")
+    return p.select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"), "x", "y")
 
 
-PAIRS = "pairs AS (SELECT x.p_partkey AS a, y.p_partkey AS b, x.p_name AS name_a, y.p_name AS name_b FROM part x JOIN part y ON x.p_size = y.p_size AND x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey)"
+PAIRS = "follow AS (SELECT p_partkey AS a, p_name AS name_a, unnest([lead(p_partkey, 1) OVER w, lead(p_partkey, 2) OVER w, lead(p_partkey, 3) OVER w]) AS b, unnest([lead(p_name, 1) OVER w, lead(p_name, 2) OVER w, lead(p_name, 3) OVER w]) AS name_b FROM part WINDOW w AS (PARTITION BY p_size, p_brand ORDER BY p_name, p_partkey)), pairs AS (SELECT * FROM follow WHERE b IS NOT NULL)"
 
 
 @query(f"WITH {PART_GRAMS}, {PAIRS} SELECT a, b, round(len(list_intersect(x.g, y.g))::DOUBLE / len(list_distinct(list_concat(x.g, y.g))), 6) AS score FROM pairs JOIN grams x ON x.p_partkey = a JOIN grams y ON y.p_partkey = b")
 def trigram_jaccard(spark, d):
-    return _name_pairs(spark, d).select("a", "b", F.round(T.jaccard(T.trigrams(F.col("name_a")), T.trigrams(F.col("name_b"))), 6).alias("score"))
+    return _name_pairs(spark, d, T.trigrams(F.col("p_name")).alias("g")).select("a", "b", F.round(T.set_jaccard(F.col("x.g"), F.col("y.g")), 6).alias("score"))
 
 
 @query(f"WITH {PAIRS} SELECT a, b, round(len(list_intersect(u, v))::DOUBLE / len(list_distinct(list_concat(u, v))), 6) AS score FROM (SELECT a, b, list_distinct(string_split(lower(name_a), ' ')) AS u, list_distinct(string_split(lower(name_b), ' ')) AS v FROM pairs)")
 def token_jaccard(spark, d):
-    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
-    return _name_pairs(spark, d).select("a", "b", F.round(T.jaccard(words("name_a"), words("name_b")), 6).alias("score"))
+    words = F.array_distinct(F.split(F.lower("p_name"), " "))
+    return _name_pairs(spark, d, words.alias("w")).select("a", "b", F.round(T.set_jaccard(F.col("x.w"), F.col("y.w")), 6).alias("score"))
 
 
 @query(f"WITH {PAIRS} SELECT a, b, levenshtein(name_a, name_b)::BIGINT AS distance FROM pairs WHERE levenshtein(name_a, name_b) <= 1 + len(name_a) // 5")
 def levenshtein_bounded(spark, d):
-    return _name_pairs(spark, d).select("a", "b", F.levenshtein("name_a", "name_b").cast("long").alias("distance"), (1 + F.floor(F.length("name_a") / 5)).alias("limit")).filter("distance <= limit").drop("limit")
+    far = F.expr("levenshtein(x.p_name, y.p_name, CAST(1 + length(x.p_name) DIV 5 AS INT))")  # -1 beyond the limit
+    return _name_pairs(spark, d).select("a", "b", far.cast("long").alias("distance")).filter("distance >= 0")
 
 
 @query(rf"SELECT s_suppkey, list_distinct(list_filter(regexp_extract_all(lower(s_name), '[a-z0-9]+(?:[#\-][a-z0-9]+)*'), lambda t: len(t) >= 6 AND regexp_matches(t, '[0-9]'))) AS tokens FROM supplier")
@@ -232,11 +239,12 @@ def idle_age(spark, d):
 VECTORS = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v)"
 
 
-@query(f"WITH {VECTORS} SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (a.norm * b.norm), 6) AS cosine FROM n a JOIN n b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 10 = 0")
+@query(f"WITH {VECTORS}, f AS (SELECT label, min(vec_id) AS first FROM n GROUP BY 1) SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (a.norm * b.norm), 6) AS cosine FROM f JOIN n a ON a.vec_id = f.first JOIN n b ON b.label = f.label")
 def cosine(spark, d):
+    """Of every vector with the first of its label."""
     v = table(spark, d, "embeddings")
-    a, b = v.filter("vec_id % 10 = 0").select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")), v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return a.join(b, "label").filter("a < b").select("a", "b", F.round(V.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
+    first = v.groupBy("label").agg(F.min("vec_id").alias("a"), F.min_by("embedding", "vec_id").alias("x"))
+    return v.join(first, "label").select("a", F.col("vec_id").alias("b"), F.round(V.cosine(F.col("x"), F.col("embedding")), 6).alias("cosine"))
 
 
 @query(f"WITH {VECTORS} SELECT vec_id, list_transform(e, lambda x: round(x / norm, 6)) AS unit FROM n")
@@ -294,8 +302,7 @@ def array_append_unique(spark, d):
 
 @query("SELECT user_id, bool_or(value > 100) AS any_high, bool_and(value > 1) AS all_positive FROM events GROUP BY 1")
 def array_any_all(spark, d):
-    v = table(spark, d, "events").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return v.select("user_id", F.exists("v", lambda x: x > 100).alias("any_high"), F.forall("v", lambda x: x > 1).alias("all_positive"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.bool_or(F.col("value") > 100).alias("any_high"), F.bool_and(F.col("value") > 1).alias("all_positive"))
 
 
 @query(f"WITH {CHUNKS} SELECT chunk_id, CASE WHEN len(content) <= 100 THEN content ELSE regexp_replace(substr(content, 1, 100), ' [^ ]*$', '…') END AS snippet FROM chunks")

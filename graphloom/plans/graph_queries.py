@@ -309,14 +309,14 @@ def lineage_join(spark, d):
     return nodes(spark, d).groupBy(F.concat(F.lit("kb"), (F.col("key") % 3).cast("string")).alias("compilation"), F.col("source_job").alias("job")).agg(F.count("*").alias("entities"))
 
 
-@query("WITH RECURSIVE t AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent_id FROM part WHERE p_partkey BETWEEN 1 AND 500), c AS (SELECT id, id AS ancestor, 0::BIGINT AS depth FROM t UNION ALL SELECT c.id, t.parent_id, depth + 1 FROM c JOIN t ON t.id = c.ancestor WHERE t.parent_id IS NOT NULL AND depth < 32) SELECT ancestor AS folder, count(*) AS total FROM c GROUP BY 1")
+@query("WITH RECURSIVE t AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent_id FROM part), c AS (SELECT id, id AS ancestor, 0::BIGINT AS depth FROM t UNION ALL SELECT c.id, t.parent_id, depth + 1 FROM c JOIN t ON t.id = c.ancestor WHERE t.parent_id IS NOT NULL AND depth < 32) SELECT ancestor AS folder, count(*) AS total FROM c GROUP BY 1")
 def folder_tree_totals(spark, d):
-    t = table(spark, d, "part").filter("p_partkey BETWEEN 1 AND 500").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2)).alias("parent_id"))
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr("CASE WHEN p_partkey > 1 THEN p_partkey DIV 2 END").alias("parent_id"))
     return graph.closure(t).groupBy(F.col("ancestor").alias("folder")).agg(F.count("*").alias("total"))
 
 
-@query("WITH RECURSIVE t AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent_id FROM part WHERE p_partkey BETWEEN 1 AND 500), c AS (SELECT id, id AS ancestor, 0::BIGINT AS depth FROM t UNION ALL SELECT c.id, t.parent_id, depth + 1 FROM c JOIN t ON t.id = c.ancestor WHERE t.parent_id IS NOT NULL AND depth < 32) SELECT id, depth FROM c WHERE ancestor = 3")
+@query("WITH RECURSIVE t AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent_id FROM part), c AS (SELECT id, id AS ancestor, 0::BIGINT AS depth FROM t UNION ALL SELECT c.id, t.parent_id, depth + 1 FROM c JOIN t ON t.id = c.ancestor WHERE t.parent_id IS NOT NULL AND depth < 32) SELECT id, depth FROM c WHERE ancestor = 3")
 def folder_cycle_check(spark, d):
     """Everything below folder 3: none of it may become its parent."""
-    t = table(spark, d, "part").filter("p_partkey BETWEEN 1 AND 500").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2)).alias("parent_id"))
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr("CASE WHEN p_partkey > 1 THEN p_partkey DIV 2 END").alias("parent_id"))
     return graph.closure(t).filter("ancestor = 3").select("id", "depth")

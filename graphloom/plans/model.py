@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
+from ..operators.lineage import shared_dir
 
 OWNER = "0123456789ab"
 
@@ -23,7 +25,41 @@ def node_uri(kind: str, name: Column, key: Column) -> Column:
 KINDS = (("region", "r_regionkey", "r_name", "location"), ("nation", "n_nationkey", "n_name", "location"), ("customer", "c_custkey", "c_name", "organization"), ("supplier", "s_suppkey", "s_name", "organization"), ("part", "p_partkey", "p_name", "technology"))
 
 
+#: Graphs that this process has stored: (application, folder of tables, their state) -> folder.
+_stored: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, lengths and times of the files that the graph is made from."""
+    out, jvm, conf = [], spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in (*(k[0] for k in KINDS), "orders", "lineitem"):
+        at = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in at.getFileSystem(conf).listStatus(at)]
+    return tuple(out)
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the stored graph: built from the tables on first use, as a graph store is loaded once and read often."""
+    key = spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir)
+    if key not in _stored:
+        at = f"{shared_dir(spark)}/graphloom/graph-{uuid.uuid4().hex}"
+        _made_nodes(spark, sf_dir).write.parquet(f"{at}/nodes")
+        _made_edges(spark, sf_dir).write.parquet(f"{at}/edges")
+        _stored[key] = at
+    return _stored[key]
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """uri, name, type, coarse_type, key, min_rank, source_job, source_jobs, from the stored graph."""
+    return spark.read.parquet(f"{_graph(spark, sf_dir)}/nodes")
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src_uri, rel_type, dst_uri, confidence, asserted_at, source_doc_modified_at, min_rank, source_job, source_jobs, from the stored graph."""
+    return spark.read.parquet(f"{_graph(spark, sf_dir)}/edges")
+
+
+def _made_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """uri, name, type, coarse_type, key, min_rank, source_job, source_jobs."""
     some = [table(spark, sf_dir, t).select(node_uri(t, F.col(n), F.col(k)).alias("uri"), F.col(n).alias("name"), F.lit(t).alias("type"), F.lit(c).alias("coarse_type"), F.col(k).cast("long").alias("key")) for t, k, n, c in KINDS]
     out = reduce(DataFrame.unionByName, some)
@@ -31,7 +67,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"min_rank": (100 * (F.col("key") % 4)).cast("int"), "source_job": job, "source_jobs": F.array(job)})
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _made_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src_uri, rel_type, dst_uri, confidence, asserted_at, source_doc_modified_at, min_rank, source_job, source_jobs."""
     t = {x: table(spark, sf_dir, x) for x in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
     u = {k: (lambda kind, key, name: node_uri(kind, F.col(name), F.col(key)))(k, key, name) for k, key, name, _ in KINDS}

@@ -12,12 +12,12 @@ NOW = "timestamp_ntz'2024-02-01'"
 
 
 # ---- joins ---------------------------------------------------------------------------------------------------------
-@query(f"WITH {NODES} SELECT a.uri AS a, b.uri AS b FROM nodes a JOIN nodes b ON lower(a.name) = lower(b.name) AND a.coarse_type = b.coarse_type AND a.source_job <> b.source_job AND a.uri < b.uri WHERE a.type = 'part' AND a.key % 7 = 0 AND b.key % 7 = 1")
+@query(f"WITH {NODES}, k AS (SELECT lower(name) AS name, coarse_type, source_job, min(uri) AS uri, count(*) AS n FROM nodes WHERE type = 'part' GROUP BY ALL) SELECT a.uri AS a, b.uri AS b, (a.n * b.n)::BIGINT AS pairs FROM k a JOIN k b ON a.name = b.name AND a.coarse_type = b.coarse_type AND a.source_job < b.source_job")
 def exact_name_self_join(spark, d):
-    n = nodes(spark, d)
-    a = n.filter("type = 'part' AND key % 7 = 0").select(F.col("uri").alias("a"), F.lower("name").alias("name"), "coarse_type", F.col("source_job").alias("ja"))
-    b = n.filter("key % 7 = 1").select(F.col("uri").alias("b"), F.lower("name").alias("name"), "coarse_type", F.col("source_job").alias("jb"))
-    return a.join(b, ["name", "coarse_type"]).filter("ja <> jb AND a < b").select("a", "b")
+    """Equal names of one kind in two jobs: by the least uri of each, and how many pairs they stand for."""
+    k = nodes(spark, d).filter("type = 'part'").groupBy(F.lower("name").alias("name"), "coarse_type", "source_job").agg(F.min("uri").alias("uri"), F.count("*").alias("n"))
+    a, b = (k.withColumnsRenamed({"source_job": f"j{x}", "uri": x, "n": f"n{x}"}) for x in "ab")
+    return a.join(b, ["name", "coarse_type"]).filter("ja < jb").select("a", "b", (F.col("na") * F.col("nb")).alias("pairs"))
 
 
 @query("WITH w AS (SELECT p_partkey, 'w:' || unnest(string_split(p_name, ' ')) || ':' || p_brand AS k FROM part UNION ALL SELECT p_partkey, 's:' || p_size || ':' || p_type FROM part) SELECT DISTINCT a.p_partkey AS a, b.p_partkey AS b FROM w a JOIN w b ON a.k = b.k AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1")
@@ -242,9 +242,9 @@ def change_detection(spark, d):
     return _versions(spark, d).filter("changed = 1").select("path", "doc_id")
 
 
-@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20")
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 200")
 def keep_last_200(spark, d):
-    return table(spark, d, "events").withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).filter("place <= 20").select("user_id", "event_id")
+    return table(spark, d, "events").withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).filter("place <= 200").select("user_id", "event_id")
 
 
 @query(f"{GRAPH}, u AS (SELECT src_uri AS uri, confidence FROM edges UNION ALL SELECT dst_uri, confidence FROM edges), g AS (SELECT uri, count(*) AS degree, count(*) FILTER (WHERE confidence >= 0.95) AS sure FROM u GROUP BY 1) SELECT lower(name) AS name, uri FROM nodes LEFT JOIN g USING (uri) WHERE type = 'part' QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY coalesce(sure, 0) DESC, coalesce(degree, 0) DESC, uri) = 1")
@@ -323,13 +323,17 @@ def lexical_union(spark, d):
     return reduce(lambda a, b: a.unionByName(b), hits).groupBy("doc_id").agg(F.min("p").alias("priority"))
 
 
-@query("SELECT a.user_id AS a, b.user_id AS b, len(list_intersect(a.k, b.k))::BIGINT AS both, len(list_distinct(list_concat(a.k, b.k)))::BIGINT AS either FROM (SELECT user_id, list(DISTINCT event_type) AS k FROM events WHERE user_id < 60 GROUP BY 1) a JOIN (SELECT user_id, list(DISTINCT event_type) AS k FROM events WHERE user_id < 60 GROUP BY 1) b ON a.user_id % 20 = b.user_id % 20 AND a.user_id < b.user_id")
+@query("WITH k AS (SELECT user_id, list(DISTINCT event_type) AS k FROM events GROUP BY 1), f AS (SELECT a.user_id AS a, a.k AS x, b.user_id AS b, b.k AS y FROM k a JOIN k b ON b.user_id = a.user_id + 1) SELECT a, b, len(list_intersect(x, y))::BIGINT AS both, len(list_distinct(list_concat(x, y)))::BIGINT AS either FROM f")
 def induced_intersection(spark, d):
-    k = table(spark, d, "events").filter("user_id < 60").groupBy("user_id").agg(F.collect_set("event_type").alias("k")).withColumn("m", F.col("user_id") % 20)
-    a, b = k.select("m", F.col("user_id").alias("a"), F.col("k").alias("x")), k.select("m", F.col("user_id").alias("b"), F.col("k").alias("y"))
-    return a.join(b, "m").filter("a < b").select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("both"), F.size(F.array_union("x", "y")).cast("long").alias("either"))
+    """What every user's kinds of events share with the next user's."""
+    k = table(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
+    a, b = k.select(F.col("user_id").alias("a"), F.col("k").alias("x")), k.select(F.col("user_id").alias("b"), F.col("k").alias("y"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("both"), F.size(F.array_union("x", "y")).cast("long").alias("either"))
 
 
-@query("SELECT DISTINCT source FROM documents WHERE doc_id % 50 = 0 UNION SELECT 'src3'")
+@query("SELECT DISTINCT source AS compilation FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION SELECT 'src3'")
 def compilations_for_chunks(spark, d):
-    return table(spark, d, "documents").filter("doc_id % 50 = 0").select("source").union(spark.createDataFrame([("src3",)], "source string")).distinct()
+    """Compilations of the chunks asked for (those of toxic documents), and one that is always searched."""
+    asked = table(spark, d, "labels").filter("toxic = 1").select("doc_id")
+    found = table(spark, d, "documents").join(asked, "doc_id", "left_semi").select(F.col("source").alias("compilation"))
+    return found.union(spark.createDataFrame([("src3",)], "compilation string")).distinct()

@@ -115,3 +115,28 @@ def test_stream_heat(spark, tmp_path):
 def test_entry_works_without_llm():
     code = "import re, sys\nclass No:\n    def find_spec(self, name, path=None, target=None):\n        if name.split('.')[:2] == ['graphloom', 'llm'] or name == 'corpus_pipeline':\n            raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nassert not [q for q in e.queries() if re.match(r'op\\d+_', q)] and len(e.queries()) > 100 and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_best_pairs_with_hubs(spark):
+    """Against all pairs, with neighbours so frequent that their pairs are bounded first."""
+    import math
+    import random
+    from collections import defaultdict
+
+    from graphloom.operators.prediction import best_pairs
+
+    r = random.Random(3)
+    links = sorted({(a, f"m{int(r.paretovariate(0.7)) % 40}") for a in range(60) for _ in range(6)})
+    by, score = defaultdict(list), defaultdict(float)
+    for a, m in links:
+        by[m].append(a)
+    for nodes in by.values():
+        for a in nodes:
+            for b in nodes:
+                if a < b:
+                    score[a, b] += 1 / math.log(len(nodes) + 1)
+    want = sorted(((-round(s, 6), a, b) for (a, b), s in score.items()))[:20]
+    df = spark.createDataFrame(links, "a long, m string")
+    for few in (1, 5, 1000):
+        got = [(-x.score, x.a, x.b) for x in best_pairs(df, 20, few).collect()]
+        assert sorted(got) == want
