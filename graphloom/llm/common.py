@@ -62,6 +62,21 @@ class Tables:
         discard(self.spark, self.folder)
 
 
+def _bucket(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1 << bits)).cast("int")
+
+
+def parted(df: DataFrame, key: str, wanted: DataFrame, bits: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose key may be among those of `wanted`, rows whose key is not).
+
+    Keys are compared by hash bucket; at most 2^bits numbers go to all tasks, whatever the size of `wanted`. So a join
+    that follows moves few rows of df where few are wanted, and all of them in the worst case.
+    """
+    few = F.broadcast(wanted.select(_bucket(F.col(key), bits).alias("__bucket")).distinct())
+    df = df.withColumn("__bucket", _bucket(F.col(key), bits))
+    return df.join(few, "__bucket", "left_semi").drop("__bucket"), df.join(few, "__bucket", "left_anti").drop("__bucket")
+
+
 def salts_for(rows: int) -> int:
     """Salts for numbered(): one for each 200,000 rows, 64 at least."""
     return max(64, rows // 200_000)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, written
+from .common import Tables, parted, written
 from .components import components
 from .encoding import slices
 
@@ -234,7 +234,7 @@ def _small(batches):
 
 
 def _cross(rows: DataFrame, about: DataFrame, threshold: float) -> DataFrame:
-    """Of rows s, x, part, r, with n and small of x from `about`, what _region_pairs says, each once.
+    """Of rows s, x, part, r, with n and bits of x from `about`, what _region_pairs says, each once.
 
     A region of more than LEAF rows is dealt out in blocks, and every two blocks meet in a group of their own.
     """
@@ -243,6 +243,7 @@ def _cross(rows: DataFrame, about: DataFrame, threshold: float) -> DataFrame:
     rows = rows.join(large, F.col("s") == F.col("l"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
     dealt = rows.select("s", "x", "part", "r", "block", F.inline(meets))
+    about = parted(about, "x", rows)[0].mapInArrow(_small, "x long, n long, small binary")
     dealt = dealt.join(about, "x").select("s", "x", "n", "small", "part", "r", "block", "i", "j").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
     said = dealt.mapInArrow(_region_pairs(threshold), "u long, v long, window double")
     return said.groupBy("u", "v").agg(F.min("window").alias("window"))
@@ -287,20 +288,22 @@ class _Corpus:
         self.classes = work.write(kinds.select("class", F.col("r.row").alias("x"), "r.key", "r.key2", "first", "n", "prefix", "bits"), "classes")
         work.discard("features")
 
-    def about(self, name: str) -> DataFrame:
-        return self.classes.select(F.col("x").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"b_{name}"))
+    def about(self, name: str, pairs: DataFrame) -> DataFrame:
+        some, _ = parted(self.classes.select("x", "n", "bits"), "x", pairs.select(F.col(name).alias("x")))
+        return some.withColumnsRenamed({"x": name, "n": f"n_{name}", "bits": f"b_{name}"})
 
-    def plausible(self, pairs: DataFrame) -> DataFrame:
-        both = pairs.join(self.about("u"), "u").join(self.about("v"), "v")
+    def plausible(self, pairs: DataFrame, name: str) -> DataFrame:
+        pairs = self.work.write(pairs, f"{name}-asked")
+        both = pairs.join(self.about("u", pairs), "u").join(self.about("v", pairs), "v")
         return both.select("u", "v", "n_u", "b_u", "n_v", "b_v").mapInArrow(_plausible(1 - self.percent / 100), "u long, v long")
 
     def measured(self, pairs: DataFrame, name: str) -> DataFrame:
         """u, v, both, either of each pair, from the whole texts of those that are in one."""
-        work, steps = self.work, [f"{name}-{x}" for x in ("pairs", "asked", "sets")]
+        work, steps = self.work, [f"{name}-{x}" for x in ("pairs", "texts", "sets")]
         pairs = work.write(pairs.distinct(), steps[0])
         asked = pairs.select(F.explode(F.array("u", "v")).alias("x")).distinct().join(self.classes.select("x", "key", "key2"), "x")
         asked = work.write(asked, steps[1])
-        sets = self.docs.join(asked, ["key", "key2"]).select("x", "text").mapInArrow(_sets(self.width), "x long, set binary")
+        sets = parted(self.docs, "key", asked)[0].join(asked, ["key", "key2"]).select("x", "text").mapInArrow(_sets(self.width), "x long, set binary")
         sets = work.write(sets.dropDuplicates(["x"]), steps[2])  # a row may be there more than once
         both = pairs.join(sets.withColumnsRenamed({"x": "u", "set": "s"}), "u").join(sets.withColumnsRenamed({"x": "v", "set": "t"}), "v")
         out = work.write(both.select("u", "v", "s", "t").mapInArrow(_measured, "u long, v long, both long, either long"), name)
@@ -312,7 +315,7 @@ class _Corpus:
 
     def links(self, said: DataFrame, name: str) -> DataFrame:
         """The links among what _cross says."""
-        return self.linked(self.measured(self.plausible(said.filter("v IS NOT NULL").select("u", "v")), name))
+        return self.linked(self.measured(self.plausible(said.filter("v IS NOT NULL").select("u", "v"), name), name))
 
 
 def keys() -> list:
@@ -349,7 +352,7 @@ def _classes(docs: DataFrame, width: int, percent: int, work: Tables) -> tuple[D
     members = work.write(_regions(corpus.classes, percent), "members")
     # cells around hubs
     alike = (F.col("x") != F.col("p")) & (100 * F.least("n", "n_p") >= percent * F.greatest("n", "n_p"))
-    near = corpus.measured(corpus.plausible(members.filter(alike).select(F.col("x").alias("u"), F.col("p").alias("v")).distinct()), "near")
+    near = corpus.measured(corpus.plausible(members.filter(alike).select(F.col("x").alias("u"), F.col("p").alias("v")).distinct(), "near"), "near")
     members = members.select("s", "x")
     edges = work.write(corpus.linked(near), "edges")
     distance = 1 - F.col("both") / F.col("either")
@@ -361,11 +364,12 @@ def _classes(docs: DataFrame, width: int, percent: int, work: Tables) -> tuple[D
     some = members.join(cells, "x", "left").select("s", F.coalesce("hub", "x").alias("x")).distinct().join(parts, "x", "left").withColumn("part", F.coalesce("part", "x"))
     some = work.write(some, "hubs")
     open_regions = lambda rows: rows.groupBy("s").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("s")
-    about = corpus.classes.select("x", "n", "bits").mapInArrow(_small, "x long, n long, small binary")
+    about = corpus.classes.select("x", "n", "bits")
     hubs = some.join(open_regions(some), "s", "left_semi").join(radius, "x", "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
+    hubs = work.write(hubs, "open-hubs")
     said = work.write(_cross(hubs, about, threshold), "cross")
     edges = work.write(edges.unionByName(corpus.links(said, "between")), "edges-2")
-    work.discard("hubs", "near", "edges")
+    work.discard("hubs", "open-hubs", "near", "edges")
     # members in the windows of cells that may still have links to others
     window = said.filter("v IS NULL").select(F.col("u").alias("hub"), "window")
     own = cells.unionByName(window.select(F.col("hub").alias("x"), "hub", F.lit(0.0).alias("d")))
@@ -374,7 +378,7 @@ def _classes(docs: DataFrame, width: int, percent: int, work: Tables) -> tuple[D
     border = work.write(border.join(parts, "x", "left").withColumn("part", F.coalesce("part", "x")), "border")
     rows = work.write(members.join(border, "x"), "border-members")
     work.discard("members", "cross")
-    rows = rows.join(open_regions(rows), "s", "left_semi").withColumn("r", F.lit(0.0))
+    rows = work.write(rows.join(open_regions(rows), "s", "left_semi").withColumn("r", F.lit(0.0)), "open-members")
     said = work.write(_cross(rows, about, threshold), "cross-2")
     edges = work.write(edges.unionByName(corpus.links(said, "within")), "edges-3")
     # a class without links is a component of its own
@@ -408,9 +412,13 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     """
     work = Tables(docs.sparkSession, "jaccard")
     rows, kinds = _classes(docs, width, percent, work)
-    stay = kinds.filter(F.col("first").eqNullSafe(F.col("best"))).select("first.key", "first.key2").unionByName(rows.filter("n = 0").select("first.key", "first.key2").distinct())
-    stay = written(stay.select(F.col("key").alias("__key"), F.col("key2").alias("__key2")), "stay")
+    stays = F.col("best").isNull() | F.col("first").eqNullSafe(F.col("best"))
+    per = rows.join(kinds.select("class", "best"), "class", "left").select("first.key", "first.key2", stays.alias("stays"))
+    # keys of rows that go, or that are there more than once
+    marked = per.groupBy("key", "key2").agg(F.bool_and("stays").alias("stays"), F.count("*").alias("n")).filter("NOT stays OR n > 1")
+    marked = written(marked.select(F.col("key").alias("__key"), F.col("key2").alias("__key2"), F.col("stays").alias("__stays")), "marked")
     work.close()
     key, key2 = keys()
-    kept = docs.withColumns({"__key": key, "__key2": key2}).join(stay, ["__key", "__key2"], "left_semi")
-    return kept.dropDuplicates(["__key", "__key2"]).drop("__key", "__key2")
+    some, rest = parted(docs.withColumns({"__key": key, "__key2": key2}), "__key", marked)
+    some = some.join(marked, ["__key", "__key2"], "left").filter(F.coalesce("__stays", F.lit(True))).dropDuplicates(["__key", "__key2"])
+    return some.select(*rest.columns).unionByName(rest).drop("__key", "__key2")
