@@ -77,52 +77,6 @@ def fuzzy_complement(pairs: DataFrame, least: float = 0.62) -> DataFrame:
     return pairs.withColumn("score", F.round(seq_ratio(fold(F.col("x_name")), fold(F.col("y_name"))), 6)).filter(F.col("score") >= least)
 
 
-def louvain(edges: DataFrame, most: int = 8000, sweeps: int = 50) -> DataFrame:
-    """node, community of one level of modularity moves, for graphs (graph, a, b) of at most `most` nodes each.
-
-    Nodes are swept in order; a node moves to the neighbouring community of strictly greatest gain, ties to the least;
-    communities are numbered by size, then by their least node. A larger graph is refused, as the sweep is sequential.
-    """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        around: dict = {}
-        for a, b in zip(pdf["a"], pdf["b"]):
-            if a != b:
-                around.setdefault(a, set()).add(b)
-                around.setdefault(b, set()).add(a)
-        names = sorted(around)
-        if len(names) > most:
-            raise ValueError(f"{len(names)} nodes; at most {most} are taken")
-        degree = {n: len(around[n]) for n in names}
-        total, label, weight = sum(degree.values()), {n: n for n in names}, dict(degree)
-        for _ in range(sweeps):
-            moved = False
-            for n in names:
-                weight[label[n]] -= degree[n]
-                links: dict = {}
-                for m in around[n]:
-                    links[label[m]] = links.get(label[m], 0) + 1
-                gain = lambda c: links.get(c, 0) - degree[n] * weight[c] / total  # noqa: E731, B023
-                best = label[n]
-                for c in sorted(links):
-                    if gain(c) > gain(best) + 1e-12:
-                        best = c
-                moved |= best != label[n]
-                label[n] = best
-                weight[best] += degree[n]
-            if not moved:
-                break
-        groups: dict = {}
-        for n in names:
-            groups.setdefault(label[n], []).append(n)
-        order = sorted(groups.values(), key=lambda g: (-len(g), min(g)))
-        rows = [(pdf["graph"].iloc[0], n, i) for i, g in enumerate(order) for n in g]
-        return pd.DataFrame(rows, columns=["graph", "node", "community"])
-
-    kind = dict(edges.dtypes)
-    return edges.groupBy("graph").applyInPandas(one, f"graph {kind['graph']}, node {kind['a']}, community int")
-
-
 def pseudonymized(texts: DataFrame, dictionary: DataFrame, reverse: bool = False) -> DataFrame:
     """texts (id, compilation_id, text) with the names of their compilation's dictionary (entity_key, pseudonym) replaced, the longest first, whole words, whatever their case. A dictionary is bounded by its compilation."""
     key, to = ("pseudonym", "entity_key") if reverse else ("entity_key", "pseudonym")

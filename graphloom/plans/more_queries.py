@@ -60,16 +60,21 @@ def authors_jaccard(spark, d):
     return z.join(first, "p_size").select("a", F.col("p_partkey").alias("b"), F.round(T.set_jaccard(F.col("x"), F.col("w")), 6).alias("score"))
 
 
-@query("SELECT p_partkey, len(w) = 2 AND (w[1] = 'red' OR w[1] = 'r') AS match FROM (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part)")
+@query("WITH c AS (SELECT DISTINCT string_split(lower(p_name), ' ') AS w FROM part), f AS (SELECT w FROM c WHERE len(w) = 2), i AS (SELECT DISTINCT substr(w[1], 1, 1) AS initial, w[2] AS last FROM f) SELECT w[1] || ' ' || w[2] AS name, initial || ' ' || last AS short FROM f JOIN i ON i.last = w[2] AND starts_with(w[1], initial)")
 def person_initial_match(spark, d):
-    """Whether a name of two words begins like `r`, by word or initial."""
-    w = F.split(F.lower("p_name"), " ")
-    return table(spark, d, "part").select("p_partkey", ((F.size(w) == 2) & (F.get(w, F.lit(0)).isin("red", "r"))).alias("match"))
+    """Names of two words and the forms with an initial that they match: same last word, the first begins with the initial."""
+    f = table(spark, d, "part").select(F.split(F.lower("p_name"), " ").alias("w")).distinct().filter(F.size("w") == 2).select(F.col("w")[0].alias("first"), F.col("w")[1].alias("last"))
+    i = f.select(F.substring("first", 1, 1).alias("initial"), "last").distinct()
+    return f.withColumn("initial", F.substring("first", 1, 1)).join(i, ["initial", "last"]).select(F.concat_ws(" ", "first", "last").alias("name"), F.concat_ws(" ", "initial", "last").alias("short"))
 
 
-@query("SELECT c_custkey, contains(regexp_replace(lower(c_name), '[^a-z]', '', 'g'), 'custom') AS match FROM customer")
+@query("WITH r AS (SELECT c_custkey, c_nationkey, trim(regexp_replace(regexp_replace(lower(c_name), '[0-9#]+', ' ', 'g'), '\\s+', ' ', 'g')) AS root FROM customer), f AS (SELECT c_nationkey, min(c_custkey) AS first FROM customer GROUP BY 1) SELECT r.c_custkey, x.root = r.root OR contains(x.root, r.root) OR contains(r.root, x.root) AS match FROM r JOIN f USING (c_nationkey) JOIN r x ON x.c_custkey = f.first")
 def roots_match(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.contains(F.regexp_replace(F.lower("c_name"), "[^a-z]", ""), F.lit("custom")).alias("match"))
+    """Whether every customer's name has the root of the first customer's of its nation, or one root holds the other."""
+    root = F.trim(F.regexp_replace(F.regexp_replace(F.lower("c_name"), "[0-9#]+", " "), r"\s+", " "))
+    r = table(spark, d, "customer").select("c_custkey", "c_nationkey", root.alias("root"))
+    first = r.groupBy("c_nationkey").agg(F.min_by("root", "c_custkey").alias("x"))
+    return r.join(first, "c_nationkey").select("c_custkey", ((F.col("x") == F.col("root")) | F.contains("x", "root") | F.contains("root", "x")).alias("match"))
 
 
 BACK = "'made by ' || p_brand || chr(10) || '## Backlinks' || chr(10) || '- [[' || p_type || ']]' || chr(10) || '<!-- core: ' || sha256(p_name) || ' -->'"

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.text import html_text
-from ..operators import graph, resolution, sequences
+from ..operators import communities, graph, resolution, sequences
 from ..sources import exports, files
 from ..streaming import ingest
 from .model import CHUNKS, GRAPH, NODES, chunks, edges, nodes, table
@@ -135,30 +135,32 @@ def seq_ratio(spark, d):
     return sequences.fuzzy_complement(a.join(b, ["p_size", "p_brand"]).filter("a < b").select("a", "b", "x_name", "y_name"))
 
 
-def _shape(spark, d):
-    """Nations linked through the customers that share their market segment and balance band: one graph of few nodes."""
-    c = table(spark, d, "customer").select("c_nationkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 500).alias("band")).distinct()
-    a = c.select(F.col("c_nationkey").alias("a"), "c_mktsegment", "band")
-    b = c.select(F.col("c_nationkey").alias("b"), "c_mktsegment", "band")
-    return a.join(b, ["c_mktsegment", "band"]).filter("a < b").select(F.lit("nations").alias("graph"), "a", "b").distinct()
+def _linked(spark, d):
+    return edges(spark, d).filter("rel_type <> 'SUPPLIED_BY'").select(F.col("src_uri").alias("a"), F.col("dst_uri").alias("b"))
 
 
 @query()
 def communities_louvain(spark, d):
-    return sequences.louvain(_shape(spark, d))
+    """Communities of the places, customers and parts of the graph."""
+    return communities.communities(_linked(spark, d))
 
 
 @query()
 def community_summary(spark, d):
-    c = sequences.louvain(_shape(spark, d)).join(table(spark, d, "nation"), F.col("node") == F.col("n_nationkey"))
-    return c.groupBy("community").agg(F.min("n_name").alias("name"), F.count("*").alias("size"))
+    """Each community's name, that of its member of highest degree, and its size."""
+    e = _linked(spark, d)
+    degree = communities.both_ways(e).groupBy("node").agg(F.count("*").alias("k"))
+    c = communities.communities(e).join(degree, "node").join(nodes(spark, d).select(F.col("uri").alias("node"), "name"), "node")
+    best = F.min(F.struct((-F.col("k")).alias("k"), "name", "node")).alias("best")
+    return c.groupBy("community").agg(best, F.count("*").alias("size")).select("community", F.col("best.name").alias("name"), "size")
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, floor(c_acctbal / 500)::BIGINT AS b FROM customer), deg AS (SELECT a, count(*) AS k FROM e GROUP BY 1), m AS (SELECT count(*) AS m FROM e) SELECT a AS node, round(k - k * k / (2.0 * m), 6)::DOUBLE AS gain FROM deg, m")
+@query(f"{GRAPH}, e AS (SELECT DISTINCT least(src_uri, dst_uri) AS a, greatest(src_uri, dst_uri) AS b FROM edges WHERE rel_type = 'LOCATED_IN'), u AS (SELECT a AS node, b AS other FROM e UNION ALL SELECT b, a FROM e), k AS (SELECT node, count(*) AS k FROM u GROUP BY 1), t AS (SELECT count(*) AS total FROM u), kind AS (SELECT uri AS node, type FROM nodes), w AS (SELECT type, sum(k) AS weight FROM k JOIN kind USING (node) GROUP BY 1), l AS (SELECT u.node, type, count(*) AS links FROM u JOIN kind ON kind.node = u.other GROUP BY ALL) SELECT l.node, l.type AS community, round(links - k.k * (weight - CASE WHEN kind.type = l.type THEN k.k ELSE 0 END)::DOUBLE / total, 6)::DOUBLE AS gain FROM l JOIN k USING (node) JOIN kind USING (node) JOIN w ON w.type = l.type, t")
 def modularity_gain(spark, d):
-    e = table(spark, d, "customer").select(F.col("c_nationkey").alias("node"), F.floor(F.col("c_acctbal") / 500).alias("b")).distinct()
-    k = e.groupBy("node").agg(F.count("*").alias("k")).crossJoin(e.agg(F.count("*").alias("m")))  # one row
-    return k.select("node", F.round(F.col("k") - F.col("k") * F.col("k") / (2.0 * F.col("m")), 6).alias("gain"))
+    """What every place, customer and supplier would gain by joining each kind of node around it, with kinds as communities."""
+    around = communities.both_ways(edges(spark, d).filter("rel_type = 'LOCATED_IN'").select(F.col("src_uri").alias("a"), F.col("dst_uri").alias("b")))
+    kind = nodes(spark, d).select(F.col("uri").alias("node"), F.col("type").alias("community"))
+    return communities.gains(around, kind).select("node", "community", F.round("gain", 6).alias("gain"))
 
 
 SHORT = "ud AS (SELECT src_uri AS uri, dst_uri AS other FROM edges WHERE rel_type = 'LOCATED_IN' UNION ALL SELECT dst_uri, src_uri FROM edges WHERE rel_type = 'LOCATED_IN'), t AS (SELECT uri FROM nodes WHERE type = 'region' AND key = 1)"
@@ -211,19 +213,23 @@ def windowed_usage(spark, d):
     return ingest.windowed_usage(table(spark, d, "events")).withColumn("spent", F.col("spent").cast("decimal(38,2)"))
 
 
-@query(f"WITH {NODES}, p AS (SELECT uri, name, source_jobs FROM nodes WHERE type = 'part') SELECT a.name, count(*) AS pairs FROM p a JOIN p b ON a.name = b.name AND a.uri < b.uri WHERE a.source_jobs <> b.source_jobs GROUP BY 1")
+@query(f"WITH {NODES}, p AS (SELECT lower(name) AS name, source_job AS job FROM nodes WHERE type = 'part' GROUP BY ALL), s AS (SELECT name, job, unnest(string_split(name, ' ')) AS w FROM p), c AS (SELECT DISTINCT a.name AS a, a.job AS ja, b.name AS b, b.job AS jb FROM s a JOIN s b ON a.w = b.w AND a.job < b.job AND a.name <> b.name) SELECT a, ja, b, jb, levenshtein(a, b)::BIGINT AS distance FROM c WHERE levenshtein(a, b) <= 2")
 def theta_name_join(spark, d):
-    """Pairs of other jobs with nearly the same name, behind the block of equal names."""
-    p = nodes(spark, d).filter("type = 'part'")
-    n = p.groupBy("name", "source_job").agg(F.count("*").alias("n"))
-    per = n.groupBy("name").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"))
-    return per.select("name", ((F.col("all") * F.col("all") - F.col("same")) / 2).cast("long").alias("pairs")).filter("pairs > 0")
+    """Names of other jobs at an edit distance of 1 or 2 that share a word; a block is what has the word."""
+    p = nodes(spark, d).filter("type = 'part'").select(F.lower("name").alias("name"), F.col("source_job").alias("job")).distinct()
+    w = p.select("name", "job", F.explode(F.array_distinct(F.split("name", " "))).alias("w"))
+    a, b = (w.withColumnsRenamed({"name": x, "job": f"j{x}"}) for x in "ab")
+    near = a.join(b, "w").filter("ja < jb AND a <> b").select("a", "ja", "b", "jb").distinct()
+    return near.withColumn("distance", F.expr("levenshtein(a, b, 2)").cast("long")).filter("distance >= 0")
 
 
-@query("SELECT x, acronym FROM (SELECT p_type AS x, string_agg(substr(w, 1, 1), '') AS acronym FROM (SELECT DISTINCT p_type, unnest(string_split(lower(p_type), ' ')) AS w FROM (SELECT DISTINCT p_type FROM part)) GROUP BY 1) WHERE len(acronym) = 1 ORDER BY 1")
+@query("WITH t AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_name, string_split(lower(p_name), ' ') AS w FROM t), a AS (SELECT p_name, list_aggregate(list_transform(w, lambda x: x[1]), 'string_agg', '') AS acronym FROM w WHERE len(w) >= 2), n AS (SELECT DISTINCT 'v' || acronym AS short FROM a UNION SELECT acronym FROM a) SELECT p_name AS name, short FROM a JOIN n ON short = acronym")
 def acronym_match(spark, d):
-    p = table(spark, d, "part").select(F.col("p_type").alias("x")).distinct()
-    return p.select("x", resolution.acronym(F.split(F.lower("x"), " ")).alias("acronym")).filter(F.length("acronym") == 1)
+    """Names of two words or more and the short names that are their initials; short names with another letter before match nothing."""
+    a = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("words", F.split(F.lower("name"), " ")).filter(F.size("words") >= 2)
+    a = a.select("name", resolution.acronym(F.col("words")).alias("acronym"))
+    short = a.select(F.concat(F.lit("v"), "acronym").alias("short")).union(a.select("acronym")).distinct()
+    return a.join(short, F.col("acronym") == F.col("short")).select("name", "short")
 
 
 @query("SELECT doc_id, sum(c)::BIGINT AS chars FROM (SELECT doc_id, len(unnest(string_split(text, chr(10)))) AS c FROM documents) GROUP BY 1")

@@ -140,3 +140,21 @@ def test_best_pairs_with_hubs(spark):
     for few in (1, 5, 1000):
         got = [(-x.score, x.a, x.b) for x in best_pairs(df, 20, few).collect()]
         assert sorted(got) == want
+
+
+def test_communities(spark):
+    """Cliques on a ring of single links fall apart into themselves; modularity against a count by hand."""
+    from graphloom.operators import communities as C
+
+    edges = [(10 * c + i, 10 * c + j) for c in range(8) for i in range(6) for j in range(i)] + [(10 * c, (10 * c + 11) % 80) for c in range(8)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = C.communities(df)
+    groups = {}
+    for r in got.collect():
+        groups.setdefault(r.community, set()).add(r.node)
+    assert sorted(map(sorted, groups.values())) == [[10 * c + i for i in range(6)] for c in range(8)]
+    m, inside = len(edges), 8 * 15
+    assert abs(C.modularity(C.both_ways(df), got) - (inside / m - 8 * (32 / (2 * m)) ** 2)) < 1e-9
+    star = spark.createDataFrame([(0, i) for i in range(1, 9)] + [(3, 3)], "a long, b long")
+    assert {r.node for r in C.communities(star).collect()} == set(range(9))
+    assert C.communities(df.limit(0)).collect() == []
