@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, prediction
+from ..operators import graph, prediction, retrieval
 from ..sources import office
 from .function_queries import LETTERS, WIKI, _wiki
 from .model import CHUNKS, GRAPH, NODES, chunks, edges, nodes, table
 from .registry import query
+from .retrieval_queries import WORDS_OF
 
 
 @query(f"WITH {NODES} SELECT uri FROM nodes WHERE key % 5 = 0 OR list_has_any(source_jobs, ['job2'])")
@@ -127,11 +128,11 @@ def graph_trace(spark, d):
     return e.select(F.col("src_uri").alias("node"), F.lit("from").alias("side")).union(e.select("dst_uri", F.lit("to"))).distinct()
 
 
-@query("SELECT conv_id, turn, title FROM conversations JOIN (SELECT DISTINCT lower(p_type) AS title FROM part) ON contains(lower(text), title) OR contains(title, lower(text)) QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY len(title) DESC, title) = 1")
+@query(f"WITH n AS (SELECT DISTINCT array_to_string({WORDS_OF}[1:3], ' ') AS title FROM benchmark UNION SELECT DISTINCT {WORDS_OF}[1] FROM documents), c AS (SELECT conv_id, turn, ' ' || array_to_string({WORDS_OF}, ' ') || ' ' AS t FROM conversations) SELECT conv_id, turn, title FROM c JOIN n ON title <> '' AND contains(t, ' ' || title || ' ') QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY len(title) DESC, title) = 1")
 def wiki_page_match(spark, d):
-    titles = table(spark, d, "part").select(F.lower("p_type").alias("title")).distinct()
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.lower("text").alias("t"))
-    hit = c.join(titles, F.contains("t", "title") | F.contains("title", "t"))
+    """The longest page title that a message holds as whole words; titles are the first words of documents and of benchmark items."""
+    first = lambda name, n: table(spark, d, name).select(F.array_join(F.slice(T.tokens(F.col("text")), 1, n), " ").alias("title"))
+    hit = retrieval.names_in(table(spark, d, "conversations"), "text", first("benchmark", 3).union(first("documents", 1)).distinct(), "title")
     best = F.min(F.struct((-F.length("title")).alias("n"), "title"))
     return hit.groupBy("conv_id", "turn").agg(best["title"].alias("title"))
 

@@ -164,13 +164,15 @@ def conversation_list(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn"))
 
 
-@query("SELECT conv_id, turn, p_partkey FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations) JOIN (SELECT p_partkey, lower(p_type) AS n FROM part WHERE p_partkey < 200) ON contains(t, n) QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY len(n) DESC, p_partkey) <= 3")
+WORDS_OF = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+@query(f"WITH n AS (SELECT array_to_string({WORDS_OF}[1:2], ' ') AS name, min(doc_id) AS doc_id FROM documents GROUP BY 1), c AS (SELECT conv_id, turn, ' ' || array_to_string({WORDS_OF}, ' ') || ' ' AS t FROM conversations) SELECT conv_id, turn, doc_id FROM c JOIN n ON name <> '' AND contains(t, ' ' || name || ' ') QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY len(name) DESC, doc_id) <= 3")
 def dossier_match(spark, d):
-    """Names of a bounded table of dossiers that a message holds, the longest first."""
-    names = table(spark, d, "part").filter("p_partkey < 200").select("p_partkey", F.lower("p_type").alias("n"))
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.lower("text").alias("t"))
-    hit = c.join(F.broadcast(names), F.contains("t", "n"))  # fewer than 200 names
-    return hit.withColumn("place", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.desc(F.length("n")), "p_partkey"))).filter("place <= 3").select("conv_id", "turn", "p_partkey")
+    """Names of dossiers, the first two words of documents here, that a message holds as whole words: the three longest."""
+    names = table(spark, d, "documents").select(F.array_join(F.slice(T.tokens(F.col("text")), 1, 2), " ").alias("name"), "doc_id").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+    hit = retrieval.names_in(table(spark, d, "conversations"), "text", names, "name")
+    return hit.withColumn("place", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.desc(F.length("name")), "doc_id"))).filter("place <= 3").select("conv_id", "turn", "doc_id")
 
 
 @query("SELECT user_id, list(event_type ORDER BY n DESC, event_type)[1:3] AS blocks FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
@@ -202,6 +204,10 @@ def _records(spark, d):
     return p.filter("uri % 2 = 0"), p.filter("uri % 2 = 1")
 
 
+def _grams(spark, d):
+    return [r.withColumn("grams", T.trigrams(F.col("name"))) for r in _records(spark, d)]
+
+
 REC = "rec AS (SELECT p_partkey AS uri, p_name || ' ' || p_brand || ' ' || p_type AS name, p_size AS year, p_brand AS coarse_type FROM part), gr AS (SELECT uri, year, coarse_type, name, list_distinct(list_transform(range(1, len(p) - 1), lambda i: substr(p, i, 3))) AS g FROM (SELECT *, ' ' || lower(name) || ' ' AS p FROM rec))"
 SIM = "round(len(list_intersect(x.g, y.g))::DOUBLE / len(list_distinct(list_concat(x.g, y.g))), 6)"
 
@@ -215,18 +221,14 @@ def er_exact(spark, d):
 
 @query(f"WITH {REC} SELECT x.uri AS a, y.uri AS b, {SIM} AS score FROM gr x JOIN gr y ON x.year = y.year AND x.coarse_type = y.coarse_type AND x.uri % 2 = 0 AND y.uri % 2 = 1 WHERE {SIM} >= 0.55")
 def er_fuzzy_general(spark, d):
-    x, y = _records(spark, d)
-    keys = F.array(F.concat_ws("|", F.col("year").cast("string"), "coarse_type"))
-    both = R.with_attributes(R.candidates(x, y, keys), x.select("uri", "name"), y.select("uri", "name"))
-    return both.select("a", "b", F.round(T.jaccard(T.trigrams(F.col("x_name")), T.trigrams(F.col("y_name"))), 6).alias("score")).filter("score >= 0.55")
+    x, y = _grams(spark, d)
+    return R.similar_pairs(x, y, ["year", "coarse_type"], 0.55)
 
 
 @query(f"WITH {REC} SELECT x.uri AS a, y.uri AS b, {SIM} AS score FROM gr x JOIN gr y ON x.year = y.year AND x.uri % 2 = 0 AND y.uri % 2 = 1 WHERE {SIM} >= 0.7 AND substr(x.coarse_type, 1, 7) = substr(y.coarse_type, 1, 7)")
 def er_fuzzy_field(spark, d):
-    x, y = _records(spark, d)
-    keys = F.array(F.concat_ws("|", F.col("year").cast("string"), F.substring("coarse_type", 1, 7)))
-    both = R.with_attributes(R.candidates(x, y, keys), x.select("uri", "name"), y.select("uri", "name"))
-    return both.select("a", "b", F.round(T.jaccard(T.trigrams(F.col("x_name")), T.trigrams(F.col("y_name"))), 6).alias("score")).filter("score >= 0.7")
+    x, y = (r.withColumn("kind", F.substring("coarse_type", 1, 7)) for r in _grams(spark, d))
+    return R.similar_pairs(x, y, ["year", "kind"], 0.7)
 
 
 WORDS = f"list_filter(regexp_split_to_array(translate(lower(name), {LETTERS}), '[\\s/\\-]+'), lambda w: w <> '' AND NOT list_contains({STOP}, w))"
@@ -235,7 +237,7 @@ WORDS = f"list_filter(regexp_split_to_array(translate(lower(name), {LETTERS}), '
 @query(f"WITH {REC}, w AS (SELECT uri, year, coarse_type, {WORDS} AS w FROM rec), s AS (SELECT x.uri AS a, y.uri AS b, CASE WHEN list_sort(list_distinct(x.w)) = list_sort(list_distinct(y.w)) THEN 0.92 WHEN len(list_intersect(x.w, y.w))::DOUBLE / len(list_distinct(list_concat(x.w, y.w))) >= 0.9 THEN 0.90 END AS confidence FROM w x JOIN w y ON x.year = y.year AND x.coarse_type = y.coarse_type AND x.uri % 2 = 0 AND y.uri % 2 = 1) SELECT a, b, confidence::DOUBLE AS confidence FROM s WHERE confidence IS NOT NULL")
 def er_smart(spark, d):
     x, y = _records(spark, d)
-    keys = F.array(F.concat_ws("|", F.col("year").cast("string"), "coarse_type"))
+    keys = F.transform(R.rule_keys(F.col("name")), lambda k: F.concat_ws("|", F.col("year").cast("string"), F.col("coarse_type"), k))
     both = R.with_attributes(R.candidates(x, y, keys), x.select("uri", "name"), y.select("uri", "name"))
     return both.select("a", "b", R.rule_score(F.col("x_name"), F.col("y_name")).alias("confidence")).filter("confidence IS NOT NULL")
 
@@ -306,12 +308,9 @@ def fuse_merge(spark, d):
 
 @query(f"WITH {REC} SELECT x.uri AS a, y.uri AS b, CASE WHEN s >= 0.85 THEN 'accept' ELSE 'review' END AS band FROM (SELECT x, y, greatest({SIM}, CASE WHEN x.name = y.name THEN 1 ELSE 0 END) AS s FROM gr x JOIN gr y ON x.year = y.year AND x.coarse_type = y.coarse_type AND x.uri % 2 = 0 AND y.uri % 2 = 1) WHERE s >= 0.55")
 def link_spec_eval(spark, d):
-    """MAX(trigrams(name, name), exactmatch(name, name)) within a block, in bands from .55 and from .85."""
-    x, y = _records(spark, d)
-    keys = F.array(F.concat_ws("|", F.col("year").cast("string"), "coarse_type"))
-    both = R.with_attributes(R.candidates(x, y, keys), x.select("uri", "name"), y.select("uri", "name"))
-    s = F.greatest(F.round(T.jaccard(T.trigrams(F.col("x_name")), T.trigrams(F.col("y_name"))), 6), (F.col("x_name") == F.col("y_name")).cast("double"))
-    return both.withColumn("s", s).filter("s >= 0.55").select("a", "b", F.when(F.col("s") >= 0.85, "accept").otherwise("review").alias("band"))
+    """MAX(trigrams(name, name), exactmatch(name, name)) within a block, in bands from .55 and from .85. Equal names have equal trigrams."""
+    x, y = _grams(spark, d)
+    return R.similar_pairs(x, y, ["year", "coarse_type"], 0.55).select("a", "b", F.when(F.col("score") >= 0.85, "accept").otherwise("review").alias("band"))
 
 
 @query(f"WITH {REC} SELECT x.uri AS a, y.uri AS b FROM gr x JOIN gr y ON x.year = y.year AND x.coarse_type = y.coarse_type AND x.uri % 2 = 0 AND y.uri % 2 = 1 WHERE {SIM} >= 0.55 AND {SIM} < 0.85")
