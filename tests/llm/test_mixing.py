@@ -1,3 +1,5 @@
+import hashlib
+import math
 from collections import defaultdict
 
 import pytest
@@ -48,6 +50,68 @@ def test_targets_and_taken_words(spark):
     assert sorted((r.doc_id, r.copies) for r in got) == sorted((r.doc_id, r.copies) for r in again)
 
 
+def plain_copies(rows, most=2, seed=17):
+    """The method without Spark: expected copies by bisection, ranks, and a cut by a walk over each source."""
+    sizes, out = defaultdict(int), []
+    size = lambda t: len((t or "").split())
+    for _, s, t, _ in rows:
+        sizes[s] += size(t)
+    for s, target in by_hand(sizes).items():
+        docs = [(i, size(t)) for i, x, t, _ in rows if x == s and size(t)]
+        low, high = 0.0, float(most)
+        for _ in range(200):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(min(most, c * (math.floor(math.log2(n + 1)) + 1)) * n for _, n in docs) < target else (low, c)
+        drawn, taken, need = [], {}, target
+        for i, n in docs:
+            e = min(most, high * (math.floor(math.log2(n + 1)) + 1))
+            e = round(e) if abs(e - round(e)) < 1e-9 else e
+            whole, p = math.floor(e), e - math.floor(e)
+            need -= whole * n
+            u = (int(hashlib.md5(f"{seed}|{s or ''}|{i}|{n}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            taken[i] = whole
+            if p > 0:
+                drawn.append(((u / (1 - u)) / (p / (1 - p)), i, n))
+        for _, i, n in sorted(drawn):
+            if n / 2 > need:
+                break
+            taken[i], need = taken[i] + 1, need - n
+        out += taken.items()
+    return dict(out)
+
+
+def test_against_plain_python(spark):
+    rows = rows_of(700)
+    got = {r.doc_id: r.copies for r in mixing.pareto_mix(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = plain_copies(rows)
+    assert {i: c for i, c in got.items() if c} == {i: c for i, c in want.items() if c}
+    assert len(set(want.values())) >= 2
+
+
+def test_inclusion_follows_each_documents_probability(spark):
+    """60 sources of the same sizes stand for 60 draws: the shares drawn of each class of size against its p."""
+    import pyspark.sql.functions as F
+
+    sizes = [1, 3, 7, 15, 31, 63] * 30
+    rows = [(1000 * s + i, f"s{s:02d}", " ".join(["w"] * n), "x") for s in range(60) for i, n in enumerate(sizes)]
+    got = mixing.pareto_mix(spark.createDataFrame(rows, SCHEMA), weights=(1,), share=0.5).groupBy(F.col("size")).agg(F.avg("copies").alias("rate")).collect()
+    rate = {r["size"]: r.rate for r in got}
+    c = 0.5 * sum(sizes) / sum(n * (math.floor(math.log2(n + 1)) + 1) for n in sizes)
+    assert len(rate) == 6
+    for n, seen in rate.items():
+        assert seen == pytest.approx(c * (math.floor(math.log2(n + 1)) + 1), abs=0.03)
+
+
+def test_clashing_columns(spark):
+    import pyspark.sql.functions as F
+
+    rows = spark.createDataFrame(rows_of(200), SCHEMA)
+    clash = rows.withColumns({c: F.lit(c) for c in ("p", "whole", "cut", "level", "need", "rank", "u", "e", "s", "bin")})
+    plain = {r.doc_id: r.copies for r in mixing.pareto_mix(rows).collect()}
+    got = mixing.pareto_mix(clash).collect()
+    assert {r.doc_id: r.copies for r in got} == plain and all(r.p == "p" and r.cut == "cut" for r in got)
+
+
 def test_odd_rows(spark):
     rows = [(1, "a", None, "x"), (1, "a", None, "x"), (None, None, "one two", "x"), (2, "b", "", "x"), (3, "b", "long " * 30_000, "x")]
     got = mixing.pareto_mix(spark.createDataFrame(rows, SCHEMA)).collect()
