@@ -79,6 +79,15 @@ IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 PHONE = r"\+[0-9]{1,3}[ \-]?[0-9]{2,5}[ \-]?[0-9]{3,}(?:[ \-]?[0-9]+)*"
 ISO_DATE = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b"
 PERCENT = r"[0-9]+(?:[.,][0-9]+)? ?%"
+#: Names of months in English and German, units of large numbers, standards.
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+MONATE = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
+UNITS = "million|billion|Mio\\.?|Mrd\\.?|bn|Tsd\\.?"
+GERMAN_DATE = rf"[0-9]{{1,2}}\.(?: ?(?:{MONATE}) |[0-9]{{1,2}}\.)[0-9]{{4}}"
+ENGLISH_DATE = rf"(?:(?:{MONTHS}) [0-9]{{1,2}},? [0-9]{{4}}|[0-9]{{1,2}} (?:{MONTHS}) [0-9]{{4}})"
+QUARTER = r"\bQ[1-4][ /\-]?[0-9]{4}\b"
+AMOUNT = rf"[0-9]+(?:[.,][0-9]+)* ?(?:(?:{UNITS}) ?)?(?:€|EUR|USD|Euro|Dollar)"
+STANDARD = r"\b(?:ISO(?:/IEC)? ?[0-9]{4,5}|SOC ?[12]|PCI DSS|GDPR|DSGVO|HIPAA|NIS2)\b"
 MONEY = r"(?:€|\$|EUR|USD) ?[0-9]+(?:[.,][0-9]+)*"
 
 

@@ -115,12 +115,16 @@ def sentence_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", r"[.!?]+\s+|\n+"), lambda s: F.trim(s) != "")).cast("long").alias("sentences"))
 
 
-FORMATS = {"date": T.ISO_DATE, "percent": T.PERCENT, "money": T.MONEY}
+FORMATS = {"date": T.ISO_DATE, "german_date": T.GERMAN_DATE, "english_date": T.ENGLISH_DATE, "quarter": T.QUARTER, "percent": T.PERCENT, "money": T.MONEY, "amount": T.AMOUNT, "standard": T.STANDARD}
 
 
-@query("SELECT doc_id, " + ", ".join(f"regexp_extract_all(text, '{p}') AS {k}" for k, p in FORMATS.items()) + " FROM documents")
+@query("WITH d AS (SELECT doc_id, text || ' am ' || (doc_id % 28 + 1) || '. März 2021 und ' || (doc_id % 28 + 1) || '.05.2022, March ' || (doc_id % 28 + 1) || ', 2020, Q' || (doc_id % 4 + 1) || ' 2019, ' || doc_id || ',5 Mio. EUR, ISO ' || (doc_id % 3 + 9000) || ', GDPR.' AS text FROM documents) SELECT doc_id, " + ", ".join(f"regexp_extract_all(text, '{p}') AS {k}" for k, p in FORMATS.items()) + " FROM d")
 def format_ner(spark, d):
-    return table(spark, d, "documents").select("doc_id", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(k) for k, p in FORMATS.items()])
+    """Dates, quarters, shares, sums and standards in every text, to which a sentence with some of each is added."""
+    day, n = (F.col("doc_id") % 28 + 1).cast("string"), lambda x: x.cast("string")
+    more = F.concat(F.lit(" am "), day, F.lit(". März 2021 und "), day, F.lit(".05.2022, March "), day, F.lit(", 2020, Q"), n(F.col("doc_id") % 4 + 1), F.lit(" 2019, "), n(F.col("doc_id")), F.lit(",5 Mio. EUR, ISO "), n(F.col("doc_id") % 3 + 9000), F.lit(", GDPR."))
+    text = table(spark, d, "documents").select("doc_id", F.concat("text", more).alias("text"))
+    return text.select("doc_id", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(k) for k, p in FORMATS.items()])
 
 
 PII = {"email": T.EMAIL, "iban": T.IBAN, "phone": T.PHONE}
@@ -196,14 +200,17 @@ def timeline_key(spark, d):
     return table(spark, d, "events").select("event_id", D.timeline_key(said).alias("key"))
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN date_trunc('minute', ts) + INTERVAL 1 MINUTE
+NEXT_SQL = """CASE event_id % 5 WHEN 0 THEN date_trunc('minute', ts) + INTERVAL 1 MINUTE
  WHEN 1 THEN make_timestamp((epoch_us(date_trunc('minute', ts)) // 900000000 + 1) * 900000000)
  WHEN 2 THEN CASE WHEN date_trunc('hour', ts) + INTERVAL 30 MINUTE > ts THEN date_trunc('hour', ts) + INTERVAL 30 MINUTE ELSE date_trunc('hour', ts) + INTERVAL 90 MINUTE END
  WHEN 3 THEN CASE WHEN date_trunc('day', ts) + INTERVAL 6 HOUR > ts THEN date_trunc('day', ts) + INTERVAL 6 HOUR ELSE date_trunc('day', ts) + INTERVAL 30 HOUR END
- ELSE ts + INTERVAL 1 DAY END AS next_run FROM events""")
+ ELSE ts + INTERVAL 1 DAY END"""
+CRON = "CASE event_id % 5 WHEN 0 THEN '* * * * *' WHEN 1 THEN '*/15 * * * *' WHEN 2 THEN '30 * * * *' WHEN 3 THEN '0 6 * * *' ELSE 'what' END"
+
+
+@query(f"SELECT event_id, {NEXT_SQL} AS next_run FROM events")
 def next_run(spark, d):
-    cron = F.expr("CASE event_id % 5 WHEN 0 THEN '* * * * *' WHEN 1 THEN '*/15 * * * *' WHEN 2 THEN '30 * * * *' WHEN 3 THEN '0 6 * * *' ELSE 'what' END")
-    return table(spark, d, "events").select("event_id", D.next_run(cron, F.col("ts")).alias("next_run"))
+    return table(spark, d, "events").select("event_id", D.next_run(F.expr(CRON), F.col("ts")).alias("next_run"))
 
 
 @query("SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY GROUP BY 1")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import access, graph
+from ..operators import access, graph, relations
 from .model import EDGES, GRAPH, NODES, edges, nodes, table
 from .registry import query
 
@@ -108,9 +107,9 @@ def optional_expand(spark, d):
     return nodes(spark, d).filter("type = 'part'").join(out, "uri", "left").groupBy("uri").agg(F.count("dst_uri").alias("n_targets"))
 
 
-@query(f"{GRAPH}, u AS (SELECT src_uri AS uri, dst_uri AS other FROM edges UNION ALL SELECT dst_uri, src_uri FROM edges) SELECT uri, count(DISTINCT other) AS degree, count(DISTINCT other) FILTER (WHERE uri IN (SELECT src_uri FROM edges)) >= 0 AS known FROM u GROUP BY 1")
+@query(f"{GRAPH}, u AS (SELECT src_uri AS uri, dst_uri AS other, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst_uri, src_uri, 0, 1 FROM edges) SELECT uri, count(DISTINCT other) AS degree, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM u GROUP BY 1")
 def degree_centrality(spark, d):
-    return graph.degrees(edges(spark, d)).select("uri", "degree", F.lit(True).alias("known"))
+    return graph.degrees(edges(spark, d)).select("uri", "degree", "out_degree", "in_degree")
 
 
 @query(f"{SEEN} SELECT (SELECT count(*) FROM vn) AS nodes, (SELECT count(*) FROM ve) AS edges")
@@ -232,9 +231,7 @@ RANKED = f"{GRAPH}, f AS (SELECT *, row_number() OVER (PARTITION BY src_uri ORDE
 
 
 def ranked_facts(e):
-    """Competing facts of each subject, the one with most authority first: known and late source dates, late assertion, confidence."""
-    w = Window.partitionBy("src_uri").orderBy(F.desc_nulls_last("source_doc_modified_at"), F.desc_nulls_last("asserted_at"), F.desc("confidence"), "dst_uri")
-    return e.filter("rel_type = 'SUPPLIED_BY'").withColumn("place", F.row_number().over(w).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy("src_uri")))
+    return relations.competing(e, "SUPPLIED_BY")
 
 
 @query(f"{RANKED} SELECT src_uri, dst_uri, place, CASE WHEN place = 1 THEN 'current' ELSE 'superseded' END AS authority FROM f WHERE n > 1")
@@ -248,11 +245,15 @@ def current_vs_superseded(spark, d):
     return ranked_facts(edges(spark, d)).filter("place = 1 AND n > 1").select("src_uri", F.col("dst_uri").alias("current_value"), (F.col("n") - 1).alias("superseded"))
 
 
-@query(f"{RANKED} SELECT src_uri AS key_uri, 'SUPPLIED_BY' AS relation, list(dst_uri ORDER BY place) AS tails, 'open' AS status FROM f WHERE n > 1 GROUP BY src_uri")
+@query(f"{RANKED}, found AS (SELECT src_uri AS key_uri, list(dst_uri ORDER BY place) AS tails FROM f WHERE n > 1 GROUP BY src_uri), stored AS (SELECT uri AS key_uri, CASE key % 4 WHEN 1 THEN 'dismissed' WHEN 2 THEN 'resolved' ELSE 'open' END AS status, ['old'] AS tails FROM nodes WHERE type IN ('part', 'supplier') AND key % 4 > 0) SELECT coalesce(f.key_uri, s.key_uri) AS key_uri, 'SUPPLIED_BY' AS relation, coalesce(f.tails, s.tails) AS tails, CASE WHEN s.status = 'dismissed' THEN 'dismissed' WHEN f.key_uri IS NULL THEN 'resolved' ELSE 'open' END AS status FROM found f FULL JOIN stored s ON s.key_uri = f.key_uri")
 def fact_conflicts(spark, d):
+    """The register after a run: conflicts of this graph, upserted into one that had some of them, and others, in every status."""
     f = ranked_facts(edges(spark, d)).filter("n > 1").groupBy(F.col("src_uri").alias("key_uri"))
     tails = F.transform(F.array_sort(F.collect_list(F.struct("place", "dst_uri"))), lambda x: x["dst_uri"])
-    return f.agg(tails.alias("tails")).select("key_uri", F.lit("SUPPLIED_BY").alias("relation"), "tails", F.lit("open").alias("status"))
+    found = f.agg(tails.alias("tails")).withColumn("relation", F.lit("SUPPLIED_BY"))
+    status = F.when(F.col("key") % 4 == 1, "dismissed").when(F.col("key") % 4 == 2, "resolved").otherwise("open")
+    stored = nodes(spark, d).filter("type IN ('part', 'supplier') AND key % 4 > 0").select(F.col("uri").alias("key_uri"), F.lit("SUPPLIED_BY").alias("relation"), F.array(F.lit("old")).alias("tails"), status.alias("status"))
+    return relations.registered(found, stored)
 
 
 @query(f"{RANKED} SELECT src_uri, dst_uri FROM f WHERE place > 1")

@@ -22,14 +22,20 @@ def node_auth(spark, d):
     return nodes(spark, d).filter((F.col("key") % 5 == 0) | in_jobs(["job2"])).select("uri")
 
 
-@query("SELECT p_partkey, coalesce(CASE WHEN p_size > 40 THEN 'SECRET' END, CASE WHEN p_brand LIKE '%1%' THEN 'INTERNAL' END, 'PUBLIC') AS level FROM part")
+@query("WITH by_id AS (SELECT p_partkey AS id, 'SECRET' AS level FROM part WHERE p_size > 40), by_name AS (SELECT p_name AS name, 'INTERNAL' AS level FROM part GROUP BY 1 HAVING count(*) > 1) SELECT p_partkey, coalesce(i.level, n.level, 'PUBLIC') AS level FROM part LEFT JOIN by_id i ON id = p_partkey LEFT JOIN by_name n ON name = p_name")
 def classification_lookup(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.coalesce(F.when(F.col("p_size") > 40, "SECRET"), F.when(F.contains("p_brand", F.lit("1")), "INTERNAL"), F.lit("PUBLIC")).alias("level"))
+    """By id, then by name, otherwise PUBLIC."""
+    p = table(spark, d, "part")
+    by_id = p.filter("p_size > 40").select("p_partkey", F.lit("SECRET").alias("own"))
+    by_name = p.groupBy("p_name").agg(F.count("*").alias("n")).filter("n > 1").select("p_name", F.lit("INTERNAL").alias("named"))
+    return p.join(by_id, "p_partkey", "left").join(by_name, "p_name", "left").select("p_partkey", F.coalesce("own", "named", F.lit("PUBLIC")).alias("level"))
 
 
-@query(f"{GRAPH} SELECT source_job AS job, count(*) AS edges FROM edges GROUP BY 1")
+@query(f"{GRAPH}, n AS (SELECT source_job AS job, count(*) AS nodes FROM nodes GROUP BY 1), e AS (SELECT source_job AS job, count(*) AS edges FROM edges GROUP BY 1) SELECT job, coalesce(nodes, 0)::BIGINT AS nodes, coalesce(edges, 0)::BIGINT AS edges FROM n FULL JOIN e USING (job)")
 def live_counts(spark, d):
-    return edges(spark, d).groupBy(F.col("source_job").alias("job")).agg(F.count("*").alias("edges"))
+    one = lambda df, a, b: df.select(F.col("source_job").alias("job"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    both = one(nodes(spark, d), 1, 0).unionByName(one(edges(spark, d), 0, 1))
+    return both.groupBy("job").agg(F.sum("a").alias("nodes"), F.sum("b").alias("edges"))
 
 
 #: Particles of names.

@@ -168,11 +168,6 @@ def mention_dedup(spark, d):
     return table(spark, d, "embeddings").select(F.col("label").alias("cluster"), m.alias("m")).dropDuplicates().groupBy("cluster").agg(F.array_sort(F.collect_list("m")).alias("mentions"))
 
 
-@query("SELECT count(*) FILTER (WHERE n_chars < 200) AS too_short, count(*) FILTER (WHERE lang IS NULL) AS no_lang, count(*) FILTER (WHERE contains(text, '@')) AS with_mail, count(*) AS total FROM documents")
-def extraction_report(spark, d):
-    return table(spark, d, "documents").agg(F.count_if(F.col("n_chars") < 200).alias("too_short"), F.count_if(F.col("lang").isNull()).alias("no_lang"), F.count_if(F.contains("text", F.lit("@"))).alias("with_mail"), F.count("*").alias("total"))
-
-
 @query("SELECT user_id, least(1, 0.5 + 0.4 * least(count(*) / 10.0, 1)) AS confidence FROM (SELECT user_id FROM events) GROUP BY 1".replace("0.5", "0.5::DOUBLE").replace("0.4", "0.4::DOUBLE").replace("10.0", "10.0::DOUBLE"))
 def conflict_confidence(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.least(F.lit(1.0), 0.5 + 0.4 * F.least(F.count("*") / 10.0, F.lit(1.0))).alias("confidence"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from ..functions import dates as D
+from ..operators import memory, relations, retrieval
 from ..operators import resolution as R
-from ..operators import retrieval
-from .function_queries import LETTERS, STOP, VECTORS
+from .function_queries import CRON, LETTERS, NEXT_SQL, STOP, SYNONYMS, VECTORS
 from .model import CHUNKS, GRAPH, NODES, chunks, edges, nodes, table
 from .registry import query
 
@@ -339,9 +340,14 @@ def memory_evict(spark, d):
     return _decayed(spark, d).filter("heat < 50 AND user_id % 10 <> 0").select("user_id")
 
 
-@query(f"WITH {HEATED} SELECT count(*) AS kept, round(sum(round(heat, 4)), 3) AS heat FROM dec WHERE NOT (heat < 50 AND user_id % 10 <> 0)")
+CYCLE = """m AS (SELECT user_id, event_type AS kind, sum(pow(0.5::DOUBLE, date_diff('day', ts::DATE, DATE '2024-02-01'))) AS h0, max(ts) AS last FROM events GROUP BY 1, 2), de AS (SELECT *, CASE WHEN last <= TIMESTAMP '2024-02-01' - INTERVAL 1 HOUR THEN h0 * 0.95::DOUBLE ELSE h0 END AS heat FROM m), du AS (SELECT *, row_number() OVER (PARTITION BY user_id, last::DATE ORDER BY heat DESC, kind) AS place FROM de), st AS (SELECT *, CASE WHEN place > 1 THEN 'archived' WHEN heat >= 4 THEN 'promoted' WHEN heat < 0.5 AND user_id % 10 <> 0 THEN 'evicted' ELSE 'kept' END AS state FROM du)"""
+
+
+@query(f"WITH {CYCLE} SELECT user_id, kind, state, round(heat, 6) AS heat FROM st")
 def memory_cycle(spark, d):
-    return _decayed(spark, d).filter("NOT (heat < 50 AND user_id % 10 <> 0)").agg(F.count("*").alias("kept"), F.round(F.sum(F.round("heat", 4)), 3).alias("heat"))
+    """Dossiers (user and kind of event) through decay, dedup (of a user's that were last used on one day the hottest stays), promotion and eviction of what is cold and not pinned."""
+    m = table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("kind")).agg(F.sum(F.pow(F.lit(0.5), F.datediff(F.lit("2024-02-01").cast("date"), F.to_date("ts")))).alias("h0"), F.max("ts").alias("last"))
+    return memory.cycle(m, "user_id", F.col("user_id") % 10 == 0, F.lit("2024-02-01").cast("timestamp_ntz")).select("user_id", "kind", "state", F.round("heat", 6).alias("heat"))
 
 
 @query("SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS access_count, count(*) FILTER (WHERE event_type = 'view') + 1.0::DOUBLE AS heat FROM events GROUP BY 1")
@@ -356,24 +362,52 @@ def memory_health(spark, d):
     return _decayed(spark, d).agg(F.count("*").alias("total"), F.count_if(h >= 80).alias("hot"), F.count_if((h >= 50) & (h < 80)).alias("warm"), F.count_if(h < 50).alias("cold"))
 
 
-@query("WITH t AS (SELECT l_partkey AS h, l_suppkey AS t, l_returnflag AS r FROM lineitem), e AS (SELECT p_partkey AS h FROM part) SELECT h, t, CASE r WHEN 'R' THEN 'RETURNED_TO' WHEN 'A' THEN 'SUPPLIED_BY' END AS rel, count(*) AS n, CASE WHEN r = 'R' THEN 0.8 ELSE 0.9 END::DOUBLE AS confidence FROM t SEMI JOIN e USING (h) WHERE h <> t AND r IN ('R', 'A') GROUP BY h, t, r")
+TRIPLES = """tr AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 's' || l_suppkey ELSE 'p' || l_partkey END AS head, CASE l_returnflag WHEN 'R' THEN 'was_supplies' WHEN 'A' THEN 'SUPPLIED_BY' ELSE CASE WHEN l_linenumber = 5 THEN 'likes' ELSE 'bought' END END AS rel, CASE WHEN l_linenumber = 7 THEN 'p' || l_partkey WHEN l_linenumber % 2 = 0 THEN 'p' || l_partkey ELSE 's' || l_suppkey END AS tail, 1 - l_discount AS confidence FROM lineitem),
+en AS (SELECT 'p' || p_partkey AS name, 'part' AS type FROM part WHERE p_size > 5 UNION ALL SELECT 's' || s_suppkey, 'supplier' FROM supplier),
+jd AS (SELECT tr.*, x.type AS xt, y.type AS yt, CASE WHEN rel IN ('was_supplies', 'SUPPLIED_BY') THEN 'SUPPLIED_BY' WHEN rel = 'bought' THEN 'ORDERED' ELSE 'LIKES' END AS canon FROM tr LEFT JOIN en x ON x.name = head LEFT JOIN en y ON y.name = tail),
+rs AS (SELECT *, CASE WHEN xt IS NULL OR yt IS NULL THEN 'unknown endpoint' WHEN head = tail THEN 'self loop' WHEN canon = 'LIKES' THEN 'unknown relation' WHEN canon = 'SUPPLIED_BY' AND xt = 'part' AND yt = 'supplier' THEN NULL WHEN canon = 'SUPPLIED_BY' AND xt = 'supplier' AND yt = 'part' THEN 'flipped' ELSE 'types' END AS reason FROM jd)"""
+
+
+def _triples(spark, d):
+    line = table(spark, d, "lineitem")
+    part, supplier = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    even = F.col("l_linenumber") % 2 == 0
+    rel = F.when(F.col("l_returnflag") == "R", "was_supplies").when(F.col("l_returnflag") == "A", "SUPPLIED_BY").when(F.col("l_linenumber") == 5, "likes").otherwise("bought")
+    triples = line.select(F.when(even, supplier).otherwise(part).alias("head"), rel.alias("rel"), F.when((F.col("l_linenumber") == 7) | even, part).otherwise(supplier).alias("tail"), (1 - F.col("l_discount")).alias("confidence"))
+    known = table(spark, d, "part").filter("p_size > 5").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.lit("part").alias("type"))
+    known = known.unionByName(table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("name"), F.lit("supplier").alias("type")))
+    synonyms = spark.createDataFrame(list(SYNONYMS.items()), "label string, canon string")
+    allowed = spark.createDataFrame([("SUPPLIED_BY", "part", "supplier"), ("ORDERED", "customer", "part")], "canon string, head_type string, tail_type string")
+    return relations.judged(triples, known, synonyms, allowed)
+
+
+@query(f"WITH {TRIPLES} SELECT CASE WHEN reason = 'flipped' THEN tail ELSE head END AS head, canon AS rel, CASE WHEN reason = 'flipped' THEN head ELSE tail END AS tail, max(confidence) AS confidence, count(*) AS n FROM rs WHERE reason IS NULL OR reason = 'flipped' GROUP BY 1, 2, 3")
 def relation_validate(spark, d):
-    """Known heads, no self loops, canonical names; a renamed relation is a little less sure."""
-    t = table(spark, d, "lineitem").select(F.col("l_partkey").alias("h"), F.col("l_suppkey").alias("t"), F.col("l_returnflag").alias("r"))
-    t = t.join(table(spark, d, "part").select(F.col("p_partkey").alias("h")), "h", "left_semi").filter("h <> t AND r IN ('R', 'A')")
-    return t.groupBy("h", "t", "r").agg(F.count("*").alias("n")).select("h", "t", F.when(F.col("r") == "R", "RETURNED_TO").otherwise("SUPPLIED_BY").alias("rel"), "n", F.when(F.col("r") == "R", 0.8).otherwise(0.9).alias("confidence"))
+    """Known ends, no loops, canonical names, turned round where only that fits the types; each once."""
+    return relations.validated(_triples(spark, d))
+
+
+@query(f"WITH {TRIPLES} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM rs GROUP BY 1")
+def extraction_report(spark, d):
+    return _triples(spark, d).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_name AS head, s AS tail, max(c) + 0.0 AS confidence FROM (SELECT l_partkey, l_suppkey % 7 AS s, l_discount AS c FROM lineitem) JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
+@query(r"WITH r AS (SELECT p_name || '#' || (l_partkey % 3) AS head, CASE WHEN l_linenumber % 3 = 0 THEN 'RELATED_TO' ELSE 'SUPPLIED_BY' END AS rel, CASE WHEN l_linenumber = 7 THEN upper(p_name) ELSE l_shipmode0 || ' ' || (l_suppkey % 5) END AS tail, 1 - l_discount AS confidence FROM (SELECT *, CASE l_suppkey % 3 WHEN 0 THEN 'rail' WHEN 1 THEN 'ship' ELSE 'truck' END AS l_shipmode0 FROM lineitem) JOIN part ON p_partkey = l_partkey), x AS (SELECT *, trim(regexp_replace(regexp_replace(lower(head), '[0-9#]+', ' ', 'g'), '\s+', ' ', 'g')) AS x, trim(regexp_replace(regexp_replace(lower(tail), '[0-9#]+', ' ', 'g'), '\s+', ' ', 'g')) AS y FROM r), b AS (SELECT * FROM x WHERE x <> y QUALIFY row_number() OVER (PARTITION BY x, rel, y ORDER BY confidence DESC, head, tail) = 1) SELECT head, rel, tail, confidence FROM b WHERE rel <> 'RELATED_TO' OR NOT EXISTS (SELECT 1 FROM b o WHERE o.rel <> 'RELATED_TO' AND o.x = b.x AND o.y = b.y)")
 def relation_prune(spark, d):
+    """Variants of names with numbers, self links in capitals, and general links beside special ones."""
     x = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return x.groupBy(F.col("p_name").alias("head"), (F.col("l_suppkey") % 7).alias("tail")).agg((F.max("l_discount") + 0.0).alias("confidence"))
+    way = F.when(F.col("l_suppkey") % 3 == 0, "rail").when(F.col("l_suppkey") % 3 == 1, "ship").otherwise("truck")
+    tail = F.when(F.col("l_linenumber") == 7, F.upper("p_name")).otherwise(F.concat_ws(" ", way, (F.col("l_suppkey") % 5).cast("string")))
+    rel = F.when(F.col("l_linenumber") % 3 == 0, "RELATED_TO").otherwise("SUPPLIED_BY")
+    return relations.pruned(x.select(F.concat("p_name", F.lit("#"), (F.col("l_partkey") % 3).cast("string")).alias("head"), rel.alias("rel"), tail.alias("tail"), (1 - F.col("l_discount")).alias("confidence")))
 
 
-@query("SELECT p_partkey, coalesce(CASE p_size % 5 WHEN 0 THEN 'drop' WHEN 1 THEN 'retype' END, 'keep') AS decision FROM part")
+@query("WITH said AS (SELECT p_partkey, CASE WHEN max(l_quantity) < 5 THEN 'drop' WHEN min(l_quantity) > 10 THEN 'retype' END AS said FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1) SELECT p_partkey, coalesce(said, 'keep') AS decision FROM part LEFT JOIN said USING (p_partkey)")
 def entity_verify(spark, d):
-    said = spark.createDataFrame([(0, "drop"), (1, "retype")], "k int, said string")
-    return table(spark, d, "part").withColumn("k", F.col("p_size") % 5).join(F.broadcast(said), "k", "left").select("p_partkey", F.coalesce("said", F.lit("keep")).alias("decision"))
+    """Decisions of a verifier (here from the quantities) applied so that what it says nothing of is kept."""
+    q = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_quantity").alias("most"), F.min("l_quantity").alias("least"))
+    said = q.select("p_partkey", F.when(F.col("most") < 5, "drop").when(F.col("least") > 10, "retype").alias("said"))
+    return table(spark, d, "part").join(said, "p_partkey", "left").select("p_partkey", F.coalesce("said", F.lit("keep")).alias("decision"))
 
 
 @query(f"WITH {NODES} SELECT l_orderkey, l_linenumber, uri, uri IS NULL AS pruned FROM lineitem LEFT JOIN (SELECT key, uri FROM nodes WHERE type = 'part' AND key % 3 > 0) ON key = l_partkey")
@@ -399,10 +433,11 @@ def due_triggers(spark, d):
     return table(spark, d, "orders").filter("o_orderstatus <> 'F' AND (o_orderkey % 10 = 0 OR o_orderdate <= timestamp_ntz'1995-01-01')").select("o_orderkey")
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'active' END AS status, CASE WHEN event_type <> 'error' AND value > 50 THEN 1 ELSE 0 END::INTEGER AS runs, ts + INTERVAL 1 DAY AS next_run FROM events")
+@query(f"SELECT event_id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'active' END AS status, CASE WHEN event_type <> 'error' AND value > 50 THEN 1 ELSE 0 END::INTEGER AS runs, {NEXT_SQL} AS next_run FROM events")
 def trigger_advance(spark, d):
+    """After a run: an error is marked, a run that did work is counted, and the schedule says when the next is."""
     bad = F.col("event_type") == "error"
-    return table(spark, d, "events").select("event_id", F.when(bad, "error").otherwise("active").alias("status"), F.when(~bad & (F.col("value") > 50), 1).otherwise(0).alias("runs"), F.expr("ts + INTERVAL 1 DAY").alias("next_run"))
+    return table(spark, d, "events").select("event_id", F.when(bad, "error").otherwise("active").alias("status"), F.when(~bad & (F.col("value") > 50), 1).otherwise(0).alias("runs"), D.next_run(F.expr(CRON), F.col("ts")).alias("next_run"))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'purchase' AND json_extract(props, '$.k')::INTEGER > 50 THEN 'completed_degraded' ELSE event_type END AS status FROM events")
