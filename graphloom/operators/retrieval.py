@@ -17,21 +17,14 @@ def dense(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id"
     return vectors.select(F.col(id_col).alias("id"), score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def term_counts(chunks: DataFrame, terms: list[str], id_col: str) -> DataFrame:
-    """id and how often each term of a list occurs among the tokens of content."""
-    found = T.tokens(F.col("content"))
-    count = lambda term: F.size(F.filter(found, lambda x: x == term)).cast("long")
-    return chunks.select(F.col(id_col).alias("id"), *[count(t).alias(f"t{i}") for i, t in enumerate(terms)])
-
-
-def lexical(chunks: DataFrame, terms: list[str], k: int, id_col: str = "chunk_id") -> DataFrame:
-    """The k best chunks: those with all terms before those with some, which count half; score is the sum of log(1 + count)."""
-    c = term_counts(chunks, terms, id_col)
+def lexical(index: DataFrame, terms: list[str], k: int, id_col: str = "chunk_id") -> DataFrame:
+    """The k best rows of an inverted index (term, n, id columns): those with all terms before those with some, which count half; score is the sum of log(1 + count)."""
+    found = index.filter(F.col("term").isin(terms)).groupBy(F.col(id_col).alias("id"))
+    c = found.agg(*[F.coalesce(F.sum(F.when(F.col("term") == t, F.col("n"))), F.lit(0)).alias(f"t{i}") for i, t in enumerate(terms)])
     cols = [F.col(f"t{i}") for i in range(len(terms))]
     every = F.forall(F.array(*cols), lambda n: n > 0)
     total = sum((F.log1p(x.cast("double")) for x in cols[1:]), F.log1p(cols[0].cast("double")))
-    scored = c.filter(F.exists(F.array(*cols), lambda n: n > 0)).select("id", F.round(total * F.when(every, 1.0).otherwise(0.5), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "id").limit(k)
+    return c.select("id", F.round(total * F.when(every, 1.0).otherwise(0.5), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def fused(channels: list[DataFrame], k: int, base: int = 60) -> DataFrame:

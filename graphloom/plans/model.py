@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import slug
+from ..functions.text import slug, tokens
 from ..operators.lineage import shared_dir
 
 OWNER = "0123456789ab"
@@ -25,30 +26,44 @@ def node_uri(kind: str, name: Column, key: Column) -> Column:
 KINDS = (("region", "r_regionkey", "r_name", "location"), ("nation", "n_nationkey", "n_name", "location"), ("customer", "c_custkey", "c_name", "organization"), ("supplier", "s_suppkey", "s_name", "organization"), ("part", "p_partkey", "p_name", "technology"))
 
 
-#: Graphs that this process has stored: (application, folder of tables, their state) -> folder.
+#: What this process has stored: (application, kind, folder of tables, their state) -> folder.
 _stored: dict[tuple, str] = {}
 
 
-def _state(spark: SparkSession, sf_dir: str) -> tuple:
-    """Names, lengths and times of the files that the graph is made from."""
+def _state(spark: SparkSession, sf_dir: str, tables: tuple) -> tuple:
+    """Names, lengths and times of the files of some tables."""
     out, jvm, conf = [], spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for name in (*(k[0] for k in KINDS), "orders", "lineitem"):
+    for name in tables:
         at = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
         out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in at.getFileSystem(conf).listStatus(at)]
     return tuple(out)
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of the stored graph: built from the tables on first use, as a graph store is loaded once and read often."""
-    key = spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir)
+def _store(spark: SparkSession, sf_dir: str, kind: str, tables: tuple, **parts: Callable[[SparkSession, str], DataFrame]) -> str:
+    """The folder of tables made on first use, as a store is loaded once and read often; made anew where the tables have changed."""
+    key = spark.sparkContext.applicationId, kind, sf_dir, _state(spark, sf_dir, tables)
     if key not in _stored:
-        at = f"{shared_dir(spark)}/graphloom/graph-{uuid.uuid4().hex}"
-        _made_nodes(spark, sf_dir).write.parquet(f"{at}/nodes")
-        _made_edges(spark, sf_dir).write.parquet(f"{at}/edges")
+        at = f"{shared_dir(spark)}/graphloom/{kind}-{uuid.uuid4().hex}"
+        for name, made in parts.items():
+            made(spark, sf_dir).write.parquet(f"{at}/{name}")
         _stored[key] = at
     return _stored[key]
 
 
+def _graph(spark: SparkSession, sf_dir: str) -> str:
+    return _store(spark, sf_dir, "graph", (*(k[0] for k in KINDS), "orders", "lineitem"), nodes=_made_nodes, edges=_made_edges)
+
+
+def term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """term, chunk_id, doc_id, n: the stored inverted index of chunks. It is sorted by term, so a search reads the row groups of its terms."""
+    return spark.read.parquet(_store(spark, sf_dir, "terms", ("documents",), terms=_made_terms) + "/terms")
+
+
+def _made_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = chunks(spark, sf_dir).select("chunk_id", "doc_id", F.explode(tokens(F.col("content"))).alias("term"))
+    return t.groupBy("term", "chunk_id", "doc_id").agg(F.count("*").alias("n")).repartitionByRange("term", "chunk_id").sortWithinPartitions("term")
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """uri, name, type, coarse_type, key, min_rank, source_job, source_jobs, from the stored graph."""
     return spark.read.parquet(f"{_graph(spark, sf_dir)}/nodes")

@@ -11,7 +11,7 @@ from ..functions import dates as D
 from ..operators import memory, relations, retrieval
 from ..operators import resolution as R
 from .function_queries import CRON, LETTERS, NEXT_SQL, STOP, SYNONYMS, VECTORS
-from .model import CHUNKS, GRAPH, NODES, chunks, edges, nodes, table
+from .model import CHUNKS, GRAPH, NODES, chunks, edges, nodes, table, term_index
 from .registry import query
 
 #: A query vector that both engines can spell.
@@ -47,14 +47,14 @@ def dense_search_threshold(spark, d):
 
 @query(f"WITH {CHUNKS}, {_lexical_sql('chunks', 'chunk_id', 40)} SELECT id, score FROM lexical")
 def lexical_search(spark, d):
-    return retrieval.lexical(chunks(spark, d), TERMS, 40)
+    return retrieval.lexical(term_index(spark, d), TERMS, 40)
 
 
 HYBRID = f"WITH {DENSE}, {DOC_ROWS}, {_lexical_sql('dr', 'doc_id', 40)}, rr AS (SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, id)) AS s FROM dense UNION ALL SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, id)) FROM lexical), fused AS (SELECT id, round(sum(s), 6) AS score FROM rr GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)"
 
 
 def _hybrid(spark, d):
-    return retrieval.fused([retrieval.dense(table(spark, d, "embeddings"), PROBE, 40), retrieval.lexical(_docs(spark, d), TERMS, 40, "doc_id")], 20)
+    return retrieval.fused([retrieval.dense(table(spark, d, "embeddings"), PROBE, 40), retrieval.lexical(term_index(spark, d), TERMS, 40, "doc_id")], 20)
 
 
 @query(f"{HYBRID} SELECT id, score FROM fused")
@@ -64,7 +64,7 @@ def hybrid_rrf(spark, d):
 
 @query(f"{HYBRID} SELECT id, round(sum(s), 6) AS rrf FROM rr GROUP BY 1")
 def rrf_score(spark, d):
-    return retrieval.fused([retrieval.dense(table(spark, d, "embeddings"), PROBE, 40), retrieval.lexical(_docs(spark, d), TERMS, 40, "doc_id")], 80).withColumnRenamed("score", "rrf")
+    return retrieval.fused([retrieval.dense(table(spark, d, "embeddings"), PROBE, 40), retrieval.lexical(term_index(spark, d), TERMS, 40, "doc_id")], 80).withColumnRenamed("score", "rrf")
 
 
 @query(f"{HYBRID} SELECT id, row_number() OVER (ORDER BY score DESC, id) AS place FROM dense")
@@ -128,7 +128,7 @@ def graph_context(spark, d):
 
 @query(f"WITH {CHUNKS}, {_lexical_sql('chunks', 'chunk_id', 40)}, f AS (SELECT min(id) AS chunk_id, split_part(id, ':', 1)::BIGINT AS doc_id, max(score) AS score FROM lexical GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 6) SELECT doc_id, substr(text, 1, 4000) AS text FROM f JOIN documents USING (doc_id)")
 def parent_docs(spark, d):
-    hits = retrieval.lexical(chunks(spark, d), TERMS, 40)
+    hits = retrieval.lexical(term_index(spark, d), TERMS, 40)
     best = hits.groupBy(F.split_part("id", F.lit(":"), F.lit(1)).cast("long").alias("doc_id")).agg(F.max("score").alias("score")).orderBy(F.desc("score"), "doc_id").limit(6)
     return table(spark, d, "documents").join(best, "doc_id").select("doc_id", F.substring("text", 1, 4000).alias("text"))
 
@@ -195,7 +195,7 @@ def dossier_facts(spark, d):
 def tiered_context(spark, d):
     hits = _hybrid(spark, d)
     tier = lambda df, n, kind: df.select(F.lit(n).alias("tier"), F.lit(kind).alias("kind"), F.col("id").cast("string").alias("ref"))
-    words = retrieval.lexical(_docs(spark, d), TERMS, 40, "doc_id")
+    words = retrieval.lexical(term_index(spark, d), TERMS, 40, "doc_id")
     return tier(hits.orderBy(F.desc("score"), "id").limit(1), 1, "profile").unionByName(tier(hits, 2, "document")).unionByName(tier(words, 3, "chunk"))
 
 

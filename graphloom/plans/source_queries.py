@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import html_text
 from ..operators import communities, graph, resolution, sequences
+from ..operators.lineage import shared_dir
 from ..sources import exports, files
 from ..streaming import ingest
 from .model import CHUNKS, GRAPH, NODES, chunks, edges, nodes, table
@@ -199,7 +200,7 @@ def json_salvage(spark, d):
 @query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def ingest_queue(spark, d):
     """The stream of events, upserted by user in a target of versions; the last version is the newest event of each."""
-    at = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/graphloom').rstrip('/')}/queue-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/graphloom/queue-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").select("user_id", "event_id")
     q = ingest.upsert_queue(stream, f"{at}/target", "user_id", "event_id", f"{at}/checkpoint")
