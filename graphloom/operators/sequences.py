@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,9 +50,11 @@ def without_overlaps(spans: DataFrame) -> DataFrame:
     """Of spans (doc_id, start, end, score) those that, highest score first, overlap none kept before."""
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
+        starts, ends, kept = [], [], []  # of the spans kept, in order of place; they don't overlap
         for row in pdf.sort_values(["score", "start", "end"], ascending=[False, True, True]).itertuples(index=False):
-            if all(row.end <= k.start or row.start >= k.end for k in kept):
+            at = bisect_left(starts, row.end)  # those before it start before this one ends
+            if not at or ends[at - 1] <= row.start:
+                starts.insert(at, row.start), ends.insert(at, row.end)
                 kept.append(row)
         return pd.DataFrame(kept, columns=pdf.columns)
 

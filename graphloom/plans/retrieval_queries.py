@@ -149,10 +149,13 @@ def recent_turns(spark, d):
     return table(spark, d, "conversations").withColumn("place", place).filter("place <= 8").select("conv_id", "turn", F.substring("text", 1, 2000).alias("text"))
 
 
-@query("SELECT conv_id % 20 AS session, count(*) AS turns, list(role ORDER BY conv_id, turn)[1:200] AS roles FROM conversations GROUP BY 1")
+@query("WITH s AS (SELECT conv_id // 5 AS session, count(*) AS turns FROM conversations GROUP BY 1), f AS (SELECT conv_id // 5 AS session, conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id // 5 ORDER BY conv_id, turn) <= 200) SELECT session, any_value(turns) AS turns, list(role ORDER BY conv_id, turn) AS roles FROM f JOIN s USING (session) GROUP BY 1")
 def session_timeline(spark, d):
-    said = F.array_sort(F.collect_list(F.struct("conv_id", "turn", "role")))
-    return table(spark, d, "conversations").groupBy((F.col("conv_id") % 20).alias("session")).agg(F.count("*").alias("turns"), F.slice(F.transform(said, lambda x: x["role"]), 1, 200).alias("roles"))
+    """The first 200 turns of every session of five conversations, cut before they are collected."""
+    c = table(spark, d, "conversations").select(F.expr("conv_id DIV 5").alias("session"), "conv_id", "turn", "role")
+    first = c.withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy("conv_id", "turn"))).filter("place <= 200")
+    roles = F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "role"))), lambda x: x["role"])
+    return first.groupBy("session").agg(roles.alias("roles")).join(c.groupBy("session").agg(F.count("*").alias("turns")), "session").select("session", "turns", "roles")
 
 
 @query("SELECT event_id, ts FROM events WHERE event_type = 'purchase' ORDER BY ts, event_id LIMIT 350")
@@ -491,11 +494,13 @@ def stale_job_recovery(spark, d):
     return table(spark, d, "events").select("event_id", F.when(stale, "failed").otherwise(F.col("event_type")).alias("status"))
 
 
-@query("SELECT conv_id, string_agg(substr(text, 1, 600), chr(10) ORDER BY turn) AS transcript FROM conversations WHERE role = 'user' GROUP BY 1")
+@query("SELECT conv_id, string_agg(substr(text, 1, 600), chr(10) ORDER BY turn) AS transcript FROM (SELECT * FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 120) GROUP BY 1")
 def profile_distill(spark, d):
-    """The transcript that a profile is distilled from: the user's own messages in order, 600 characters of each, at most the last 120."""
-    said = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 600).alias("t"))))), 1, 120)
-    return table(spark, d, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.array_join(F.transform(F.reverse(said), lambda x: x["t"]), "\n").alias("transcript"))
+    """The transcript that a profile is distilled from: the user's own messages in order, 600 characters of each, the last 120, cut before they are collected."""
+    last = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    said = table(spark, d, "conversations").filter("role = 'user'").withColumn("place", last).filter("place <= 120")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 600).alias("t")))), lambda x: x["t"])
+    return said.groupBy("conv_id").agg(F.array_join(texts, "\n").alias("transcript"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")

@@ -124,7 +124,7 @@ def window_split(spark, d):
 
 @query()
 def span_overlap_antijoin(spark, d):
-    spans = table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("doc_id"), (F.col("l_partkey") % 300).cast("int").alias("start"), (F.col("l_partkey") % 300 + 5 + F.col("l_linenumber")).cast("int").alias("end"), F.col("l_extendedprice").alias("score"))
+    spans = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 20).cast("int").alias("start"), (F.col("l_partkey") % 20 + 5 + F.col("l_linenumber")).cast("int").alias("end"), F.col("l_extendedprice").alias("score"))
     return sequences.without_overlaps(spans)
 
 

@@ -158,3 +158,17 @@ def test_communities(spark):
     star = spark.createDataFrame([(0, i) for i in range(1, 9)] + [(3, 3)], "a long, b long")
     assert {r.node for r in C.communities(star).collect()} == set(range(9))
     assert C.communities(df.limit(0)).collect() == []
+
+
+def test_spans_against_all_pairs(spark):
+    r = random.Random(8)
+    spans = [(i % 3, s := r.randrange(200), s + r.randrange(1, 30), r.randrange(40) / 4) for i in range(400)]
+    want = []
+    for doc in range(3):
+        kept = []
+        for d, s, e, score in sorted((x for x in set(spans) if x[0] == doc), key=lambda x: (-x[3], x[1], x[2])):
+            if all(e <= k[1] or s >= k[2] for k in kept):
+                kept.append((d, s, e, score))
+        want += kept
+    df = spark.createDataFrame(sorted(set(spans)), "doc_id long, start int, end int, score double")
+    assert sorted(map(tuple, sequences.without_overlaps(df).collect())) == sorted(want)
