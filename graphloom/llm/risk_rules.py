@@ -77,7 +77,8 @@ def cutoffs(measures: DataFrame, labels: DataFrame, alpha: float = 0.03, delta:
     """stratum, cutoff of the strata that have a certified cutoff; measures as from measured().
 
     Labels of a document that contradict one another count as bad; null labels, and labels without a document, don't
-    count. Documents that the base rules reject take no part. A null stratum is a stratum of its own.
+    count. Documents that the base rules reject take no part. A null stratum is a stratum of its own. Every labelled row
+    is a trial, so the guarantee is for rows: exact copies count each.
     """
     given = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).alias("__good"))
     held = measures.filter(~base_failed()).select("doc_id", "stratum", "__badness").join(given, "doc_id")
