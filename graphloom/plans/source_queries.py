@@ -174,14 +174,15 @@ def shortest_path(spark, d):
     return graph.shortest_paths(n, e, n.select("uri"), target, 8, 300).select("start", "hops")
 
 
-@query("SELECT conv_id, turn, replace(text, 'a', 'a') AS text FROM conversations WHERE false")
+@query("SELECT conv_id, turn, lower(text) AS text FROM conversations")
 def decloak(spark, d):
-    """Rows that a round trip through pseudonyms changes: none."""
+    """Texts with pseudonyms turned back into names: as they were."""
     c = table(spark, d, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "conv_id", "turn", F.lit("kb").alias("compilation_id"), F.lower("text").alias("text"))
     names = spark.createDataFrame([("kb", "the", "Entity-1"), ("kb", "and", "Entity-2")], "compilation_id string, entity_key string, pseudonym string")
     there = sequences.pseudonymized(c, names)
-    back = sequences.pseudonymized(there, names, reverse=True).withColumnRenamed("text", "back")
-    return c.join(back.select("id", "back"), "id").filter("text <> back").select("conv_id", "turn", "text")
+    back = sequences.pseudonymized(there, names, reverse=True)
+    at = F.split("id", ":")
+    return back.select(at[0].cast("long").alias("conv_id"), at[1].cast("long").alias("turn"), "text")
 
 
 @query()
