@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import access, graph, relations
-from .model import EDGES, GRAPH, NODES, edges, nodes, table
+from .model import GRAPH, NODES, edges, nodes, table
 from .registry import query
 
 JOBS = ["job1", "job3"]

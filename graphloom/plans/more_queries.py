@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import graph, prediction, retrieval
 from ..sources import office
-from .function_queries import LETTERS, WIKI, _wiki
+from .function_queries import LETTERS, WIKI
 from .model import CHUNKS, GRAPH, NODES, chunks, edges, nodes, table
 from .registry import query
 from .retrieval_queries import WORDS_OF
