@@ -238,7 +238,10 @@ def er_fuzzy_field(spark, d):
 WORDS = f"list_filter(regexp_split_to_array(translate(lower(name), {LETTERS}), '[\\s/\\-]+'), lambda w: w <> '' AND NOT list_contains({STOP}, w))"
 
 
-@query(f"WITH {REC}, w AS (SELECT uri, year, coarse_type, {WORDS} AS w FROM rec), s AS (SELECT x.uri AS a, y.uri AS b, CASE WHEN list_sort(list_distinct(x.w)) = list_sort(list_distinct(y.w)) THEN 0.92 WHEN len(list_intersect(x.w, y.w))::DOUBLE / len(list_distinct(list_concat(x.w, y.w))) >= 0.9 THEN 0.90 END AS confidence FROM w x JOIN w y ON x.year = y.year AND x.coarse_type = y.coarse_type AND x.uri % 2 = 0 AND y.uri % 2 = 1) SELECT a, b, confidence::DOUBLE AS confidence FROM s WHERE confidence IS NOT NULL")
+SMART = f"w AS (SELECT uri, year, coarse_type, {WORDS} AS w FROM rec), s AS (SELECT x.uri AS a, y.uri AS b, CASE WHEN list_sort(list_distinct(x.w)) = list_sort(list_distinct(y.w)) THEN 0.92 WHEN len(list_intersect(x.w, y.w))::DOUBLE / len(list_distinct(list_concat(x.w, y.w))) >= 0.9 THEN 0.90 END AS confidence FROM w x JOIN w y ON x.year = y.year AND x.coarse_type = y.coarse_type AND x.uri % 2 = 0 AND y.uri % 2 = 1)"
+
+
+@query(f"WITH {REC}, {SMART} SELECT a, b, confidence::DOUBLE AS confidence FROM s WHERE confidence IS NOT NULL")
 def er_smart(spark, d):
     x, y = _records(spark, d)
     keys = F.transform(R.rule_keys(F.col("name")), lambda k: F.concat_ws("|", F.col("year").cast("string"), F.col("coarse_type"), k))
@@ -301,11 +304,11 @@ def merge_clusters(spark, d):
     return R.merged(p, R.components(_linked_parts(spark, d)))
 
 
-@query(f"{EXACT} SELECT count(DISTINCT cluster) AS clusters, count(*) AS members FROM cl")
+@query(f"WITH RECURSIVE {REC}, {SMART}, l AS (SELECT x.uri AS a, y.uri AS b FROM rec x JOIN rec y ON lower(x.name) = lower(y.name) AND x.coarse_type = y.coarse_type AND x.uri % 2 = 0 AND y.uri % 2 = 1 UNION SELECT a, b FROM s WHERE confidence >= 0.9), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS n, a AS o FROM u UNION SELECT r.n, u.b FROM r JOIN u ON u.a = r.o), c AS (SELECT n, min(o) AS cluster FROM r GROUP BY 1) SELECT count(DISTINCT cluster) AS clusters, count(*) AS members FROM c")
 def fuse_merge(spark, d):
     """Links of the exact and the rule channel, united, to clusters."""
     exact = er_exact(spark, d).withColumn("confidence", F.lit(1.0))
-    rules = er_smart(spark, d).filter("confidence >= 0.95")
+    rules = er_smart(spark, d).filter("confidence >= 0.9")
     cc = R.components(R.best_links(exact, rules))
     return cc.agg(F.countDistinct("cluster").alias("clusters"), F.count("*").alias("members"))
 
