@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, fixity, jaccard_join, lattice, mixing, packing, risk_rules, sharding, token_index, topk
+from . import cotraining, fixity, jaccard_join, lattice, mixing, packing, risk_rules, runs, sharding, token_index, topk, url_filter, yinyang
 from .common import table
 
 
@@ -52,7 +54,31 @@ def op10_histogram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.histogram_top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_scores, op2_pareto_mix, op3_jaccard_join, op4_label_propagation_shards, op5_pattern_packing, op6_token_index, op7_risk_controlled_rules, op8_cotraining, op9_merkle_fixity, op10_histogram_top_k)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.planted(table(spark, sf_dir, "documents"))))
+
+
+def op12_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = yinyang.centroid_clusters(table(spark, sf_dir, "embeddings"))
+    digests = [(j, hashlib.sha256(",".join(str(int(x)) for x in row).encode()).hexdigest()) for j, row in enumerate(centroids)]
+    return found.join(F.broadcast(spark.createDataFrame(digests, "cluster int, centroid_sha256 string")), "cluster").select(*found.columns, "centroid_sha256")
+
+
+def op13_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (op1_lattice_scores, op2_pareto_mix, op3_jaccard_join, op4_label_propagation_shards, op5_pattern_packing, op6_token_index, op7_risk_controlled_rules, op8_cotraining, op9_merkle_fixity, op10_histogram_top_k, op11_periodic_runs, op12_yinyang_clusters, op13_url_verdicts)}
+
+_NEAREST = """a{r} AS (SELECT rid, vec_id, q, best.j AS j, best.d AS d FROM (SELECT v.rid, v.vec_id, v.q, min({{'d': list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'j': c.j}}) AS best
+  FROM v, c{r} c GROUP BY ALL))"""
+_ROUND = (
+    _NEAREST
+    + """,
+s{s} AS (SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT j, unnest(q) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY j, i),
+c{s} AS (SELECT c.j, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM s{s} GROUP BY j) m USING (j)),
+"""
+)
 
 SQL = {
     "op2_pareto_mix": """
@@ -134,4 +160,65 @@ s AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """,
+    "op11_periodic_runs": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+e AS (SELECT *, len(w) AS n, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, 3988292384::BIGINT * (x & 1)) END)) AS h FROM d),
+a AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM e),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS (SELECT rid, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM p),
+x AS (SELECT rid, n, i, array_to_string(w[i + 1:i + 16], ' ') AS k FROM (SELECT *, unnest(range(n - 15)) AS i FROM t WHERE n >= 24)),
+m AS (SELECT x.rid, x.i, y.i - x.i AS q FROM x JOIN x y ON x.rid = y.rid AND x.k = y.k AND x.i < y.i AND 3 * (y.i - x.i) <= x.n),
+s AS (SELECT rid, q, min(i) AS start, count(*) + 15 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM m) GROUP BY rid, q, island),
+r AS (SELECT rid, start, length, min(q) AS period FROM s WHERE length >= 24 AND length >= 3 * q GROUP BY rid, start, length),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY length::DOUBLE / period DESC, start, period) AS place FROM r) WHERE place = 1),
+l AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY rid),
+o AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM r),
+u AS (SELECT rid, i, w[i + 1] AS w FROM (SELECT rid, w, unnest(range(n)) AS i FROM t WHERE rid IN (SELECT rid FROM r))),
+c AS (SELECT u.rid, string_agg(u.w, ' ' ORDER BY u.i) AS kept FROM u LEFT JOIN o USING (rid, i) WHERE o.rid IS NULL GROUP BY u.rid)
+SELECT t.doc_id, CAST(coalesce(l.n_runs, 0) AS BIGINT) AS n_runs, CAST(b.start AS BIGINT) AS start, CAST(b.length AS BIGINT) AS length, CAST(b.period AS BIGINT) AS period,
+  CAST(1000 * b.length // b.period AS BIGINT) AS exponent_milli, sha256(coalesce(l.lines, '')) AS runs_sha256, sha256(CASE WHEN l.rid IS NULL THEN array_to_string(t.w, ' ') ELSE coalesce(c.kept, '') END) AS collapsed_sha256
+FROM t LEFT JOIN l USING (rid) LEFT JOIN b USING (rid) LEFT JOIN c USING (rid)
+""",
+    "op12_yinyang_clusters": f"""
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h, q) - 1 AS j, q FROM (SELECT *, sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h FROM v ORDER BY h, q LIMIT 16)),
+{"".join(_ROUND.format(r=r, s=r + 1) for r in range(3))}
+{_NEAREST.format(r=3)}
+SELECT a.vec_id, CAST(a.j AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.q, ',')) AS centroid_sha256 FROM a3 a JOIN c3 c USING (j)
+""",
+    "op13_url_verdicts": r"""
+WITH RECURSIVE u AS (SELECT row_number() OVER () AS rid, page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT rid, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+seeds AS (SELECT unnest(SEEDS) AS word),
+words AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(regexp_replace(html, '<[^>]*>', ' ', 'g')), '\p{L}{2,}')) AS word FROM u UNION ALL FROM seeds) GROUP BY word),
+total AS (SELECT sum(n)::DOUBLE AS total FROM words),
+hosts AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+runs AS (SELECT host, generate_subscripts(x, 1) AS place, unnest(x) AS run FROM (SELECT host, regexp_extract_all(host, '\p{L}+|[0-9]+') AS x FROM hosts)),
+letters AS (SELECT DISTINCT run FROM runs WHERE NOT regexp_matches(run, '^[0-9]') AND length(run) <= 63),
+pieces AS (SELECT DISTINCT run, substr(run, i, k) AS word FROM (SELECT run, i, unnest(range(1, least(24, length(run) - i + 1) + 1)) AS k FROM (SELECT run, unnest(range(1, length(run) + 1)) AS i FROM letters))),
+probs AS (SELECT pieces.run, map(list(word), list(ln(n / total))) AS m FROM pieces JOIN words USING (word), total GROUP BY pieces.run),
+v AS (SELECT run, 0 AS j, [0.0::DOUBLE] AS score, [''] AS words FROM letters
+  UNION ALL
+  SELECT run, j, list_append(score, b.s), list_append(words, trim(words[b.i + 1] || ' ' || substr(run, b.i + 1, j - b.i))) FROM (
+    SELECT v.run, v.j + 1 AS j, v.score, v.words, list_sort(list_transform(range(greatest(0, v.j - 23), v.j + 1), lambda i: {'r': round(v.score[i + 1] + coalesce(p.m[substr(v.run, i + 1, v.j + 1 - i)], ln(10 / total) - (v.j + 1 - i) * ln(10)), 7),
+      'i': i, 's': v.score[i + 1] + coalesce(p.m[substr(v.run, i + 1, v.j + 1 - i)], ln(10 / total) - (v.j + 1 - i) * ln(10))}), 'DESC')[1] AS b
+    FROM v LEFT JOIN probs p ON p.run = v.run, total WHERE v.j < length(v.run))),
+split AS (SELECT run, words[j + 1] AS words FROM v WHERE j = length(run)),
+named AS (SELECT host, flatten(list(string_split(CASE WHEN regexp_matches(runs.run, '^[0-9]') THEN '0' ELSE coalesce(split.words, runs.run) END, ' ') ORDER BY place)) AS words FROM runs LEFT JOIN split USING (run) GROUP BY host),
+h AS (SELECT hosts.host, pages, coalesce(words, []) AS words, coalesce(list_has_any(words, SEEDS), false) AS blocked FROM hosts LEFT JOIN named USING (host)),
+tokens AS (SELECT rid, h.blocked, unnest(h.words) AS token FROM p JOIN h USING (host)
+  UNION SELECT rid, h.blocked, unnest(list_transform(regexp_extract_all(lower(path), '\p{L}+|[0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '0' ELSE x END)) FROM p JOIN h USING (host)),
+c AS (SELECT token, count(*) FILTER (WHERE blocked) AS b, count(*) FILTER (WHERE NOT blocked) AS a FROM tokens GROUP BY token),
+s AS (SELECT sum(b) AS b, sum(a) AS a, count(*) AS k FROM c),
+odds AS (SELECT token, ln((c.b + 0.1::DOUBLE) / (s.b + 0.1::DOUBLE * s.k)) - ln((c.a + 0.1::DOUBLE) / (s.a + 0.1::DOUBLE * s.k)) AS o FROM c, s),
+prior AS (SELECT coalesce(sum(pages) FILTER (WHERE blocked), 0) AS b, ln((coalesce(sum(pages) FILTER (WHERE blocked), 0) + 1) / (coalesce(sum(pages) FILTER (WHERE NOT blocked), 0) + 1)) AS o FROM h),
+own AS (SELECT rid, sum(o) AS o FROM tokens JOIN odds USING (token) GROUP BY rid)
+SELECT page_id, host, path, CASE WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+  CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN coalesce(own.o, 0) + prior.o > 0 AND prior.b > 0 THEN 'block' ELSE 'allow' END AS verdict
+FROM p LEFT JOIN own USING (rid), prior
+""".replace("SEEDS", str(list(url_filter.SEEDS))),
 }
