@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -58,6 +59,37 @@ def test_lattice_sums_all_spellings():
     assert sum(n * len(p) for n, p in zip(counts, pieces)) == pytest.approx(3 * 4 + 2 * 7)
 
 
+def test_lattice_of_long_words_in_blocks(monkeypatch):
+    pieces, logp = lattice.read_pieces(PIECES)
+    model = lattice.Lattice(pieces, logp)
+    words, counts = [b" " + b"thenationofwords" * 9, b" " + bytes(range(97, 123)) * 6, b"\xe4\xb8\xad" * 40], np.array([2, 1, 3])
+    whole, expected = model.log_probability(words), model.expected(words, counts)
+    monkeypatch.setattr(lattice, "WHOLE", 16)
+    monkeypatch.setattr(lattice, "BLOCK", 37)
+    assert np.allclose(model.log_probability(words), whole, rtol=1e-12)
+    assert np.allclose(model.expected(words, counts), expected, atol=1e-9)
+
+
+def test_lattice_of_one_unbroken_megabyte():
+    pieces, logp = lattice.read_pieces(PIECES)
+    model, word = lattice.Lattice(pieces, logp), b" " + b"unbroken" * (1 << 17)
+    (score,) = model.log_probability([word])
+    counts = model.expected([word], np.array([1]))
+    assert math.isfinite(score) and sum(n * len(p) for n, p in zip(counts, pieces)) == pytest.approx(len(word), rel=1e-5)
+
+
+def test_lattice_of_long_words_keeps_little(monkeypatch):
+    monkeypatch.setattr(lattice, "BLOCK", 1024)
+    pieces, logp = lattice.read_pieces(PIECES)
+    model, most = lattice.Lattice(pieces, logp), []
+    for size in (1 << 13, 1 << 15):
+        tracemalloc.start()
+        model.expected([b"x" * size], np.array([1]))
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert most[1] < 1.3 * most[0]
+
+
 def test_lattice_scores(spark, docs, none):
     got = lattice.lattice_scores(docs, PIECES, head=2).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -179,6 +211,19 @@ def test_plan_uses_every_piece_and_few_sequences():
         assert sum(n for n, _ in runs) <= max(-(-int((h * np.arange(257)).sum()) // 256) * 1.02 + 1, (lengths > 128).sum())
 
 
+def test_plan_of_a_flat_histogram_is_near_the_least():
+    h = np.concatenate([[0], np.random.default_rng(0).integers(0, 60, size=2048)])
+    runs = packing.plan_runs(h)
+    assert (sum(np.bincount(c, minlength=2049) * n for n, c in runs) == h).all()
+    assert sum(n for n, _ in runs) <= 1.006 * (h * np.arange(2049)).sum() / 2048
+
+
+def test_all_patterns_are_tried():
+    rows = packing.patterns(np.arange(1, 65), 64)
+    want = {(64, 0, 0)} | {(64 - b, b, 0) for b in range(1, 33)} | {(64 - b - c, b, c) for c in range(1, 22) for b in range(c, 32) if 64 - b - c >= b}
+    assert len(rows) == len(want) and set(map(tuple, rows.tolist())) == want
+
+
 # ---- 6
 def test_token_index_round_trip(spark, docs, none):
     got = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in token_index.token_index_round_trip(docs, BYTES, 2).collect()))
