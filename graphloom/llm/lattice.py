@@ -12,6 +12,7 @@ forward and backward and sum expected counts by piece, and the driver gets one n
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import Counter
 from functools import lru_cache
@@ -31,6 +32,8 @@ LN10 = float(np.log(10.0))
 TOGETHER = 20_000
 #: A longer word (in bytes) is known by its digest in tables that go to all tasks.
 LONG = 64
+#: A longer string (in bytes) is worked on by itself in blocks of so many places, with constant memory.
+WHOLE, BLOCK = 512, 1 << 15
 
 
 # ---- the lattice ---------------------------------------------------------------------------------------------------
@@ -80,8 +83,8 @@ class Lattice:
         a[miss] = np.where(self.hash[b] == h[miss], b, len(self.pieces))
         return a
 
-    def _edges(self, m: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """Of equally long strings (a row of bytes each): (from, to) -> number of the piece there."""
+    def _edges(self, m: np.ndarray, every: bool = False) -> dict:
+        """Of equally long strings (a row of bytes each): (from, to) -> number of the piece there. every: of one string, length -> numbers by place."""
         n, size = m.shape
         codes, edges = m.astype(np.uint64) + np.uint64(1), {}
         h = np.zeros((n, size), dtype=np.uint64)
@@ -89,6 +92,9 @@ class Lattice:
             h = h[:, : size - length + 1] * self.BASE + codes[:, length - 1 :]
             if length in self.lengths:
                 found = self.find(h.ravel()).reshape(h.shape)
+                if every:
+                    edges[length] = found[0]
+                    continue
                 for i in np.flatnonzero((found < len(self.pieces)).any(axis=0)):
                     edges[int(i), int(i) + length] = found[:, i]
         return edges
@@ -105,10 +111,61 @@ class Lattice:
             alpha.append(self._sum([alpha[i] + logp[edges[i, j]] for i in range(max(0, j - self.longest), j) if (i, j) in edges]))
         return alpha
 
+    def _ends(self, word: bytes, at: int) -> list[list[tuple[int, int]]]:
+        """For each of the places at + 1, ..., at + BLOCK of a string: (length, number) of the pieces that end there."""
+        low, high = max(0, at - self.longest + 1), min(len(word), at + BLOCK)
+        edges = self._edges(np.frombuffer(word[low:high], dtype=np.uint8).reshape(1, -1), every=True)
+        out: list[list[tuple[int, int]]] = [[] for _ in range(high - at)]
+        for length, found in edges.items():
+            for i in np.flatnonzero(found < len(self.pieces)).tolist():
+                j = low + i + length
+                if j > at:
+                    out[j - at - 1].append((length, int(found[i])))
+        return out
+
+    def _extend(self, window: list[float], ends: list[list[tuple[int, int]]], logp: list[float]) -> list[float]:
+        """Logarithms of forward sums up to the last of `ends`; window: those of the places before, the last one right before."""
+        alpha = window[:]
+        for edges in ends:
+            if len(edges) == 1:
+                alpha.append(alpha[-edges[0][0]] + logp[edges[0][1]])
+            else:
+                t = [alpha[-length] + logp[piece] for length, piece in edges]
+                top = max(t)
+                alpha.append(top + math.log(sum([math.exp(x - top) for x in t])))
+        return alpha
+
+    def _long_score(self, word: bytes, logp: list[float]) -> float:
+        alpha = [0.0]
+        for at in range(0, len(word), BLOCK):
+            alpha = self._extend(alpha[-self.longest :], self._ends(word, at), logp)
+        return alpha[-1]
+
+    def _long_expected(self, word: bytes, count: float, logp: list[float], total: np.ndarray) -> None:
+        """Adds what a long string's pieces are expected to count: a pass on that keeps the sums before each block, and a pass back that makes each block's sums again."""
+        windows, alpha = [], [0.0]
+        for at in range(0, len(word), BLOCK):
+            windows.append(alpha[-self.longest :])
+            alpha = self._extend(windows[-1], self._ends(word, at), logp)
+        whole, ahead = alpha[-1], {len(word): 0.0}  # ahead: logarithms of backward sums
+        for at in range((len(word) - 1) // BLOCK * BLOCK, -1, -BLOCK):
+            window, ends = windows.pop(), self._ends(word, at)
+            alpha = self._extend(window, ends, logp)
+            first = at - len(window) + 1  # the place of alpha[0]
+            for j in range(at + len(ends), at, -1):
+                b = ahead.pop(j)
+                for length, piece in ends[j - at - 1]:
+                    i, x = j - length, logp[piece] + b
+                    total[piece] += count * math.exp(alpha[i - first] + x - whole)
+                    had = ahead.get(i)
+                    ahead[i] = x if had is None else max(x, had) + math.log1p(math.exp(-abs(x - had)))
+
     def _groups(self, words: list[bytes]):
-        sizes = np.array([len(w) for w in words])
+        """(places, matrix of bytes) of strings of one length, but for the long ones."""
+        sizes = np.array([len(w) if len(w) <= WHOLE else -1 for w in words])
         order = np.argsort(sizes, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(words) else []:
+        order = order[sizes[order] >= 0]
+        for part in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else []:
             step = max(1, TOGETHER * 16 // max(16, int(sizes[part[0]])))
             for at in range(0, len(part), step):
                 some = part[at : at + step]
@@ -119,6 +176,8 @@ class Lattice:
         out, logp = np.zeros(len(words)), np.append(self.logp, -np.inf)
         for some, m in self._groups(words):
             out[some] = self._forward(m.shape[1], self._edges(m), logp, len(some))[-1]
+        for i in [i for i, w in enumerate(words) if len(w) > WHOLE]:
+            out[i] = self._long_score(words[i], self.logp.tolist())
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
@@ -132,6 +191,8 @@ class Lattice:
                 beta[i] = self._sum([beta[j] + logp[edges[i, j]] for j in range(i + 1, min(size, i + self.longest) + 1) if (i, j) in edges])
             for (i, j), piece in edges.items():
                 total += np.bincount(piece, weights=n * np.exp(alpha[i] + logp[piece] + beta[j] - alpha[size]), minlength=len(total))
+        for i in [i for i, w in enumerate(words) if len(w) > WHOLE]:
+            self._long_expected(words[i], float(counts[i]), self.logp.tolist(), total)
         return total[:-1]
 
 
@@ -264,7 +325,8 @@ def lattice_scores(docs: DataFrame, vocabulary: str, folds: int = 7, held: int =
     Learns from the rows whose crc32(doc_id as text) mod `folds` is not `held` (a null doc_id is learned from). A null
     or empty text is its end alone. base_score is that of words with add-one smoothing; score the log10 of the lattice's
     probability. With no training rows, counts are 0 and pieces keep their first scores. Repeated rows are rows of
-    their own.
+    their own. Texts are scored whole; a text without white space is one word, however long, and takes memory for a few of its bytes'
+    places at a time and time in proportion to its length.
 
     Counts of the `head` most frequent words go to all tasks (at most 2^17 words or digests of at most 64 bytes); rarer
     words, short or long, are joined to their counts by Spark, and as they are rare none of them is hot.
