@@ -44,6 +44,10 @@ SKETCH_BITS, CHUNK = 20, 4096
 BITMAP = 1024
 #: Rows of a region (of a few hundred bytes each) that meet in one task; a larger one is joined block by block.
 LEAF = 4096
+#: Sketches that are added up by one task at most are about this many, in two steps.
+SALTS = 1024
+#: Shingles that more documents than this may hold are parted by sums over sizes; fewer are sorted by one task.
+SORTED = 200_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -73,9 +77,9 @@ def _count_buckets(width: int):
         for b in slices(batches):
             sets = [shingles(x, width) for x in b.column(0).to_pylist()]
             total += np.bincount(_bucket(np.concatenate(sets)), minlength=len(total)).astype(np.uint32)
-        parts = total.reshape(-1, CHUNK)
-        at = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in at], pa.binary())], ["chunk", "counts"])
+        parts = total.reshape(-1, CHUNK).astype(np.int64)
+        at, salt = np.flatnonzero(parts.any(axis=1)), TaskContext.get().partitionId() % SALTS
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([salt] * len(at), pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in at], pa.binary())], ["chunk", "salt", "counts"])
 
     return run
 
@@ -83,17 +87,22 @@ def _count_buckets(width: int):
 def _add_chunks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(CHUNK, dtype=np.int64)
     for x in rows["counts"]:
-        total += np.frombuffer(zlib.decompress(x), dtype=np.uint32)
-    return pd.DataFrame({"chunk": [key[0]], "counts": [total.tobytes()]})
+        total += np.frombuffer(zlib.decompress(x), dtype=np.int64)
+    return pd.DataFrame({"chunk": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
-def frequent_levels(texts: DataFrame, width: int) -> np.ndarray:
-    """For each of 2^SKETCH_BITS buckets of shingle hashes 0, or how many doublings its count lies above one and a half times the mean."""
-    got = texts.mapInArrow(_count_buckets(width), "chunk int, counts binary").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, counts binary").collect()
+def bucket_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """How many shingles of all texts fall into each of 2^SKETCH_BITS buckets of their hashes; tasks' counts are added by salt, then over salts."""
+    got, kind = texts.mapInArrow(_count_buckets(width), "chunk int, salt int, counts binary"), "chunk int, counts binary"
+    got = got.groupBy("chunk", "salt").applyInPandas(_add_chunks, kind).groupBy("chunk").applyInPandas(_add_chunks, kind)
     total = np.zeros((1 << SKETCH_BITS) // CHUNK * CHUNK, dtype=np.int64).reshape(-1, CHUNK)
-    for r in got:
-        total[r.chunk] = np.frombuffer(r.counts, dtype=np.int64)
-    total = total.ravel()
+    for r in got.collect():  # 2^SKETCH_BITS numbers
+        total[r.chunk] = np.frombuffer(zlib.decompress(r.counts), dtype=np.int64)
+    return total.ravel()
+
+
+def frequent_levels(total: np.ndarray) -> np.ndarray:
+    """For each bucket 0, or how many doublings its count lies above one and a half times the mean."""
     return np.maximum(0, np.floor(np.log2(np.maximum(1, total) / (1.5 * total.mean() + 2)) + 1)).astype(np.uint8)
 
 
@@ -278,7 +287,9 @@ class _Corpus:
     def __init__(self, docs: DataFrame, width: int, percent: int, work: Tables):
         self.width, self.percent, self.work = width, percent, work
         self.docs = docs.select("doc_id", *keys(), F.col("text").cast("binary").alias("text"))
-        levels = docs.sparkSession.sparkContext.broadcast(frequent_levels(self.docs.select("text"), width))
+        total = bucket_counts(self.docs.select("text"), width)
+        levels = docs.sparkSession.sparkContext.broadcast(frequent_levels(total))
+        self.frequent = np.flatnonzero(total > SORTED)  # no other bucket has a shingle that more than SORTED documents hold
         schema = "row long, doc_id long, key long, key2 long, n long, class binary, prefix array<long>, bits binary"
         features = work.write(self.docs.mapInArrow(_features(levels, width, percent), schema), "features")
         first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "key2").alias("first")
@@ -323,17 +334,28 @@ def keys() -> list:
     return [F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(1), "doc_id", "text").alias("key2")]
 
 
-def _regions(classes: DataFrame, percent: int) -> DataFrame:
+def _regions(classes: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
     """s, x and p, the least member, with sizes n and n_p, of every region of two members or more.
 
     Where a shingle is the first that two sets share, what they share lies from its place on in both, so its place bounds
     the size of a similar set (`most`). A shingle's members in order of size part where the next is beyond what all
-    before it bound; a member stays where a larger one is within its bound or the least one is.
+    before it bound; a member stays where a larger one is within its bound or the least one is. Shingles of `frequent`
+    buckets, which may be those of very many members, are parted without bringing their members to one task.
     """
     posts = classes.select(F.posexplode("prefix").alias("i", "s"), "x", "n")
     most = F.floor((100 + percent) * (F.col("n") - F.col("i")) / percent) - F.col("n")
     # 48 bits of a shingle are enough: shingles that agree in them make one region
-    posts = posts.select(F.col("s").bitwiseAND(F.lit((1 << 48) - 1)).alias("s"), "x", F.col("n").cast("int").alias("n"), F.least(most, F.floor(100 * F.col("n") / percent)).cast("int").alias("most"))
+    few = F.col("s").bitwiseAND(F.lit((1 << 48) - 1)).alias("s")
+    bucket = F.shiftrightunsigned("s", 64 - SKETCH_BITS).cast("int").alias("bucket")
+    posts = posts.select(few, bucket, "x", F.col("n").cast("int").alias("n"), F.least(most, F.floor(100 * F.col("n") / percent)).cast("int").alias("most"))
+    if not len(frequent):
+        return _sorted_regions(posts.drop("bucket"))
+    hot = F.broadcast(classes.sparkSession.createDataFrame([(int(x),) for x in frequent], "bucket int"))  # at most 2^SKETCH_BITS
+    rare, often = posts.join(hot, "bucket", "left_anti").drop("bucket"), posts.join(hot, "bucket", "left_semi").drop("bucket")
+    return _sorted_regions(rare).unionByName(_summed_regions(often))
+
+
+def _sorted_regions(posts: DataFrame) -> DataFrame:
     by_size = Window.partitionBy("s").orderBy("n", "x")
     cut = F.coalesce(F.max("most").over(by_size.rowsBetween(Window.unboundedPreceding, -1)) < F.col("n"), F.lit(True))
     posts = posts.withColumns({"cut": cut, "up": F.coalesce(F.lead("n").over(by_size) <= F.col("most"), F.lit(False))})
@@ -345,11 +367,23 @@ def _regions(classes: DataFrame, percent: int) -> DataFrame:
     return posts.select(F.xxhash64("s", "part").alias("s"), "x", F.first("x").over(by_id).alias("p"), "n", F.first("n").over(by_id).alias("n_p"))
 
 
+def _summed_regions(posts: DataFrame) -> DataFrame:
+    """The same, with cuts only between sizes: what is known of each shingle and size is summed first, so windows hold a row for each size."""
+    by_size = Window.partitionBy("s").orderBy("n")
+    sizes = posts.groupBy("s", "n").agg(F.count("*").alias("k"), F.max("most").alias("m"))
+    cut = F.coalesce(F.max("m").over(by_size.rowsBetween(Window.unboundedPreceding, -1)) < F.col("n"), F.lit(True)).cast("int")
+    sizes = sizes.withColumns({"cut": cut, "next": F.lead("n").over(by_size)}).withColumn("part", F.sum("cut").over(by_size))
+    up = (F.col("next") <= F.col("most")) | ((F.col("k") > 1) & (F.col("n") <= F.col("most")))
+    rows = posts.join(sizes, ["s", "n"]).filter((F.col("cut") == 0) | (F.col("k") > 1) | up).select(F.xxhash64("s", "part").alias("s"), "x", "n")
+    least = rows.groupBy("s").agg(F.min(F.struct("x", "n")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("s", F.col("m.x").alias("p"), F.col("m.n").alias("n_p"))
+    return rows.join(least, "s").select("s", "x", "p", "n", "n_p")
+
+
 def _classes(docs: DataFrame, width: int, percent: int, work: Tables) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, class, first of every row; class, first, best of every class): best is the least `first` that links reach."""
     corpus = _Corpus(docs, width, percent, work)
     threshold = 1 - percent / 100
-    members = work.write(_regions(corpus.classes, percent), "members")
+    members = work.write(_regions(corpus.classes, percent, corpus.frequent), "members")
     # cells around hubs
     alike = (F.col("x") != F.col("p")) & (100 * F.least("n", "n_p") >= percent * F.greatest("n", "n_p"))
     near = corpus.measured(corpus.plausible(members.filter(alike).select(F.col("x").alias("u"), F.col("p").alias("v")).distinct(), "near"), "near")

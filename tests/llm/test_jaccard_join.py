@@ -54,9 +54,11 @@ def got(spark, rows):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr)
 
 
-@pytest.mark.parametrize("leaf", [4096, 4])
-def test_against_all_pairs(spark, monkeypatch, leaf):
+@pytest.mark.parametrize("leaf, sorted_", [(4096, 200_000), (4, 200_000), (4096, 0), (4, 3)])
+def test_against_all_pairs(spark, monkeypatch, leaf, sorted_):
+    """sorted_ of 0: all shingles are parted by sums over sizes; of 3: the more frequent ones."""
     monkeypatch.setattr(J, "LEAF", leaf)
+    monkeypatch.setattr(J, "SORTED", sorted_)
     rows = families(leaf, 12, 25)
     assert got(spark, rows) == brute(rows)
 
