@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.text import html_text
-from ..operators import communities, graph, resolution, sequences
+from ..operators import communities, edit_join, graph, resolution, sequences
 from ..operators.lineage import shared_dir
 from ..sources import exports, files
 from ..streaming import ingest
@@ -137,12 +137,12 @@ def seq_ratio(spark, d):
 
 
 def _linked(spark, d):
-    return edges(spark, d).filter("rel_type <> 'SUPPLIED_BY'").select(F.col("src_uri").alias("a"), F.col("dst_uri").alias("b"))
+    return edges(spark, d).select(F.col("src_uri").alias("a"), F.col("dst_uri").alias("b"))
 
 
 @query()
 def communities_louvain(spark, d):
-    """Communities of the places, customers and parts of the graph."""
+    """Communities of all of the graph."""
     return communities.communities(_linked(spark, d))
 
 
@@ -215,14 +215,13 @@ def windowed_usage(spark, d):
     return ingest.windowed_usage(table(spark, d, "events")).withColumn("spent", F.col("spent").cast("decimal(38,2)"))
 
 
-@query(f"WITH {NODES}, p AS (SELECT lower(name) AS name, source_job AS job FROM nodes WHERE type = 'part' GROUP BY ALL), s AS (SELECT name, job, unnest(string_split(name, ' ')) AS w FROM p), c AS (SELECT DISTINCT a.name AS a, a.job AS ja, b.name AS b, b.job AS jb FROM s a JOIN s b ON a.w = b.w AND a.job < b.job AND a.name <> b.name) SELECT a, ja, b, jb, levenshtein(a, b)::BIGINT AS distance FROM c WHERE levenshtein(a, b) <= 2")
+@query(f"WITH {NODES}, p AS (SELECT lower(name) AS name, source_job AS job FROM nodes WHERE type = 'part' GROUP BY ALL), n AS (SELECT DISTINCT name FROM p), c AS (SELECT x.name AS a, y.name AS b, levenshtein(x.name, y.name)::BIGINT AS distance FROM n x JOIN n y ON x.name <> y.name AND levenshtein(x.name, y.name) <= 2) SELECT a, p.job AS ja, b, q.job AS jb, distance FROM c JOIN p ON p.name = a JOIN p q ON q.name = b WHERE p.job < q.job")
 def theta_name_join(spark, d):
-    """Names of other jobs at an edit distance of 1 or 2 that share a word; a block is what has the word."""
+    """Names of other jobs at an edit distance of 1 or 2, found by segments of the distinct names."""
     p = nodes(spark, d).filter("type = 'part'").select(F.lower("name").alias("name"), F.col("source_job").alias("job")).distinct()
-    w = p.select("name", "job", F.explode(F.array_distinct(F.split("name", " "))).alias("w"))
-    a, b = (w.withColumnsRenamed({"name": x, "job": f"j{x}"}) for x in "ab")
-    near = a.join(b, "w").filter("ja < jb AND a <> b").select("a", "ja", "b", "jb").distinct()
-    return near.withColumn("distance", F.expr("levenshtein(a, b, 2)").cast("long")).filter("distance >= 0")
+    a, b = (p.withColumnsRenamed({"name": x, "job": f"j{x}"}) for x in "ab")
+    near = edit_join.edit_pairs(p.select(F.col("name").alias("a")), p.select(F.col("name").alias("b")), 2).filter("distance > 0")
+    return near.join(a, "a").join(b, "b").filter("ja < jb").select("a", "ja", "b", "jb", "distance")
 
 
 @query("WITH t AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_name, string_split(lower(p_name), ' ') AS w FROM t), a AS (SELECT p_name, list_aggregate(list_transform(w, lambda x: x[1]), 'string_agg', '') AS acronym FROM w WHERE len(w) >= 2), n AS (SELECT DISTINCT 'v' || acronym AS short FROM a UNION SELECT acronym FROM a) SELECT p_name AS name, short FROM a JOIN n ON short = acronym")
