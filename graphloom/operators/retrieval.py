@@ -17,21 +17,11 @@ def dense(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id"
     return vectors.select(F.col(id_col).alias("id"), score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def lexical(index: DataFrame, terms: list[str], k: int, id_col: str = "chunk_id") -> DataFrame:
-    """The k best rows of an inverted index (term, n, id columns): those with all terms before those with some, which count half; score is the sum of log(1 + count)."""
-    found = index.filter(F.col("term").isin(terms)).groupBy(F.col(id_col).alias("id"))
-    c = found.agg(*[F.coalesce(F.sum(F.when(F.col("term") == t, F.col("n"))), F.lit(0)).alias(f"t{i}") for i, t in enumerate(terms)])
-    cols = [F.col(f"t{i}") for i in range(len(terms))]
-    every = F.forall(F.array(*cols), lambda n: n > 0)
-    total = sum((F.log1p(x.cast("double")) for x in cols[1:]), F.log1p(cols[0].cast("double")))
-    return c.select("id", F.round(total * F.when(every, 1.0).otherwise(0.5), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
-
-
 def fused(channels: list[DataFrame], k: int, base: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of ranked channels (id, score): id and the sum of 1 / (base + rank)."""
+    """Reciprocal rank fusion of channels (id, and place or score): id and the sum of 1 / (base + place)."""
     out = None
     for c in channels:
-        r = F.row_number().over(Window.orderBy(F.desc("score"), "id"))  # a channel holds few rows
+        r = F.col("place") if "place" in c.columns else F.row_number().over(Window.orderBy(F.desc("score"), "id"))  # a channel holds few rows
         part = c.select("id", (1.0 / (base + r)).alias("s"))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("id").agg(F.round(F.sum("s"), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)

@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import slug, tokens
+from ..functions.text import slug
+from ..operators import lexical
 from ..operators.lineage import shared_dir
 
 OWNER = "0123456789ab"
@@ -54,14 +55,24 @@ def _graph(spark: SparkSession, sf_dir: str) -> str:
     return _store(spark, sf_dir, "graph", (*(k[0] for k in KINDS), "orders", "lineitem"), nodes=_made_nodes, edges=_made_edges)
 
 
-def term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """term, chunk_id, doc_id, n: the stored inverted index of chunks. It is sorted by term, so a search reads the row groups of its terms."""
-    return spark.read.parquet(_store(spark, sf_dir, "terms", ("documents",), terms=_made_terms) + "/terms")
+#: Documents of a block of the inverted index, about.
+BLOCK = 128
+
+
+def term_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The stored positional index of chunks. It is sorted by term and block, so a search reads the row groups of its terms and blocks."""
+    at = _store(spark, sf_dir, "terms", ("documents",), rows=_made_terms, limits=_made_limits)
+    return lexical.Index(spark.read.parquet(f"{at}/rows"), spark.read.parquet(f"{at}/limits"))
 
 
 def _made_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = chunks(spark, sf_dir).select("chunk_id", "doc_id", F.explode(tokens(F.col("content"))).alias("term"))
-    return t.groupBy("term", "chunk_id", "doc_id").agg(F.count("*").alias("n")).repartitionByRange("term", "chunk_id").sortWithinPartitions("term")
+    blocks = table(spark, sf_dir, "documents").count() // BLOCK + 1
+    return lexical.postings(chunks(spark, sf_dir), blocks).repartitionByRange("term", "block", "chunk_id").sortWithinPartitions("term", "block")
+
+
+def _made_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = table(spark, sf_dir, "documents").count() // BLOCK + 1
+    return lexical.bounds(lexical.postings(chunks(spark, sf_dir), blocks)).repartitionByRange("term", "block").sortWithinPartitions("term", "block")
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

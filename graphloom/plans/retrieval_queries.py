@@ -23,9 +23,17 @@ TERMS = ["the", "license", "version"]
 
 
 def _lexical_sql(rows: str, id_col: str, k: int) -> str:
-    counts = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS t{i}" for i, w in enumerate(TERMS))
-    total = " + ".join(f"ln(1 + t{i}::DOUBLE)" for i in range(3))
-    return f"tk AS (SELECT {id_col} AS id, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS t FROM {rows}), tc AS (SELECT id, {counts} FROM tk), lexical AS (SELECT id, round(({total}) * CASE WHEN t0 > 0 AND t1 > 0 AND t2 > 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END, 6) AS score FROM tc WHERE t0 > 0 OR t1 > 0 OR t2 > 0 ORDER BY 2 DESC, 1 LIMIT {k})"
+    """lexical: id, place, score of the k best by cover density, filled up by those with some terms at half weight."""
+    words = "(" + ", ".join(f"'{t}'" for t in TERMS) + ")"
+    last = ", ".join(f"max(CASE WHEN t = '{t}' THEN i END) OVER w AS l{j}" for j, t in enumerate(TERMS))
+    every, ends = " AND ".join(f"l{j} IS NOT NULL" for j in range(3)), ", ".join(f"l{j}" for j in range(3))
+    return f"""tk AS (SELECT {id_col} AS id, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS w FROM {rows}),
+te AS (SELECT id, unnest(w) AS t, unnest(range(len(w))) AS p FROM tk), ev AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) - 1 AS i FROM te WHERE t IN {words}),
+la AS (SELECT *, {last} FROM ev WINDOW w AS (PARTITION BY id ORDER BY i)), st AS (SELECT *, CASE WHEN {every} THEN least({ends}) END AS s FROM la),
+cv AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY id ORDER BY i), -1) AS had FROM st),
+strict AS (SELECT c.id, round(sum(0.1::DOUBLE / (1 + (c.p - e.p) - (c.i - c.s))), 6) AS score FROM cv c JOIN ev e ON e.id = c.id AND e.i = c.s WHERE c.s > c.had GROUP BY 1),
+loose AS (SELECT id, round(0.05::DOUBLE * count(*), 6) AS score FROM ev WHERE id NOT IN (SELECT id FROM strict) GROUP BY 1),
+lexical AS (SELECT id, score, row_number() OVER (ORDER BY kind, score DESC, id) AS place FROM (SELECT *, 1 AS kind FROM strict UNION ALL SELECT *, 2 FROM loose) QUALIFY place <= {k})"""
 
 
 DOC_ROWS = "dr AS (SELECT doc_id, text AS content FROM documents)"
@@ -46,16 +54,22 @@ def dense_search_threshold(spark, d):
     return retrieval.dense(table(spark, d, "embeddings"), PROBE, 40).filter("score >= 0.1")
 
 
-@query(f"WITH {CHUNKS}, {_lexical_sql('chunks', 'chunk_id', 40)} SELECT id, score FROM lexical")
+def _lexical(spark, d, id_col="chunk_id"):
+    return term_index(spark, d).search(TERMS, 40, id_col).hits
+
+
+@query(f"WITH {CHUNKS}, {_lexical_sql('chunks', 'chunk_id', 40)}, le AS (SELECT chunk_id AS id FROM chunks WHERE contains(lower(content), 'license, version') ORDER BY 1 LIMIT 40), al AS (SELECT coalesce(lexical.id, le.id) AS id, coalesce(score, 0) AS score, CASE WHEN le.id IS NOT NULL THEN 0 ELSE 1 END AS kind, place AS own FROM lexical FULL JOIN le ON lexical.id = le.id) SELECT id, score, row_number() OVER (ORDER BY kind, CASE WHEN kind = 1 THEN own END, score DESC, id) AS place FROM al QUALIFY place <= 40")
 def lexical_search(spark, d):
-    return retrieval.lexical(term_index(spark, d), TERMS, 40)
+    """Chunks that hold the query as it stands, then those with all its words by cover density, then those with some."""
+    lead = chunks(spark, d).filter(F.contains(F.lower("content"), F.lit("license, version"))).select(F.col("chunk_id").alias("id"))
+    return term_index(spark, d).search(TERMS, 40, lead=lead).hits
 
 
-HYBRID = f"WITH {DENSE}, {DOC_ROWS}, {_lexical_sql('dr', 'doc_id', 40)}, rr AS (SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, id)) AS s FROM dense UNION ALL SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, id)) FROM lexical), fused AS (SELECT id, round(sum(s), 6) AS score FROM rr GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)"
+HYBRID = f"WITH {DENSE}, {DOC_ROWS}, {_lexical_sql('dr', 'doc_id', 40)}, rr AS (SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, id)) AS s FROM dense UNION ALL SELECT id, 1.0::DOUBLE / (60 + place) FROM lexical), fused AS (SELECT id, round(sum(s), 6) AS score FROM rr GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)"
 
 
 def _hybrid(spark, d):
-    return retrieval.fused([retrieval.dense(table(spark, d, "embeddings"), PROBE, 40), retrieval.lexical(term_index(spark, d), TERMS, 40, "doc_id")], 20)
+    return retrieval.fused([retrieval.dense(table(spark, d, "embeddings"), PROBE, 40), _lexical(spark, d, "doc_id")], 20)
 
 
 @query(f"{HYBRID} SELECT id, score FROM fused")
@@ -65,7 +79,7 @@ def hybrid_rrf(spark, d):
 
 @query(f"{HYBRID} SELECT id, round(sum(s), 6) AS rrf FROM rr GROUP BY 1")
 def rrf_score(spark, d):
-    return retrieval.fused([retrieval.dense(table(spark, d, "embeddings"), PROBE, 40), retrieval.lexical(term_index(spark, d), TERMS, 40, "doc_id")], 80).withColumnRenamed("score", "rrf")
+    return retrieval.fused([retrieval.dense(table(spark, d, "embeddings"), PROBE, 40), _lexical(spark, d, "doc_id")], 80).withColumnRenamed("score", "rrf")
 
 
 @query(f"{HYBRID} SELECT id, row_number() OVER (ORDER BY score DESC, id) AS place FROM dense")
@@ -127,10 +141,9 @@ def graph_context(spark, d):
     return e.orderBy(F.desc("asserted_at"), "src_uri", "dst_uri").limit(100).select("src_uri", "dst_uri", "asserted_at")
 
 
-@query(f"WITH {CHUNKS}, {_lexical_sql('chunks', 'chunk_id', 40)}, f AS (SELECT min(id) AS chunk_id, split_part(id, ':', 1)::BIGINT AS doc_id, max(score) AS score FROM lexical GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 6) SELECT doc_id, substr(text, 1, 4000) AS text FROM f JOIN documents USING (doc_id)")
+@query(f"WITH {CHUNKS}, {_lexical_sql('chunks', 'chunk_id', 40)}, f AS (SELECT split_part(id, ':', 1)::BIGINT AS doc_id, min(place) AS place FROM lexical GROUP BY 1 ORDER BY 2 LIMIT 6) SELECT doc_id, substr(text, 1, 4000) AS text FROM f JOIN documents USING (doc_id)")
 def parent_docs(spark, d):
-    hits = retrieval.lexical(term_index(spark, d), TERMS, 40)
-    best = hits.groupBy(F.split_part("id", F.lit(":"), F.lit(1)).cast("long").alias("doc_id")).agg(F.max("score").alias("score")).orderBy(F.desc("score"), "doc_id").limit(6)
+    best = _lexical(spark, d).groupBy(F.split_part("id", F.lit(":"), F.lit(1)).cast("long").alias("doc_id")).agg(F.min("place").alias("place")).orderBy("place").limit(6)
     return table(spark, d, "documents").join(best, "doc_id").select("doc_id", F.substring("text", 1, 4000).alias("text"))
 
 
@@ -199,7 +212,7 @@ def dossier_facts(spark, d):
 def tiered_context(spark, d):
     hits = _hybrid(spark, d)
     tier = lambda df, n, kind: df.select(F.lit(n).alias("tier"), F.lit(kind).alias("kind"), F.col("id").cast("string").alias("ref"))
-    words = retrieval.lexical(term_index(spark, d), TERMS, 40, "doc_id")
+    words = _lexical(spark, d, "doc_id")
     return tier(hits.orderBy(F.desc("score"), "id").limit(1), 1, "profile").unionByName(tier(hits, 2, "document")).unionByName(tier(words, 3, "chunk"))
 
 
