@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import running
 from .model import CHUNKS, GRAPH, NODES, chunks, edges, nodes, table
 from .registry import query
 
@@ -187,7 +188,7 @@ def degraded_job_alert(spark, d):
 # ---- windows -------------------------------------------------------------------------------------------------------
 @query(f"WITH {CHUNKS} SELECT chunk_id, count(*) OVER (PARTITION BY owner_id) AS total FROM chunks WHERE min_rank = 0")
 def count_over_total(spark, d):
-    return chunks(spark, d).filter("min_rank = 0").select("chunk_id", F.count("*").over(Window.partitionBy("owner_id")).alias("total"))
+    return running.with_total(chunks(spark, d).filter("min_rank = 0").select("chunk_id", "owner_id"), "owner_id").select("chunk_id", "total")
 
 
 @query("SELECT DISTINCT ON (user_id) user_id, event_id FROM events ORDER BY user_id, ts, event_id")
@@ -215,16 +216,13 @@ VERSIONS = "s AS (SELECT source || '/' || lang AS path, doc_id, sha256(text) AS
 
 
 def _versions(spark, d):
-    w = Window.partitionBy("path").orderBy("doc_id")
     s = table(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("path"), "doc_id", F.sha2("text", 256).alias("hash"))
-    changed = F.when(F.lag("hash").over(w).isNull() | (F.lag("hash").over(w) != F.col("hash")), 1).otherwise(0)
-    return s.withColumn("changed", changed).withColumn("version", F.sum("changed").over(w).cast("long"))
+    return running.versions(s, "path", "doc_id", "hash")
 
 
 @query(f"WITH {VERSIONS} SELECT path, doc_id, version::BIGINT AS version, lead(doc_id) OVER (PARTITION BY path ORDER BY doc_id) IS NULL AS latest FROM v")
 def doc_version_chain(spark, d):
-    v = _versions(spark, d)
-    return v.select("path", "doc_id", "version", F.lead("doc_id").over(Window.partitionBy("path").orderBy("doc_id")).isNull().alias("latest"))
+    return _versions(spark, d).select("path", "doc_id", "version", "latest")
 
 
 @query(f"WITH {VERSIONS} SELECT doc_id, version::BIGINT AS version, substr(hash, 1, 12) AS hash FROM v WHERE path = 'src0/en'")
@@ -234,7 +232,7 @@ def source_doc_versions(spark, d):
 
 @query(f"WITH {VERSIONS} SELECT path, doc_id FROM v WHERE before IS NULL OR before <> hash")
 def change_detection(spark, d):
-    return _versions(spark, d).filter("changed = 1").select("path", "doc_id")
+    return _versions(spark, d).filter("changed").select("path", "doc_id")
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 200")
