@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vector as V
-
-
-def dense(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id") -> DataFrame:
-    """The k rows nearest to a vector by cosine, rounded to six places, ties by id; a task keeps k at most."""
-    score = F.round(V.cosine(F.col("embedding"), F.array(*map(F.lit, query))), 6)
-    return vectors.select(F.col(id_col).alias("id"), score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def fused(channels: list[DataFrame], k: int, base: int = 60) -> DataFrame:
@@ -39,49 +30,3 @@ def names_in(texts: DataFrame, text_col: str, names: DataFrame, name_col: str) -
     n = names.withColumn("__name", line(F.col(name_col))).filter("__name <> '  '").withColumn("__word", F.array_join(F.slice(T.tokens(F.col(name_col)), 1, 2), " "))
     t = texts.withColumn("__text", line(F.col(text_col))).withColumn("__word", F.explode(F.array_union(words, pairs)))
     return t.join(n, "__word").filter(F.contains("__text", "__name")).drop("__word", "__text", "__name")
-
-
-#: Vectors of a block that meet another block's in one task.
-LEAF = 4096
-
-
-def _nearest(k: int, least: float):
-    def run(rows: pa.Table) -> pa.Table:
-        block, ids = rows.column("block").to_numpy(), rows.column("vec_id").to_numpy()
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        size = np.array([len(v) for v in rows.column("embedding").to_pylist()])
-        a, b, s = [], [], []
-        for d in np.unique(size):
-            some = np.flatnonzero(size == d)
-            m = np.array(rows.column("embedding").take(pa.array(some)).to_pylist(), dtype=np.float64).reshape(len(some), d)
-            norm = np.sqrt((m * m).sum(axis=1))
-            own, own_block = ids[some], block[some]
-            left, right = np.flatnonzero(own_block == i), np.flatnonzero(own_block == j)
-            for from_, to in ((left, right), (right, left))[: 1 if i == j else 2]:
-                for at in range(0, len(from_), 512):
-                    part = from_[at : at + 512]
-                    score = np.round(m[part] @ m[to].T / norm[part][:, None] / norm[to][None, :], 6)
-                    score[(own[part][:, None] == own[to][None, :]) | ~(score > least)] = -np.inf
-                    kth = -np.partition(-score, min(k, score.shape[1]) - 1, axis=1)[:, min(k, score.shape[1]) - 1] if score.shape[1] else np.zeros(len(part))
-                    r, c = np.nonzero((score >= kth[:, None]) & (score > -np.inf))
-                    a.append(own[part][r]), b.append(own[to][c]), s.append(score[r, c])
-        join = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
-        return pa.table({"a": join(a, pa.int64()), "b": join(b, pa.int64()), "score": join(s, pa.float64())})
-
-    return run
-
-
-def nearest_pairs(vectors: DataFrame, block: str, k: int, least: float) -> DataFrame:
-    """a, b, score: of each vector its k nearest others of the same block by cosine (six places), with a score above `least`; ties by id.
-
-    A block of more than LEAF vectors is dealt out in parts of which every two meet in one task as matrices; a task
-    keeps what ties with or beats a vector's own k-th score there.
-    """
-    v = vectors.select(F.col(block).alias("key"), "vec_id", "embedding", V.norm(F.col("embedding")).alias("norm")).filter("norm > 0").drop("norm")
-    parts = v.groupBy(F.col("key").alias("g")).agg(F.ceil(F.count("*") / LEAF).cast("int").alias("parts"))
-    v = v.join(parts, F.col("key").eqNullSafe(F.col("g"))).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    dealt = v.select("key", "vec_id", "embedding", "block", F.inline(meets))
-    near = dealt.groupBy("key", "i", "j").applyInArrow(_nearest(k, least), "a long, b long, score double")
-    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
-    return near.withColumn("place", place).filter(F.col("place") <= k).drop("place")

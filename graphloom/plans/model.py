@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
-from ..operators import lexical
+from ..operators import lexical, vector_index
 from ..operators.lineage import shared_dir
 
 OWNER = "0123456789ab"
@@ -40,13 +40,15 @@ def _state(spark: SparkSession, sf_dir: str, tables: tuple) -> tuple:
     return tuple(out)
 
 
-def _store(spark: SparkSession, sf_dir: str, kind: str, tables: tuple, **parts: Callable[[SparkSession, str], DataFrame]) -> str:
+def _store(spark: SparkSession, sf_dir: str, kind: str, tables: tuple, write: Callable[[SparkSession, str, str], None] | None = None, **parts: Callable[[SparkSession, str], DataFrame]) -> str:
     """The folder of tables made on first use, as a store is loaded once and read often; made anew where the tables have changed."""
     key = spark.sparkContext.applicationId, kind, sf_dir, _state(spark, sf_dir, tables)
     if key not in _stored:
         at = f"{shared_dir(spark)}/graphloom/{kind}-{uuid.uuid4().hex}"
         for name, made in parts.items():
             made(spark, sf_dir).write.parquet(f"{at}/{name}")
+        if write:
+            write(spark, sf_dir, at)
         _stored[key] = at
     return _stored[key]
 
@@ -65,6 +67,30 @@ def term_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     return lexical.Index(spark.read.parquet(f"{at}/rows"), spark.read.parquet(f"{at}/limits"))
 
 
+#: Components of the vectors that the vector index holds.
+DIMS = 64
+
+
+def vector_index_of(spark: SparkSession, sf_dir: str) -> vector_index.Index:
+    """The stored index of embeddings (with label and owner), sorted by cell and angle, so that a search reads the row groups of its cells."""
+    at = _store(spark, sf_dir, "vectors", ("embeddings", "documents"), write=_made_vectors)
+    rows = spark.read.parquet(f"{at}/rows")
+    if at not in _cells:
+        _cells[at] = vector_index.Index(rows, spark.read.parquet(f"{at}/cells"))
+    return _cells[at]
+
+
+#: Indexes that this process has opened, by folder.
+_cells: dict[str, vector_index.Index] = {}
+
+
+def _made_vectors(spark: SparkSession, sf_dir: str, at: str) -> None:
+    owners = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("owner"))
+    rows, centres = vector_index.placed(table(spark, sf_dir, "embeddings").join(owners, "vec_id", "left"), DIMS)
+    rows.repartitionByRange("cell", "angle").sortWithinPartitions("cell", "angle").write.parquet(f"{at}/rows")
+    vector_index.sized(spark.read.parquet(f"{at}/rows"), centres).write.parquet(f"{at}/cells")
+
+
 def _made_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = table(spark, sf_dir, "documents").count() // BLOCK + 1
     return lexical.postings(chunks(spark, sf_dir), blocks).repartitionByRange("term", "block", "chunk_id").sortWithinPartitions("term", "block")

@@ -12,7 +12,7 @@ from ..operators import memory, relations, retrieval
 from ..operators import resolution as R
 from ..operators.link_specs import LinkSpec
 from .function_queries import CRON, LETTERS, NEXT_SQL, STOP, SYNONYMS, VECTORS
-from .model import CHUNKS, GRAPH, NODES, chunks, edges, nodes, table, term_index
+from .model import CHUNKS, GRAPH, NODES, chunks, edges, nodes, table, term_index, vector_index_of
 from .registry import query
 
 #: A query vector that both engines can spell.
@@ -43,15 +43,19 @@ def _docs(spark, d):
     return table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
 
 
+def _dense(spark, d):
+    return vector_index_of(spark, d).search(PROBE, 40).hits
+
+
 # ---- retrieval -----------------------------------------------------------------------------------------------------
 @query(f"WITH {DENSE} SELECT id, score FROM dense")
 def dense_search(spark, d):
-    return retrieval.dense(table(spark, d, "embeddings"), PROBE, 40)
+    return _dense(spark, d)
 
 
 @query(f"WITH {DENSE} SELECT id, score FROM dense WHERE score >= 0.1")
 def dense_search_threshold(spark, d):
-    return retrieval.dense(table(spark, d, "embeddings"), PROBE, 40).filter("score >= 0.1")
+    return _dense(spark, d).filter("score >= 0.1")
 
 
 def _lexical(spark, d, id_col="chunk_id"):
@@ -69,7 +73,7 @@ HYBRID = f"WITH {DENSE}, {DOC_ROWS}, {_lexical_sql('dr', 'doc_id', 40)}, rr AS (
 
 
 def _hybrid(spark, d):
-    return retrieval.fused([retrieval.dense(table(spark, d, "embeddings"), PROBE, 40), _lexical(spark, d, "doc_id")], 20)
+    return retrieval.fused([_dense(spark, d), _lexical(spark, d, "doc_id")], 20)
 
 
 @query(f"{HYBRID} SELECT id, score FROM fused")
@@ -79,19 +83,19 @@ def hybrid_rrf(spark, d):
 
 @query(f"{HYBRID} SELECT id, round(sum(s), 6) AS rrf FROM rr GROUP BY 1")
 def rrf_score(spark, d):
-    return retrieval.fused([retrieval.dense(table(spark, d, "embeddings"), PROBE, 40), _lexical(spark, d, "doc_id")], 80).withColumnRenamed("score", "rrf")
+    return retrieval.fused([_dense(spark, d), _lexical(spark, d, "doc_id")], 80).withColumnRenamed("score", "rrf")
 
 
 @query(f"{HYBRID} SELECT id, row_number() OVER (ORDER BY score DESC, id) AS place FROM dense")
 def rrf_rank(spark, d):
-    c = retrieval.dense(table(spark, d, "embeddings"), PROBE, 40)
+    c = _dense(spark, d)
     return c.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long").alias("place"))
 
 
 @query(f"{HYBRID} SELECT f.id, coalesce(dense.score, 0.35) AS score FROM fused f LEFT JOIN dense USING (id)")
 def search(spark, d):
     """The fused hits with their dense score, or the floor of hits that only words found."""
-    near = retrieval.dense(table(spark, d, "embeddings"), PROBE, 40)
+    near = _dense(spark, d)
     return _hybrid(spark, d).select("id").join(near, "id", "left").select("id", F.coalesce("score", F.lit(0.35)).alias("score"))
 
 
@@ -281,7 +285,19 @@ def mutual_best_join(spark, d):
 
 @query(f"WITH {SCORED} SELECT a, b, score AS confidence FROM sc QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1 AND row_number() OVER (PARTITION BY b ORDER BY score DESC, a) = 1 AND score >= 0.3")
 def er_embedding(spark, d):
-    return R.mutual_best(_scored(spark, d)).filter("score >= 0.3").withColumnRenamed("score", "confidence")
+    """Each other's best of one kind at .3 or more; whose best lies below takes no part, so pairs above are enough."""
+    p = vector_index_of(spark, d).pairs(0.2999995, "label").filter("a % 2 <> b % 2")
+    even = F.col("a") % 2 == 0
+    p = p.select(F.when(even, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(even, F.col("b")).otherwise(F.col("a")).alias("b"), "score")
+    return R.mutual_best(p).filter("score >= 0.3").withColumnRenamed("score", "confidence")
+
+
+def _near(spark, d):
+    """Of each vector its 8 nearest of the same label with a cosine above .3."""
+    p = vector_index_of(spark, d).pairs(0.3, "label")
+    both = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
+    return both.withColumn("place", place).filter("place <= 8").drop("place")
 
 
 NEAR = f"{VECTORS}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (a.norm * b.norm), 6) AS score FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id), near AS (SELECT a, b, score FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 8), kept AS (SELECT * FROM near WHERE score > 0.3)"
@@ -289,7 +305,7 @@ NEAR = f"{VECTORS}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(li
 
 @query(f"WITH {NEAR} SELECT a, b, score FROM kept")
 def vector_nn_join(spark, d):
-    return retrieval.nearest_pairs(table(spark, d, "embeddings"), "label", 8, 0.3)
+    return _near(spark, d)
 
 
 CC = f"WITH RECURSIVE {NEAR}, u AS (SELECT a, b FROM kept UNION SELECT b, a FROM kept), reach AS (SELECT a AS node, a AS r FROM u UNION SELECT reach.node, u.b FROM reach JOIN u ON u.a = reach.r), cc AS (SELECT node, min(r) AS cluster FROM reach GROUP BY 1)"
@@ -297,13 +313,24 @@ CC = f"WITH RECURSIVE {NEAR}, u AS (SELECT a, b FROM kept UNION SELECT b, a FROM
 
 @query(f"{CC} SELECT node, cluster FROM cc")
 def connected_components(spark, d):
-    return R.components(retrieval.nearest_pairs(table(spark, d, "embeddings"), "label", 8, 0.3))
+    return R.components(_near(spark, d))
+
+
+#: Cosine above which two chunks of one owner are the same passage.
+SAME = 0.92
+DEDUP = f"WITH RECURSIVE {VECTORS}, o AS (SELECT n.*, source AS owner FROM n LEFT JOIN documents ON doc_id = vec_id WHERE norm > 0), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM o a JOIN o b ON a.owner IS NOT DISTINCT FROM b.owner AND a.vec_id <> b.vec_id AND round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (a.norm * b.norm), 6) > {SAME}), r AS (SELECT vec_id AS node, vec_id AS other FROM o UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.other), cc AS (SELECT node, min(other) AS cluster FROM r GROUP BY 1)"
 
 
-@query(f"{CC} SELECT cluster, max(node) AS canonical, count(*) AS members, count(*) - 1 AS archived FROM cc GROUP BY 1")
+@query(f"{DEDUP} SELECT cluster, arg_max(node, (100 * (node % 4), node % 11, -node)) AS canonical, count(*) AS members, count(*) - 1 AS archived, list_sort(list(DISTINCT 'job' || (node % 8))) AS source_jobs FROM cc GROUP BY 1")
 def semantic_dedup(spark, d):
-    cc = R.components(retrieval.nearest_pairs(table(spark, d, "embeddings"), "label", 8, 0.3))
-    return cc.groupBy("cluster").agg(F.max("node").alias("canonical"), F.count("*").alias("members"), (F.count("*") - 1).alias("archived"))
+    """Chunks of one owner that are the same passage: the one of the highest rank, then heat, then least id stays, with the jobs of all."""
+    index = vector_index_of(spark, d)
+    cc = R.components(index.pairs(SAME, "owner")).withColumnRenamed("node", "vec_id")
+    rows = index.rows.select("vec_id").join(cc, "vec_id", "left").withColumn("cluster", F.coalesce("cluster", "vec_id"))
+    best = F.max(F.struct((100 * (F.col("vec_id") % 4)).alias("rank"), (F.col("vec_id") % 11).alias("heat"), (-F.col("vec_id")).alias("id")))
+    jobs = rows.select("cluster", F.concat(F.lit("job"), (F.col("vec_id") % 8).cast("string")).alias("job")).distinct().groupBy("cluster").agg(F.array_sort(F.collect_list("job")).alias("source_jobs"))
+    out = rows.groupBy("cluster").agg(best.alias("best"), F.count("*").alias("members")).join(jobs, "cluster")
+    return out.select("cluster", (-F.col("best.id")).alias("canonical"), "members", (F.col("members") - 1).alias("archived"), "source_jobs")
 
 
 EXACT = f"WITH RECURSIVE {REC}, {NODES}, l AS (SELECT x.uri AS a, y.uri AS b FROM rec x JOIN rec y ON lower(x.name) = lower(y.name) AND x.uri % 2 = 0 AND y.uri % 2 = 1), ends AS (SELECT r.uri, lower(r.name) AS k FROM rec r WHERE r.uri IN (SELECT a FROM l UNION SELECT b FROM l)), cl AS (SELECT uri, min(uri) OVER (PARTITION BY k) AS cluster FROM ends)"
