@@ -189,28 +189,11 @@ def backfill_folder_hygiene(spark, d):
     return f.select("id", F.when(F.col("id") != F.col("parent_id"), F.col("parent_id")).alias("parent_id"))
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id IS NOT NULL)")
-def debounced_refresh(spark, d):
-    """Refreshes that are asked for, but for those that are pending."""
-    e = table(spark, d, "events")
-    return e.filter("event_type = 'purchase'").select("user_id").distinct().join(e.filter("event_type = 'error'").select("user_id"), "user_id", "left_anti")
-
-
 @query(f"WITH {CHUNKS} SELECT owner_id, count(*) AS chunks FROM chunks GROUP BY 1")
 def reindex_queue(spark, d):
     return chunks(spark, d).groupBy("owner_id").agg(F.count("*").alias("chunks"))
 
 
-@query("SELECT event_type AS channel, arg_max(event_id, (ts, event_id)) AS last FROM events GROUP BY 1")
-def result_subscriber(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("channel")).agg(F.max(F.struct("ts", "event_id"))["event_id"].alias("last"))
-
-
-@query("SELECT date_trunc('day', ts) AS tick, count(*) AS due FROM events GROUP BY 1")
-def periodic_ticks(spark, d):
-    return table(spark, d, "events").groupBy(F.date_trunc("day", "ts").alias("tick")).agg(F.count("*").alias("due"))
-
-
 @query("SELECT p_partkey, 'the name is ' || p_name || chr(10) || 'made by ' || p_brand AS text FROM part")
 def src_obsidian(spark, d):
     note = F.concat(F.lit("---\ntag: x\n---\n# the name is *"), "p_name", F.lit("*\nmade by [["), "p_brand", F.lit("]]"))

@@ -547,12 +547,6 @@ def usage_reserve(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.greatest(F.lit(0), F.floor("c_acctbal") - 500).cast("long").alias("tokens"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'view' AND ts < TIMESTAMP '2024-01-15' - INTERVAL 5 MINUTE THEN 'failed' WHEN event_type = 'click' AND ts < TIMESTAMP '2024-01-15' - INTERVAL 10 MINUTE AND user_id % 3 > 0 THEN 'failed' ELSE event_type END AS status FROM events")
-def stale_job_recovery(spark, d):
-    stale = F.expr("event_type = 'view' AND ts < timestamp_ntz'2024-01-15' - INTERVAL 5 MINUTE OR event_type = 'click' AND ts < timestamp_ntz'2024-01-15' - INTERVAL 10 MINUTE AND user_id % 3 > 0")
-    return table(spark, d, "events").select("event_id", F.when(stale, "failed").otherwise(F.col("event_type")).alias("status"))
-
-
 @query("SELECT conv_id, string_agg(substr(text, 1, 600), chr(10) ORDER BY turn) AS transcript FROM (SELECT * FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 120) GROUP BY 1")
 def profile_distill(spark, d):
     """The transcript that a profile is distilled from: the user's own messages in order, 600 characters of each, the last 120, cut before they are collected."""

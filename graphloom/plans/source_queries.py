@@ -10,7 +10,7 @@ from ..functions.text import html_text
 from ..operators import communities, edit_join, graph, resolution, sequences
 from ..operators.lineage import shared_dir
 from ..sources import exports, files
-from ..streaming import ingest
+from ..streaming import ingest, timers
 from .model import CHUNKS, GRAPH, NODES, chunks, edges, nodes, table
 from .registry import query
 
@@ -204,9 +204,58 @@ def ingest_queue(spark, d):
     at = f"{shared_dir(spark)}/graphloom/queue-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").select("user_id", "event_id")
-    q = ingest.upsert_queue(stream, f"{at}/target", "user_id", "event_id", f"{at}/checkpoint")
-    q.awaitTermination()
-    return spark.read.parquet(f"{at}/target/v{q.lastProgress['batchId']}") if q.lastProgress else spark.createDataFrame([], "user_id long, event_id long")
+    ingest.upsert_queue(stream, f"{at}/target", "user_id", "event_id", f"{at}/checkpoint", 16).awaitTermination()
+    return spark.read.schema("user_id long, event_id long").parquet(f"{at}/target").select("user_id", "event_id")
+
+
+def _event_stream(spark, d, kind, key="user_id"):
+    """The events as a stream: key, ts, kind (rows without are left out)."""
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    return stream.select(F.col(key).cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.expr(kind).alias("kind")).filter("kind IS NOT NULL")
+
+
+def _run(spark, stream):
+    """What the stream has appended to a target in the shared folder."""
+    at = f"{shared_dir(spark)}/graphloom/stream-{uuid.uuid4().hex}"
+    timers.run_once(stream, f"{at}/target", f"{at}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{at}/target")
+
+
+ASKED = "CASE event_type WHEN 'purchase' THEN 'ask' WHEN 'error' THEN 'done' END"
+
+
+@query(f"WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, {ASKED} AS kind FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, kind) AS i FROM e WHERE kind IS NOT NULL), r AS (SELECT user_id, i, kind = 'ask' AS made, ms, CASE WHEN kind = 'ask' THEN ms + 86400000 END AS until FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, o.kind = 'ask' AND coalesce(o.ms >= r.until, true), o.ms, CASE WHEN o.kind = 'done' THEN NULL WHEN coalesce(o.ms >= r.until, true) THEN o.ms + 86400000 ELSE r.until END FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1) SELECT user_id::VARCHAR AS key, ms AS at FROM r WHERE made")
+def debounced_refresh(spark, d):
+    """Refreshes as a stream makes them: at once where none is pending, which lasts until it is done or a day has passed."""
+    timers.use_timers(spark)
+    return _run(spark, timers.debounced(_event_stream(spark, d, ASKED), 86_400_000))
+
+
+STATUS = "CASE event_type WHEN 'purchase' THEN 'processing' WHEN 'click' THEN 'pending' ELSE 'done' END"
+
+
+@query(f"WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, {STATUS} AS status FROM events), w AS (SELECT max(ms) AS last FROM e), l AS (SELECT *, lead(ms) OVER (PARTITION BY user_id ORDER BY ms, status) AS next, ms + CASE status WHEN 'processing' THEN 300000 WHEN 'pending' THEN 600000 END AS due FROM e) SELECT user_id::VARCHAR AS key, status, due AS at FROM l, w WHERE next > due OR (next IS NULL AND due <= last)")
+def stale_job_recovery(spark, d):
+    """Jobs that say nothing for five minutes in work, or ten while they wait, fail by a timer in the stream."""
+    timers.use_timers(spark)
+    return _run(spark, timers.fallen_silent(_event_stream(spark, d, STATUS), {"processing": 300_000, "pending": 600_000}))
+
+
+@query("WITH e AS (SELECT event_type, epoch_us(ts) // 1000 AS ms FROM events), t AS (SELECT event_type, ms - ms % 3600000 AS tick, count(*) AS n FROM e GROUP BY 1, 2) SELECT event_type AS key, tick AS at, n FROM t WHERE tick + 3600000 <= (SELECT max(ms) FROM e)")
+def periodic_ticks(spark, d):
+    """What is due at each full hour, told by a timer when the hour ends."""
+    timers.use_timers(spark)
+    return _run(spark, timers.ticks(_event_stream(spark, d, "event_type", "event_type"), 3_600_000))
+
+
+@query("SELECT event_type AS channel, arg_max(event_id, (ts, event_id)) AS last FROM events GROUP BY 1")
+def result_subscriber(spark, d):
+    """Status changes of all channels, batch by batch, into a table of each channel's last."""
+    at = f"{shared_dir(spark)}/graphloom/results-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    rows = stream.select(F.col("event_type").alias("channel"), F.struct("ts", "event_id").alias("at"))
+    ingest.upsert_queue(rows, f"{at}/target", "channel", "at", f"{at}/checkpoint", 4).awaitTermination()
+    return spark.read.schema("channel string, at struct<ts: timestamp_ntz, event_id: bigint>").parquet(f"{at}/target").select("channel", F.col("at.event_id").alias("last"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, sum(round(value, 2)::DECIMAL(18, 2)) AS spent FROM events GROUP BY 1, 2")

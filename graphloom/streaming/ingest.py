@@ -9,22 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.lineage import cut
+
 
 def file_stream(spark: SparkSession, path: str, schema, per_trigger: int = 10) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def upsert_queue(stream: DataFrame, target: str, key: str, newest: str, checkpoint: str) -> StreamingQuery:
-    """Keep the newest row of each key under target/v<batch>, each version a whole table; a batch that is run again writes the same version."""
+def upsert(rows: DataFrame, target: str, key: str, newest: str, buckets: int = 256) -> None:
+    """Keep the newest row of each key in a target partitioned by the key's hash: only the partitions of keys that came are read and rewritten.
+
+    The rewrite replaces whole partitions when it commits, and the newest row is the newest again if it is repeated.
+    """
+    spark = rows.sparkSession
+    rows = cut(rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).groupBy(key).agg(F.max_by(F.struct("*"), newest).alias("r")).select("r.*"))
+    touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most `buckets`
+    if not touched:
+        return
+    if exists(spark, target):
+        had = spark.read.schema(rows.schema).parquet(target).filter(F.col("bucket").isin(touched))
+        rows = rows.unionByName(had).groupBy(key).agg(F.max_by(F.struct("*"), newest).alias("r")).select("r.*")
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
-    def batch(rows: DataFrame, n: int) -> None:
-        spark = rows.sparkSession
-        if n:
-            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{target}/v{n - 1}"))
-        latest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), newest).alias("r")).select("r.*")
-        latest.write.mode("overwrite").parquet(f"{target}/v{n}")
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def upsert_queue(stream: DataFrame, target: str, key: str, newest: str, checkpoint: str, buckets: int = 256) -> StreamingQuery:
+    """Keep the newest row of each key in target, batch by batch; work follows the partitions that a batch touches."""
+    return each_batch(stream, lambda rows, _: upsert(rows, target, key, newest, buckets), checkpoint)
 
 
 def each_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
