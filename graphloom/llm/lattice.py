@@ -288,7 +288,7 @@ def _short(word: bytes) -> bytes:
     return word if len(word) <= LONG else b" " + md5(word).digest()
 
 
-_memo: dict[int, dict[bytes, float]] = {}
+_memo: dict[int, dict[bytes, tuple]] = {}
 
 
 def _score(shared, head, end: float, with_tail: bool, limit: int = 300_000):
@@ -297,21 +297,29 @@ def _score(shared, head, end: float, with_tail: bool, limit: int = 300_000):
         if shared.value[2] not in _memo:  # kept from task to task, for one model; full once the frequent words are in
             _memo.clear()
         memo = _memo.setdefault(shared.value[2], {})
-        log10 = {w: float(np.log10(n + 1.0)) for w, n in known.items()}
         for b in slices(batches, 1024):
             docs = [Counter(_words(x)) for x in b.column(2).to_pylist()]
             new = list({w for c in docs for w in c if w not in memo})
-            found = dict(zip(new, lattice.log_probability([b" " + w for w in new]).tolist()))
+            counts = [known.get(_short(w)) for w in new]
+            # of a word: logarithm of its probability, log10 of its count in the head and one (None: not in the head)
+            found = dict(zip(new, zip(lattice.log_probability([b" " + w for w in new]).tolist(), (None if n is None else math.log10(n + 1.0) for n in counts))))
             if len(memo) < limit:
                 memo.update(x for x in found.items() if len(x[0]) <= LONG)
-            value = lambda w: memo[w] if w in memo else found[w]
-            n = [sum(c.values()) for c in docs]
-            score = [(sum(k * value(w) for w, k in c.items()) + end) / LN10 for c in docs]
-            base = [sum(k * log10[_short(w)] for w, k in c.items() if _short(w) in log10) for c in docs]
-            rare = [[x for x in c.items() if _short(x[0]) not in known] for c in docs]
-            hit = [total - sum(k for _, k in x) for total, x in zip(n, rare)]
-            flat = [x for one in rare for x in one] if with_tail else []
-            ends = np.cumsum([0] + [len(x) if with_tail else 0 for x in rare])
+            n, hit, base, score, flat, ends = [], [], [], [], [], [0]
+            for c in docs:
+                total, of_head, log10, logp, rare = sum(c.values()), 0, 0.0, end, []
+                for w, k in c.items():
+                    p, share = memo.get(w) or found[w]
+                    logp += k * p
+                    if share is None:
+                        rare.append((w, k))
+                    else:
+                        of_head += k
+                        log10 += k * share
+                n.append(total), hit.append(of_head), base.append(log10), score.append(logp / LN10)
+                if with_tail:
+                    flat += rare
+                ends.append(len(flat))
             pairs = pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()), pa.array([k for _, k in flat], pa.int64())], ["w", "k"])
             row += len(n)
             yield pa.RecordBatch.from_arrays([pa.array(range(row - len(n), row), pa.int64()), b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], ["row", "doc_id", "held_out", "words", "hit", "base", "score", "tail"])
