@@ -44,6 +44,8 @@ SKETCH_BITS, CHUNK = 20, 4096
 BITMAP = 1024
 #: Rows of a region (of a few hundred bytes each) that meet in one task; a larger one is joined block by block.
 LEAF = 4096
+#: Open regions of a row up to which it carries their list, so that a pair is told in the first region that both are in only; a row in more tells its pairs in all.
+LISTED = 512
 #: Sketches that are added up by one task at most are about this many, in two steps.
 SALTS = 1024
 #: Shingles that more documents than this may hold are parted by sums over sizes; fewer are sorted by one task.
@@ -160,14 +162,17 @@ def _bounds(n: np.ndarray, m: np.ndarray, i: int) -> np.ndarray:
 
 
 def _region_pairs(threshold: float):
-    """Rows (s, x, n, small, part, r, block, i, j) sorted by s, i, j -> (u, v, null) and (x, null, window).
+    """Rows (s, x, n, small, part, r, block, i, j, regions) sorted by s, i, j -> (u, v, null) and (x, null, window).
 
     u > v: pairs of different parts that bounds allow to be linked. window: the least distance from x that a member of
     its cell with a link to a cell of another part can have, where the cell has a member at that distance or beyond
     (none for two cells without members, whose only pair is the first kind). Rows of block i meet those of block j.
     """
 
-    def two(a, b):
+    def first(a, b, s):
+        return a[8] is None or b[8] is None or min(set(a[8]) & set(b[8])) == s
+
+    def two(a, b, s):
         total, radii = a[1] + b[1], a[4] + b[4]
         if a[3] == b[3] or (a[5] == b[5]) != (a[6] == a[7]):
             return
@@ -175,27 +180,28 @@ def _region_pairs(threshold: float):
         d = max(1 - min(a[1], b[1]) / max(a[1], b[1]), 2 * apart / (total + apart))
         if d > threshold + radii + 1e-9:
             return
-        if d <= threshold + 1e-9:
+        if d <= threshold + 1e-9 and first(a, b, s):
             yield max(a[0], b[0]), min(a[0], b[0]), None
         for own, other in ((a, b), (b, a)):
             if radii and own[4] + 1e-9 >= d - threshold - other[4]:
                 yield own[0], None, d - threshold - other[4]
 
-    def pairs(rows: list[tuple]):
+    def pairs(rows: list[tuple], s: int | None):
         if len(rows) < 3:
             if len(rows) == 2:
-                yield from two(*rows)
+                yield from two(*rows, s)
             return
         if len({r[3] for r in rows}) < 2:
             return
         x, n, part, radius, block = (np.array([r[i] for r in rows]) for i in (0, 1, 3, 4, 5))
         m = np.stack([np.frombuffer(r[2], np.uint16) for r in rows])
-        first, second = rows[0][6], rows[0][7]
+        one, other = rows[0][6], rows[0][7]
         window = np.full(len(rows), np.inf)
-        for i in np.flatnonzero(block == first):
+        for i in np.flatnonzero(block == one):
             d = _bounds(n, m, i)
-            ok = (part != part[i]) & (x < x[i] if first == second else block == second) & (d <= threshold + radius + radius[i] + 1e-9)
-            yield from ((max(x[i], y), min(x[i], y), None) for y in x[ok & (d <= threshold + 1e-9)].tolist())
+            ok = (part != part[i]) & (x < x[i] if one == other else block == other) & (d <= threshold + radius + radius[i] + 1e-9)
+            near = np.flatnonzero(ok & (d <= threshold + 1e-9)).tolist()
+            yield from ((max(int(x[i]), int(x[j])), min(int(x[i]), int(x[j])), None) for j in near if first(rows[i], rows[j], s))
             ok &= radius + radius[i] > 0
             window[i] = min(window[i], (d - threshold - radius)[ok].min(initial=np.inf))
             window[ok] = np.minimum(window[ok], (d - threshold - radius[i])[ok])
@@ -205,14 +211,14 @@ def _region_pairs(threshold: float):
         region, rows, got = None, [], []
         for b in slices(batches, 4096):
             for s, *row in zip(*(c.to_pylist() for c in b.columns)):
-                at = s, row[-2], row[-1]
+                at = s, row[6], row[7]
                 if at != region:
-                    got += pairs(rows)
+                    got += pairs(rows, region and region[0])
                     region, rows = at, []
                 rows.append(tuple(row))
             yield _batch(got)
             got = []
-        yield _batch(list(pairs(rows)))
+        yield _batch(list(pairs(rows, region and region[0])))
 
     def _batch(got):
         return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["u", "v", "window"])
@@ -251,9 +257,10 @@ def _cross(rows: DataFrame, about: DataFrame, threshold: float) -> DataFrame:
     large = sizes.filter("blocks > 1").withColumnRenamed("s", "l")  # at most one in LEAF of the rows
     rows = rows.join(large, F.col("s") == F.col("l"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = rows.select("s", "x", "part", "r", "block", F.inline(meets))
+    regions = rows.groupBy("x").agg(F.collect_list("s").alias("regions")).select("x", F.when(F.size("regions") <= LISTED, F.col("regions")).alias("regions"))
+    dealt = rows.select("s", "x", "part", "r", "block", F.inline(meets)).join(regions, "x")
     about = parted(about, "x", rows)[0].mapInArrow(_small, "x long, n long, small binary")
-    dealt = dealt.join(about, "x").select("s", "x", "n", "small", "part", "r", "block", "i", "j").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
+    dealt = dealt.join(about, "x").select("s", "x", "n", "small", "part", "r", "block", "i", "j", "regions").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
     said = dealt.mapInArrow(_region_pairs(threshold), "u long, v long, window double")
     return said.groupBy("u", "v").agg(F.min("window").alias("window"))
 
@@ -379,6 +386,15 @@ def _summed_regions(posts: DataFrame) -> DataFrame:
     return rows.join(least, "s").select("s", "x", "p", "n", "n_p")
 
 
+def _open_regions(rows: DataFrame) -> DataFrame:
+    """s of the regions of rows s, x, part that are not connected; of regions with the same members (as texts that share a passage share all of its shingles) one.
+
+    Members are compared by their number and two 64-bit hashes of all of them.
+    """
+    each = rows.groupBy("s").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("x")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "x")).alias("h2"))
+    return each.filter("a <> b").groupBy("n", "h", "h2").agg(F.min("s").alias("s")).select("s")
+
+
 def _classes(docs: DataFrame, width: int, percent: int, work: Tables) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, class, first of every row; class, first, best of every class): best is the least `first` that links reach."""
     corpus = _Corpus(docs, width, percent, work)
@@ -397,9 +413,8 @@ def _classes(docs: DataFrame, width: int, percent: int, work: Tables) -> tuple[D
     parts = components(edges, work, "parts").withColumnsRenamed({"u": "x", "v": "part"})
     some = members.join(cells, "x", "left").select("s", F.coalesce("hub", "x").alias("x")).distinct().join(parts, "x", "left").withColumn("part", F.coalesce("part", "x"))
     some = work.write(some, "hubs")
-    open_regions = lambda rows: rows.groupBy("s").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("s")
     about = corpus.classes.select("x", "n", "bits")
-    hubs = some.join(open_regions(some), "s", "left_semi").join(radius, "x", "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
+    hubs = some.join(_open_regions(some), "s", "left_semi").join(radius, "x", "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
     hubs = work.write(hubs, "open-hubs")
     said = work.write(_cross(hubs, about, threshold), "cross")
     edges = work.write(edges.unionByName(corpus.links(said, "between")), "edges-2")
@@ -412,7 +427,7 @@ def _classes(docs: DataFrame, width: int, percent: int, work: Tables) -> tuple[D
     border = work.write(border.join(parts, "x", "left").withColumn("part", F.coalesce("part", "x")), "border")
     rows = work.write(members.join(border, "x"), "border-members")
     work.discard("members", "cross")
-    rows = work.write(rows.join(open_regions(rows), "s", "left_semi").withColumn("r", F.lit(0.0)), "open-members")
+    rows = work.write(rows.join(_open_regions(rows), "s", "left_semi").withColumn("r", F.lit(0.0)), "open-members")
     said = work.write(_cross(rows, about, threshold), "cross-2")
     edges = work.write(edges.unionByName(corpus.links(said, "within")), "edges-3")
     # a class without links is a component of its own
