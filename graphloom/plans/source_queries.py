@@ -164,14 +164,13 @@ def modularity_gain(spark, d):
     return communities.gains(around, kind).select("node", "community", F.round("gain", 6).alias("gain"))
 
 
-SHORT = "ud AS (SELECT src_uri AS uri, dst_uri AS other FROM edges WHERE rel_type = 'LOCATED_IN' UNION ALL SELECT dst_uri, src_uri FROM edges WHERE rel_type = 'LOCATED_IN'), t AS (SELECT uri FROM nodes WHERE type = 'region' AND key = 1)"
-
-
-@query(f"{GRAPH}, {SHORT}, n1 AS (SELECT other AS uri FROM ud WHERE uri IN (SELECT uri FROM t)), n2 AS (SELECT ud.other AS uri FROM ud JOIN n1 USING (uri)) SELECT uri AS start, CASE WHEN uri IN (SELECT uri FROM t) THEN 0 WHEN uri IN (SELECT uri FROM n1) THEN 1 ELSE 2 END::BIGINT AS hops FROM nodes WHERE uri IN (SELECT uri FROM t UNION SELECT uri FROM n1 UNION SELECT uri FROM n2)")
+@query(f"{GRAPH}, vn AS (SELECT uri, type, key FROM nodes WHERE min_rank <= 200), ve AS (SELECT src_uri AS a, dst_uri AS b FROM edges WHERE min_rank <= 200), ud AS (SELECT a AS uri, b AS other FROM ve UNION SELECT b, a FROM ve), st AS (SELECT uri, other FROM ud WHERE other IN (SELECT uri FROM vn)), pr AS (SELECT x.uri AS a, y.uri AS b FROM vn x JOIN vn y ON x.type = 'customer' AND y.type = 'supplier' AND x.key = y.key), r AS (SELECT DISTINCT a AS start, a AS uri, 0 AS hops FROM pr UNION SELECT r.start, st.other, r.hops + 1 FROM r JOIN st ON st.uri = r.uri WHERE r.hops < 5) SELECT a, b, min(hops)::BIGINT AS hops FROM pr JOIN r ON r.start = a AND r.uri = b GROUP BY ALL")
 def shortest_path(spark, d):
-    n, e = nodes(spark, d), edges(spark, d).filter("rel_type = 'LOCATED_IN'")
-    target = n.filter("type = 'region' AND key = 1").select("uri").first()[0]
-    return graph.shortest_paths(n, e, n.select("uri"), target, 8, 300).select("start", "hops")
+    """Hops between every supplier and the customer of the same number, over all that rank 200 may see, five at most."""
+    n = nodes(spark, d)
+    one = lambda kind, name: n.filter(F.col("type") == kind).select("key", F.col("uri").alias(name))
+    pairs = one("customer", "a").join(one("supplier", "b"), "key")
+    return graph.paths_between(n, edges(spark, d), pairs, 5, 200).select("a", "b", "hops")
 
 
 @query("SELECT conv_id, turn, lower(text) AS text FROM conversations")
