@@ -364,9 +364,13 @@ sc AS (SELECT a, b, greatest(CASE WHEN s1 >= 0.55 AND s2 THEN s1 ELSE 0 END, CAS
 spec AS (SELECT a, b, round(score, 6)::DOUBLE AS score FROM sc WHERE score > 0)"""
 
 
+def _spec_records(spark, d):
+    titles = table(spark, d, "part").select(F.col("p_partkey").alias("uri"), F.col("p_name").alias("title"))
+    return [r.join(titles, "uri") for r in _records(spark, d)]
+
+
 def _spec_links(spark, d):
-    x, y = (r.join(table(spark, d, "part").select(F.col("p_partkey").alias("uri"), F.col("p_name").alias("title")), "uri") for r in _records(spark, d))
-    return LinkSpec(SPEC).links(x, y)
+    return LinkSpec(SPEC).links(*_spec_records(spark, d))
 
 
 @query(f"WITH {SPEC_SQL} SELECT a, b, score, CASE WHEN score >= 0.85 THEN 'accept' ELSE 'review' END AS band FROM spec")
