@@ -255,7 +255,7 @@ def classified(docs: DataFrame, labels: DataFrame, limit: float = 0.5, **kw) ->
     """docs with p_low_quality, p_toxic, quality (the chance of neither) and kept (both below `limit`).
 
     Columns of docs by these names are replaced. Missing metadata columns, nulls in any column and empty texts are
-    values like others. Repeated rows get equal scores. No rows give no rows.
+    values like others. Repeated rows get equal scores. No rows give no rows. All words of a text count, however long it is.
     """
     own = docs.drop("p_low_quality", "p_toxic", "quality", "kept")
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **kw))

@@ -109,7 +109,8 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **kw) -> D
     """docs with MEASURES, base_failed and kept; columns of docs by these names are replaced.
 
     Texts are measured twice, for the cutoffs and for the rows, so that they never move. A null or empty text has no
-    words and fails the base rules. Repeated rows are judged each; no rows give no rows.
+    words and fails the base rules. Repeated rows are judged each; no rows give no rows. A text is measured whole; its
+    words and windows are arrays of one row, so a row takes memory in proportion to its text.
     """
     own = docs.drop(*MEASURES, "base_failed", "kept")
     out = _verdict(measured(docs, stratum), labels, with_measures(own), stratum, **kw)

@@ -95,7 +95,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
 
     A null text is linked with nothing and counts as no bytes; empty texts are linked. Repeated rows and null ids are
     rows of their own. Fewer rows than shards leave the last shards empty; no rows give no rows. Which of several
-    equal copies has which slot is not set.
+    equal copies has which slot is not set. A text is only hashed and measured, whole, so its length makes no difference.
+    Other columns are not looked at, whatever their names.
     """
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.length(text) + HEADER_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(F.col("text").cast("binary")).alias("g"))

@@ -288,6 +288,11 @@ def read_keys(keys: DataFrame, folder: str, shards: DataFrame, slots: DataFrame)
 
 
 def token_index_round_trip(docs: DataFrame, tokenizer: str, end_id: int, **kw) -> DataFrame:
-    """Write docs and read every document back by its key."""
+    """Write docs and read every document back by its key: doc_id, start, n_tokens, ids_crc32.
+
+    A null or empty text is its end id alone. A null doc_id is a key of its own, before all others; rows that repeat a
+    key are documents of their own. A long text is encoded whole and may fill a shard by itself. Other columns are not looked
+    at. No rows give no files and no rows.
+    """
     folder, shards, slots = write_index(docs, tokenizer, end_id, **kw)
     return read_keys(docs, folder, shards, slots)
