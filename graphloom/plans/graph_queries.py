@@ -157,15 +157,12 @@ def neighbors_1_2(spark, d):
     return found.join(n.select("uri", "name", "type"), "uri").select("start", "uri", "hops", "name", "type")
 
 
-@query(f"""{SEEN}, o AS (SELECT DISTINCT uri, other FROM ud), t AS (SELECT min(uri) AS uri FROM vn WHERE type = 'part'),
-p AS (SELECT uri AS start, uri, [uri] AS path FROM vn WHERE type = 'region'
-UNION ALL SELECT p.start, o.other, list_append(p.path, o.other) FROM p JOIN o ON o.uri = p.uri WHERE len(p.path) <= 4 AND NOT list_contains(p.path, o.other) AND (o.other LIKE '%/region/%' OR o.other LIKE '%/nation/%' OR o.other LIKE '%/supplier/%'))
-SELECT start, count(DISTINCT uri) AS reached FROM p WHERE uri <> start AND len(path) <= 3 GROUP BY 1""")
+@query(f"{GRAPH}, se AS (SELECT uri FROM nodes WHERE min_rank <= 100 AND (type IN ('nation', 'supplier') OR contains(name, 'widget'))) SELECT src_uri, rel_type, dst_uri FROM edges WHERE min_rank <= 100 AND src_uri IN (SELECT uri FROM se) AND dst_uri IN (SELECT uri FROM se)")
 def subgraph_induced(spark, d):
+    """The edges between the nations, suppliers and widgets that rank 100 may see."""
     n = nodes(spark, d)
-    start = access.visible_nodes(n, 100).filter("type = 'region'").select("uri")
-    few = n.filter(F.col("type").isin("region", "nation", "supplier"))
-    return graph.neighbours(few, edges(spark, d).filter("rel_type = 'LOCATED_IN'"), start, 2, 100).groupBy("start").agg(F.countDistinct("uri").alias("reached"))
+    chosen = n.filter(F.col("type").isin("nation", "supplier") | F.contains("name", F.lit("widget"))).select("uri")
+    return graph.induced(n, edges(spark, d), chosen, 100)[1].select("src_uri", "rel_type", "dst_uri")
 
 
 @query(f"{SEEN}, t AS (SELECT uri, count(DISTINCT other) AS degree FROM ud GROUP BY 1), x AS (SELECT name, vn.uri, degree, row_number() OVER (ORDER BY degree DESC, name, vn.uri) AS place, count(*) OVER () AS n FROM vn JOIN t USING (uri)) SELECT uri, degree::BIGINT AS degree FROM x WHERE place <= least(25, greatest(1, round_even(n * 0.05, 0)))")
