@@ -116,6 +116,12 @@ def wikilinks(body: Column) -> Column:
     return F.transform(F.regexp_extract_all(body, F.lit(r"\[\[([^\]|]+)"), F.lit(1)), lambda t: F.trim(t))
 
 
+def fact_lines(x: Column, least: int = 20, most: int = 400, n: int = 12) -> Column:
+    """The first n bulleted or numbered lines without their marks, of `least` to `most` characters."""
+    marked = F.transform(F.split(x, "\n"), lambda line: F.trim(F.regexp_extract(F.trim(line), r"^(?:[-*•]|[0-9]+[.)]) +(.*)$", 1)))
+    return F.slice(F.filter(marked, lambda line: F.length(line).between(least, most)), 1, n)
+
+
 def snippet(x: Column, size: int = 400) -> Column:
     """The first `size` characters, cut at a word, with an ellipsis if something was cut."""
     return F.when(F.length(x) <= size, x).otherwise(F.regexp_replace(F.substring(x, 1, size), " [^ ]*$", "…"))

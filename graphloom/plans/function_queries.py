@@ -179,9 +179,14 @@ def question_class(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.lower("text").rlike("first|before|after|order|when").alias("ordering"), F.lower("text").rlike("everything|overview|summary|all about").alias("broad"))
 
 
-@query(r"SELECT doc_id, list_filter(regexp_split_to_array(text, '\n'), lambda l: len(l) BETWEEN 20 AND 400)[1:12] AS facts FROM documents")
+MARKED = "CASE i % 4 WHEN 0 THEN '- ' WHEN 1 THEN '  * ' WHEN 2 THEN i || '. ' ELSE '' END"
+
+
+@query(f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), m AS (SELECT doc_id, i, trim({MARKED} || l, chr(32)) AS m FROM l), f AS (SELECT doc_id, i, trim(regexp_extract(m, '^(?:[-*•]|[0-9]+[.)]) +(.*)$', 1), chr(32)) AS fact FROM m), k AS (SELECT doc_id, list(fact ORDER BY i) FILTER (WHERE len(fact) BETWEEN 20 AND 400) AS facts FROM f GROUP BY 1) SELECT doc_id, coalesce(facts[1:12], []) AS facts FROM k")
 def fact_line_parse(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.slice(F.filter(F.split("text", "\n"), lambda x: F.length(x).between(20, 400)), 1, 12).alias("facts"))
+    """Facts of a model's answer, whose lines here are a document's with bullets, numbers or no mark: the first 12 marked lines of 20 to 400 characters."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 4 == 0, "- ").when(i % 4 == 1, "  * ").when(i % 4 == 2, F.concat(i.cast("string"), F.lit(". "))).otherwise(""), x))
+    return table(spark, d, "documents").select("doc_id", T.fact_lines(F.array_join(lines, "\n")).alias("facts"))
 
 
 @query("SELECT conv_id, turn, 'session ' || (conv_id % 7) || ' · ' || role AS header FROM conversations")

@@ -155,12 +155,17 @@ def canonical_type_vote(spark, d):
     return c.groupBy("p_name").agg(best["p_type"].alias("type"))
 
 
-@query("WITH b AS (SELECT user_id, event_type AS bucket, sum(round(value, 2)::DECIMAL(18, 2)) AS score FROM events GROUP BY 1, 2), t AS (SELECT *, max(score) OVER (PARTITION BY user_id) AS top FROM b) SELECT user_id, bucket FROM t WHERE score >= top * 0.85 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY bucket) = 1")
+#: Which kind wins where sums are near: earlier ones first, others after them by name.
+PRIORITY = ("purchase", "signup", "error", "click", "view")
+
+
+@query(f"WITH b AS (SELECT user_id, event_type AS bucket, sum(round(value, 2)::DECIMAL(18, 2)) AS score FROM events GROUP BY 1, 2), t AS (SELECT *, max(score) OVER (PARTITION BY user_id) AS top FROM b) SELECT user_id, bucket FROM t WHERE score >= top * 0.85 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY coalesce(nullif(list_position({list(PRIORITY)}, bucket), 0), 99), bucket) = 1")
 def type_vote_weighted(spark, d):
-    """The highest sum of scores; within 15 per cent of it a fixed order decides."""
+    """The highest sum of scores; within 15 per cent of it the order of priority decides."""
     b = table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("bucket")).agg(F.sum(F.round("value", 2).cast("decimal(18,2)")).alias("score"))
     b = b.withColumn("top", F.max("score").over(Window.partitionBy("user_id"))).filter("score >= top * 0.85")
-    return b.groupBy("user_id").agg(F.min("bucket").alias("bucket"))
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("bucket")), F.lit(0)), F.lit(99)).alias("place")
+    return b.groupBy("user_id").agg(F.min(F.struct(place, "bucket"))["bucket"].alias("bucket"))
 
 
 @query("SELECT cluster, list_sort(list(DISTINCT m)) AS mentions FROM (SELECT label AS cluster, lower('V' || (vec_id % 9)) || '|' || label AS m FROM embeddings) GROUP BY 1")

@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.text import html_text
-from ..operators import communities, edit_join, graph, resolution, sequences
+from ..functions.text import html_text, wiki_slug
+from ..operators import communities, edit_join, graph, resolution, sequences, wiki
 from ..operators.lineage import shared_dir
 from ..sources import exports, files
 from ..streaming import ingest, timers
@@ -69,9 +69,14 @@ def crawl_bfs(spark, d):
     return files.crawl(files.link_table(pages), start, 2, 50)
 
 
-@query(f"WITH {LINKS} SELECT src, count(*) AS links FROM links GROUP BY 1")
+@query(f"{GRAPH}, pg AS (SELECT * FROM nodes WHERE type IN ('region', 'nation', 'supplier') AND min_rank <= 200), sl AS (SELECT uri, replace(trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), '--', '-') AS slug FROM pg) SELECT DISTINCT x.slug AS source, y.slug AS target FROM edges JOIN sl x ON x.uri = src_uri JOIN sl y ON y.uri = dst_uri WHERE rel_type = 'LOCATED_IN' AND x.slug <> y.slug")
 def wiki_graph(spark, d):
-    return files.link_table(table(spark, d, "pages")).groupBy("src").agg(F.count("*").alias("links"))
+    """Pages of places and suppliers that link to where they are, by slug, title or something that slugifies to it."""
+    n = nodes(spark, d).filter(F.col("type").isin("region", "nation", "supplier"))
+    to = n.select(F.col("uri").alias("dst_uri"), F.expr("CASE key % 3 WHEN 0 THEN name WHEN 1 THEN concat(upper(name), ' !') END").alias("form"), wiki_slug(F.col("name")).alias("to_slug"))
+    body = edges(spark, d).filter("rel_type = 'LOCATED_IN'").join(to, "dst_uri").select(F.col("src_uri").alias("uri"), F.concat(F.lit("see [["), F.coalesce("form", "to_slug"), F.lit("|there]] and [[nowhere]]")).alias("body"))
+    pages = n.join(body, "uri", "left").select(wiki_slug(F.col("name")).alias("slug"), F.col("name").alias("title"), F.coalesce("body", F.lit("")).alias("body"), "min_rank")
+    return wiki.page_links(pages, 200)
 
 
 @query()
