@@ -386,20 +386,29 @@ def _summed_regions(posts: DataFrame) -> DataFrame:
     return rows.join(least, "s").select("s", "x", "p", "n", "n_p")
 
 
-def _open_regions(rows: DataFrame) -> DataFrame:
-    """s of the regions of rows s, x, part that are not connected; of regions with the same members (as texts that share a passage share all of its shingles) one.
+def _told_apart(rows: DataFrame, *more) -> DataFrame:
+    """s and more aggregates of the regions of rows s, x, with what tells sets of members apart: their number and two 64-bit hashes of all of them."""
+    return rows.groupBy("s").agg(*more, F.count("*").alias("k"), F.bit_xor(F.xxhash64("x")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "x")).alias("h2"))
 
-    Members are compared by their number and two 64-bit hashes of all of them.
-    """
-    each = rows.groupBy("s").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("x")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "x")).alias("h2"))
-    return each.filter("a <> b").groupBy("n", "h", "h2").agg(F.min("s").alias("s")).select("s")
+
+def _one_of_equal(regions: DataFrame) -> DataFrame:
+    """s of one of the regions with the same members, as texts that share a passage share all of its shingles."""
+    return regions.groupBy("k", "h", "h2").agg(F.min("s").alias("s")).select("s")
+
+
+def _open_regions(rows: DataFrame) -> DataFrame:
+    """s of the regions of rows s, x, part that are not connected, one of those with the same members."""
+    each = _told_apart(rows, F.min("part").alias("a"), F.max("part").alias("b"))
+    return _one_of_equal(each.filter("a <> b"))
 
 
 def _classes(docs: DataFrame, width: int, percent: int, work: Tables) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, class, first of every row; class, first, best of every class): best is the least `first` that links reach."""
     corpus = _Corpus(docs, width, percent, work)
     threshold = 1 - percent / 100
-    members = work.write(_regions(corpus.classes, percent, corpus.frequent), "members")
+    every = work.write(_regions(corpus.classes, percent, corpus.frequent), "every")
+    members = work.write(every.join(_one_of_equal(_told_apart(every)), "s", "left_semi"), "members")
+    work.discard("every")
     # cells around hubs
     alike = (F.col("x") != F.col("p")) & (100 * F.least("n", "n_p") >= percent * F.greatest("n", "n_p"))
     near = corpus.measured(corpus.plausible(members.filter(alike).select(F.col("x").alias("u"), F.col("p").alias("v")).distinct(), "near"), "near")
