@@ -80,3 +80,23 @@ def test_texts_that_hold_the_query_lead(corpus):
     front = sorted(c for c, _, _, t in rows if "red, y" in t.lower())
     got = [x["id"] for x in index.search(TERMS, 30, lead=lead).hits.orderBy("place").collect()]
     assert front and set(got[: len(front)]) == set(front) and len(got) == 30
+
+
+def test_an_index_of_some_terms_holds_what_that_of_all_does(spark, corpus):
+    _, chunks, _ = corpus
+    terms = ["the", "licence", "nowhere", chunks.first().content.split()[0].lower()]
+    got, want = (sorted(map(str, df.select("term", "block", "chunk_id", "doc_id", "base", "n", "places").collect())) for df in (lexical.postings_of(chunks, 16, terms), lexical.postings(chunks, 16).filter(F.col("term").isin(terms))))
+    assert got == want and got
+
+
+def test_a_query_indexes_its_own_terms_only(spark, tmp_path):
+    from graphloom.plans import QUERIES, model
+
+    texts = ["the license, version 2 of the tool", "other words\nthe version and a license", "nothing of these", None]
+    spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [(r.place, r.id) for r in QUERIES["lexical_search"](spark, str(tmp_path)).orderBy("place").collect()]
+    assert found == [(1, "0:0"), (2, "1:1")]
+    index = model.term_index(spark, str(tmp_path), ["the", "license", "version"])
+    assert {r.term for r in index.rows.select("term").distinct().collect()} == {"the", "license", "version"}
+    whole = model.term_index(spark, str(tmp_path))
+    assert model.term_index(spark, str(tmp_path), ["the"]).rows.count() == whole.rows.count() > index.rows.count()
