@@ -7,6 +7,7 @@ import re
 from bisect import bisect_left
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
@@ -47,18 +48,29 @@ def chunk_text(docs: DataFrame, size: int = 2000, overlap: int = 200) -> DataFra
 
 
 def without_overlaps(spans: DataFrame) -> DataFrame:
-    """Of spans (doc_id, start, end, score) those that, highest score first, overlap none kept before."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        starts, ends, kept = [], [], []  # of the spans kept, in order of place; they don't overlap
-        for row in pdf.sort_values(["score", "start", "end"], ascending=[False, True, True]).itertuples(index=False):
-            at = bisect_left(starts, row.end)  # those before it start before this one ends
-            if not at or ends[at - 1] <= row.start:
-                starts.insert(at, row.start), ends.insert(at, row.end)
-                kept.append(row)
-        return pd.DataFrame(kept, columns=pdf.columns)
-
-    return spans.groupBy("doc_id").applyInPandas(keep, spans.schema)
+    """Of spans (doc_id, start, end, score) those that, highest score first, overlap none kept before. Spans come sorted to tasks, which hold what is kept of one document."""
+    columns, last = spans.columns, object()
+
+    def run(batches):
+        doc, starts, ends = last, [], []  # of the document's spans that are kept, in order of place; they don't overlap
+        for b in batches:
+            keep = []
+            for of, start, end in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "end"))):
+                if of != doc:
+                    doc, starts, ends = of, [], []
+                if start is None or end is None:  # without a place it overlaps nothing
+                    keep.append(True)
+                    continue
+                at = bisect_left(starts, end)  # those before it start before this one ends
+                fits = not at or ends[at - 1] <= start
+                if fits:
+                    starts.insert(at, start), ends.insert(at, end)
+                keep.append(fits)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    order = F.desc_nulls_last(F.when(~F.isnan(F.col("score").cast("double")), F.col("score")))
+    placed = spans.repartition("doc_id").sortWithinPartitions("doc_id", order, "start", "end")
+    return placed.mapInArrow(run, spans.schema).select(columns)
 
 
 @F.pandas_udf(DoubleType())

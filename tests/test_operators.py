@@ -171,3 +171,19 @@ def test_spans_against_all_pairs(spark):
         want += kept
     df = spark.createDataFrame(sorted(set(spans)), "doc_id long, start int, end int, score double")
     assert sorted(map(tuple, sequences.without_overlaps(df).collect())) == sorted(want)
+
+
+def test_overlaps_need_no_group_in_memory(spark):
+    rows = [(d, s, s + 3, float((7 * s + (d or 3)) % 11)) for d in (1, 2, None) for s in range(40)] + [(1, None, 4, 99.0), (2, 5, 8, None), (3, 1, 4, float("nan")), (3, 2, 5, 0.5)]
+    df = spark.createDataFrame(rows, "doc_id long, start int, end int, score double").repartition(3)
+    out = sequences.without_overlaps(df)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for doc in (1, 2, None, 3):
+        kept = []
+        for r in sorted((r for r in rows if r[0] == doc and r[1] is not None), key=lambda r: (r[3] is None or r[3] != r[3], -(r[3] or 0) if r[3] == r[3] else 0, r[1], r[2])):
+            if all(r[2] <= k[1] or k[2] <= r[1] for k in kept):
+                kept.append(r)
+        want += [k[:3] for k in kept]
+    got = [(r.doc_id, r.start, r.end) for r in out.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want + [(1, None, 4)]))
