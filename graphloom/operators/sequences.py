@@ -92,6 +92,16 @@ def fuzzy_complement(pairs: DataFrame, least: float = 0.62) -> DataFrame:
     return pairs.withColumn("score", F.round(seq_ratio(fold(F.col("x_name")), fold(F.col("y_name"))), 6)).filter(F.col("score") >= least)
 
 
+def alike_in_blocks(rows: DataFrame, block: list[str], least: float = 0.62) -> DataFrame:
+    """fuzzy_complement() of every two rows (id, name, columns of `block`) of one block as a, b, x_name, y_name, score with a < b: two names are matched once, whatever they are of."""
+    names = rows.select(*block, "name").distinct()
+    x, y = names.withColumnRenamed("name", "x_name"), names.withColumnRenamed("name", "y_name")
+    scores = fuzzy_complement(x.join(y, block).select("x_name", "y_name").distinct(), least)
+    alike = x.join(y, block).join(scores, ["x_name", "y_name"])
+    one = lambda i, name: rows.select(*block, F.col("id").alias(i), F.col("name").alias(name))
+    return alike.join(one("a", "x_name"), [*block, "x_name"]).join(one("b", "y_name"), [*block, "y_name"]).filter("a < b").select("a", "b", "x_name", "y_name", "score")
+
+
 def pseudonymized(texts: DataFrame, dictionary: DataFrame, reverse: bool = False) -> DataFrame:
     """texts (id, compilation_id, text) with the names of their compilation's dictionary (entity_key, pseudonym) replaced, the longest first, whole words, whatever their case. A dictionary is bounded by its compilation."""
     key, to = ("pseudonym", "entity_key") if reverse else ("entity_key", "pseudonym")

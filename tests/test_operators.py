@@ -187,3 +187,16 @@ def test_overlaps_need_no_group_in_memory(spark):
         want += [k[:3] for k in kept]
     got = [(r.doc_id, r.start, r.end) for r in out.collect()]
     assert sorted(map(str, got)) == sorted(map(str, want + [(1, None, 4)]))
+
+
+def test_names_are_matched_once_in_blocks(spark, monkeypatch):
+    names = ["red bolt", "red bolts", "blue ring", "Red Bolt", None, ""]
+    rows = [(7 * i % 60, names[i % 6], i % 4) for i in range(60)]
+    matched = []
+    plain = sequences.fuzzy_complement
+    monkeypatch.setattr(sequences, "fuzzy_complement", lambda pairs, least: matched.append(pairs.count()) or plain(pairs, least))
+    df = spark.createDataFrame(rows, "id long, name string, kind int")
+    got = sorted(map(tuple, sequences.alike_in_blocks(df, ["kind"]).collect()))
+    a, b = df.select(F.col("id").alias("a"), F.col("name").alias("x_name"), "kind"), df.select(F.col("id").alias("b"), F.col("name").alias("y_name"), "kind")
+    want = sorted(map(tuple, plain(a.join(b, "kind").filter("a < b").select("a", "b", "x_name", "y_name")).collect()))
+    assert got == want and len(got) > 50 and matched[0] <= 36
