@@ -200,3 +200,12 @@ def test_names_are_matched_once_in_blocks(spark, monkeypatch):
     a, b = df.select(F.col("id").alias("a"), F.col("name").alias("x_name"), "kind"), df.select(F.col("id").alias("b"), F.col("name").alias("y_name"), "kind")
     want = sorted(map(tuple, plain(a.join(b, "kind").filter("a < b").select("a", "b", "x_name", "y_name")).collect()))
     assert got == want and len(got) > 50 and matched[0] <= 36
+
+
+def test_rows_that_share_a_key_meet_once(spark):
+    keys = [["a", "b"], ["b", "c"], ["c"], ["a", "b", "c"], []]
+    left, right = (spark.createDataFrame([(2 * i + o, keys[(i + o) % 5]) for i in range(30)], "uri long, keys array<string>") for o in (0, 1))
+    out = resolution.sharing(left, right)
+    want = sorted((x.uri, y.uri) for x in left.collect() for y in right.collect() if set(x["keys"]) & set(y["keys"]))
+    assert sorted(map(tuple, out.collect())) == want
+    assert "HashAggregate(keys=[a" not in out._jdf.queryExecution().executedPlan().toString()
