@@ -209,3 +209,12 @@ def test_rows_that_share_a_key_meet_once(spark):
     want = sorted((x.uri, y.uri) for x in left.collect() for y in right.collect() if set(x["keys"]) & set(y["keys"]))
     assert sorted(map(tuple, out.collect())) == want
     assert "HashAggregate(keys=[a" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unit_vectors_as_sql_has_them(spark, tmp_path):
+    from graphloom.plans import QUERIES
+
+    rows = [(1, [0.0, 0.0]), (2, [-1e-8, 1.0]), (3, [3.0, None, 4.0]), (4, None), (5, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.unit for r in QUERIES["l2_normalize"](spark, str(tmp_path)).collect()}
+    assert str(got) == str({1: [float("nan")] * 2, 2: [-0.0, 1.0], 3: [0.6, None, 0.8], 4: None, 5: []}) or {k: str(v) for k, v in got.items()} == {1: "[nan, nan]", 2: "[-0.0, 1.0]", 3: "[0.6, None, 0.8]", 4: "None", 5: "[]"}
